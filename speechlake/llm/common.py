@@ -149,7 +149,7 @@ class WordHashes:
         """The end of the piece that begins at ``at``: a place between words, after PIECE_BYTES or soon after."""
         to = at + PIECE_BYTES
         while to < n:
-            ahead = np.flatnonzero(edge[to : to + 4096] | _IS_SEPARATOR[data[to : to + 4096]][: len(edge[to : to + 4096])])
+            ahead = np.flatnonzero(edge[to : min(to + 4096, n)] | _IS_SEPARATOR[data[to : to + 4096]])
             if len(ahead):
                 return to + int(ahead[0])
             to += 4096

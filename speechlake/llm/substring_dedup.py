@@ -148,7 +148,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
 
     seeds = some.mapInArrow(_seed_rows(min_words, seed_words), "seed long, doc_id long, text_key long")
     shared = lambda df: settle(df.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "shared")
-    met = settle(seeds.join(shared(seeds.select("seed")), "seed").join(firsts, row, "left_semi"), "met")
+    met = settle(seeds.join(shared(seeds.select("seed")), "seed"), "met")  # settled, or the planner would shuffle all seeds for the next join first
+    met = settle(met.join(firsts, row, "left_semi"), "met")
     wanted = met.join(shared(met), "seed").groupBy(*row).agg(F.collect_set("seed").alias("seeds"))
 
     windows = some.join(wanted.hint("shuffle_hash"), row).mapInArrow(_window_rows(min_words, seed_words), "seed long, window long, doc_id long, text_key long, start long")

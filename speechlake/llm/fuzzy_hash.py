@@ -186,7 +186,7 @@ def _rows(batches):
 
 
 #: Documents in a range, about, and ranges at most (their first ids are sent to all tasks).
-RANGE_DOCS, RANGES = 5_000, 20_000
+RANGE_DOCS, RANGES = 5_000, 100_000
 
 
 def with_following(docs: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     """
     n = docs.count()
     parts = int(min(RANGES, n // RANGE_DOCS + 1))
-    marks = docs.agg(F.min("doc_id").alias("first"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("marks") if parts > 1 else F.array().alias("marks")).first()
+    marks = docs.agg(F.min("doc_id").alias("first"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 5 * parts)).alias("marks") if parts > 1 else F.array().alias("marks")).first()
     if marks["first"] is None:
         starts = np.zeros(1, np.int64)
     else:

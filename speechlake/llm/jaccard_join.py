@@ -6,10 +6,12 @@
    hash space is cut into more parts than two linked sets can have differing shingles, so linked sets agree on at least one
    whole part: (band, part, contents) is a key that both have.  Unlike single shingles, a part of about nine shingles is
    shared by hardly any texts but near copies, however common a line or passage is.
+   A task joins what it has of a key before the shuffle, so a hot key sends one row from each batch of keys.
 3. Sets with a common key are brought together (components of the sparse graph "set - smallest set with that key"), each
    component is cut into tiles of neighbouring sizes, and pairs of tiles whose size bands are compatible are compared: bit
    counts of hashed bitmaps bound the overlap from above, and only pairs that can still reach the threshold and aren't
    connected yet are intersected exactly.  A tile pair returns a spanning forest of its links, never all pairs.
+   Tiles are planned on ids and sizes; the sets themselves are shuffled once, to where they are compared.
 4. Components of these links, over all classes, are the result.
 """
 
@@ -33,6 +35,8 @@ SPARE_PARTS = 1
 #: Shingles that a tile of the exact comparison holds at most (8 bytes each); a larger set is a tile of its own.
 TILE_SHINGLES = 400_000
 EMPTY_SALT = 97
+#: Keys that a task holds at most while it joins what it has of each key.
+HELD_KEYS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -97,36 +101,116 @@ def _set_rows(words: int):
     return rows
 
 
+def star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (key, id): their order by key and id, and where in it each key begins."""
+    order = np.lexsort((ids, keys))
+    first = np.flatnonzero(np.concatenate((np.ones(1, bool), np.diff(keys[order]) != 0))) if len(order) else order
+    return order, first
+
+
+def _edges(ids: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (id, head) with different ends."""
+    keep = ids != heads
+    ids, heads = ids[keep], heads[keep]
+    order = np.lexsort((heads, ids))
+    ids, heads = ids[order], heads[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (np.diff(ids) != 0) | (np.diff(heads) != 0)
+    return ids[new], heads[new]
+
+
+KEY_ROWS = "key long, doc_id long, head long"
+
+
+def _key_batches(keys: np.ndarray, ids: np.ndarray, heads: np.ndarray, rows: int = 200_000):
+    for i in range(0, len(keys), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + rows]) for x in (keys, ids, heads)], ["key", "doc_id", "head"])
+
+
 def _key_rows(words: int, percent: int):
+    """Rows (key, id, id) for the smallest id with a key among those held, and (any key, id, head) for the others."""
+
+    def met(keys: list[np.ndarray], ids: list[np.ndarray]):
+        if not keys:
+            return
+        k, d = np.concatenate(keys).view(np.int64), np.concatenate(ids)
+        order, first = star(k, d)
+        k, d = k[order], d[order]
+        heads = np.repeat(d[first], np.diff(np.concatenate((first, [len(d)]))))
+        own, theirs = _edges(d, heads)
+        yield from _key_batches(k[first], d[first], d[first])
+        yield from _key_batches(mixed(own.view(np.uint64), 71).view(np.int64), own, theirs)
+
     def rows(batches):
+        keys, ids, held = [], [], 0
         for batch in batches:
-            keys, counts = [], []
-            for s in shingle_sets(batch.column(1), words):
-                own = []
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            for doc, s in zip(docs, shingle_sets(batch.column(1), words), strict=True):
                 if len(s):
                     band = int(band_of(len(s), percent))
-                    own = [part_keys(s, b, percent) for b in (band, band - 1) if b >= 0]
-                keys += own
-                counts.append(sum(map(len, own)))
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
-            keys = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            for i in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(ids[i : i + 100_000])], ["key", "doc_id"])
+                    own = np.concatenate([part_keys(s, b, percent) for b in (band, band - 1) if b >= 0])
+                    keys.append(own)
+                    ids.append(np.full(len(own), doc))
+                    held += len(own)
+                    if held >= HELD_KEYS:
+                        yield from met(keys, ids)
+                        keys, ids, held = [], [], 0
+        yield from met(keys, ids)
 
     return rows
 
 
+def _meet(batches):
+    """Edges (id, head) from key rows sorted by key and id; a key's rows may go over batches."""
+    last_key, last_head = None, None
+    for batch in batches:
+        k, d, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        is_key = d == h
+        own, theirs = [d[~is_key]], [h[~is_key]]
+        k, d = k[is_key], d[is_key]
+        if len(k):
+            first = np.flatnonzero(np.concatenate((np.ones(1, bool), np.diff(k) != 0)))
+            heads = np.repeat(d[first], np.diff(np.concatenate((first, [len(d)]))))
+            if k[0] == last_key:
+                heads[k == last_key] = last_head
+            last_key, last_head = k[-1], heads[-1]
+            own.append(d)
+            theirs.append(heads)
+        ids, heads = _edges(np.concatenate(own), np.concatenate(theirs))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(heads)], ["doc_id", "head"])
+
+
+TILES = "array<struct<bucket:bigint,tile:bigint,one:bigint,other:bigint>>"
+PAYLOAD = "bucket long, one long, other long, tile long, block long, doc_id long, shingles binary"
+
+
 def _payload_rows(words: int):
-    """The set of each text as bytes."""
+    """The set of each text as bytes, once for each place where it is compared.  Rows: doc_id, block, tiles, text."""
 
     def rows(batches):
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(batch.schema.get_field_index("text")), words)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), sets], ["doc_id", "block", "shingles"])
+            docs, blocks, tiles = batch.column("doc_id").to_pylist(), batch.column("block").to_pylist(), batch.column("tiles").to_pylist()
+            out: list[tuple] = []
+            size = 0
+            for doc, block, places, s in zip(docs, blocks, tiles, shingle_sets(batch.column("text"), words), strict=True):
+                raw = s.tobytes()
+                for t in places:
+                    out.append((t["bucket"], t["one"], t["other"], t["tile"], block, doc, raw))
+                    size += len(raw)
+                if size > 8 << 20:
+                    yield _payload_batch(out)
+                    out, size = [], 0
+            if out:
+                yield _payload_batch(out)
 
     return rows
 
 
+def _payload_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in PAYLOAD.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if n == "shingles" else pa.int64()) for i, n in enumerate(names)], names)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -189,37 +273,33 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, tile_
     classes = settle(some.groupBy(*by_set).agg(F.min("doc_id").alias("class_id")), "classes")
 
     texts = docs.where("doc_id is not null")
-    firsts = classes.select(F.col("class_id").alias("doc_id")).distinct()
-    keyed = texts.mapInArrow(_key_rows(words, percent), "key long, doc_id long")
-    common = settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "common")
-    seeds = settle(keyed.join(common, "key").join(firsts, "doc_id", "left_semi"), "seeds")
-    heads = settle(seeds.groupBy("key").agg(F.min("doc_id").alias("head")), "heads")
-    near = seeds.join(heads, "key").where("doc_id <> head").select("doc_id", "head")
+    keyed = texts.mapInArrow(_key_rows(words, percent), KEY_ROWS).repartition("key").sortWithinPartitions("key", "doc_id")
+    near = keyed.mapInArrow(_meet, "doc_id long, head long")
     blocks = connected_components(near, "doc_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-
-    payload = texts.join(settle(blocks, "blocks"), "doc_id").mapInArrow(_payload_rows(words), "doc_id long, block long, shingles binary")
-    links = tile_pairs(settle(payload, "payload"), percent, tile_shingles).groupBy("bucket", "one", "other").applyInArrow(_compare(percent), "a long, b long")
+    firsts = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.max("n_shingles").alias("size"))
+    plan = tile_plan(settle(blocks.join(firsts, "doc_id"), "blocks"), percent, tile_shingles)
+    payload = texts.join(plan.hint("shuffle_hash"), "doc_id").mapInArrow(_payload_rows(words), PAYLOAD)
+    links = settle(payload.groupBy("bucket", "one", "other").applyInArrow(_compare(percent), "a long, b long"), "links")
     members = some.join(classes, by_set).select("doc_id", "class_id")
     joined = connected_components(links.union(members.where("doc_id <> class_id")), "a", "b")
     out = sets.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def tile_pairs(payload: DataFrame, percent: int, tile_shingles: int) -> DataFrame:
-    """Each row of ``payload`` once for every (bucket, one, other) in which it is to be compared.
+def tile_plan(sized: DataFrame, percent: int, tile_shingles: int) -> DataFrame:
+    """(doc_id, block, tiles) from (doc_id, block, size): every (bucket, tile, one, other) in which a set is to be compared.
 
     A block of ``tile_shingles`` at most is one tile, and such blocks are dealt to buckets of about that size.  A larger
     block is a bucket of its own; its tiles are (size band, slice of the band by a hash of the id), and a tile meets itself and
     all tiles of its own and the neighbouring bands.
     """
-    sized = payload.withColumn("size", (F.length("shingles") / 8).cast("long"))
     sized = sized.withColumn("band", F.floor(F.log("size") / math.log(100 / percent * SPREAD)))
-    total = settle(sized.groupBy("block").agg(F.sum("size").alias("total")), "totals")
+    total = settle(sized.groupBy("block").agg(F.sum("size").alias("total"), F.count("*").alias("n")).where("n > 1"), "totals")
     small = total.where(F.col("total") <= tile_shingles)
     buckets = int((small.agg(F.sum("total")).first()[0] or 0) // tile_shingles) + 1
-    few = sized.join(small, "block").select(
-        F.pmod(F.xxhash64("block"), F.lit(buckets)).alias("bucket"), "block", "doc_id", "shingles", F.lit(0).cast("long").alias("tile"), F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("other")
-    )
+    zero = F.lit(0).cast("long")
+    place = lambda bucket, tile, one, other: F.struct(bucket.alias("bucket"), tile.alias("tile"), one.alias("one"), other.alias("other"))
+    few = sized.join(small, "block").select("doc_id", "block", F.array(place(F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("long"), zero, zero, zero)).alias("tiles"))
 
     many = sized.join(total.where(F.col("total") > tile_shingles), "block")
     plan = settle(many.groupBy("block", "band").agg(F.ceil(F.sum("size") / tile_shingles).cast("long").alias("slices")), "tiles")
@@ -229,5 +309,21 @@ def tile_pairs(payload: DataFrame, percent: int, tile_shingles: int) -> DataFram
     code = lambda band, part: band * F.lit(1 << 32) + part
     tiles = lambda by, n: F.transform(F.slice(F.sequence(F.lit(0).cast("long"), n), 1, n.cast("int")), lambda x: code(F.col("band") + by, x))
     others = F.concat(tiles(0, F.col("slices")), tiles(1, F.col("above")), tiles(-1, F.col("below")))
-    dealt = dealt.select(F.col("block").alias("bucket"), "block", "doc_id", "shingles", code(F.col("band"), F.col("slice")).alias("tile"), F.explode(others).alias("with"))
-    return few.union(dealt.select("bucket", "block", "doc_id", "shingles", "tile", F.least("tile", "with"), F.greatest("tile", "with") + 1))
+    own = code(F.col("band"), F.col("slice"))
+    places = F.transform(others, lambda x: place(F.col("block"), own, F.least(own, x), F.greatest(own, x) + 1))
+    return few.union(dealt.select("doc_id", "block", places.cast(TILES).alias("tiles")))
+
+
+#: DuckDB SQL for the rows of ``jaccard_components`` with three words and 90 percent, over all pairs that share a shingle.
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM d),
+t AS (SELECT doc_id, p, n, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS k FROM w),
+s AS (SELECT DISTINCT doc_id, k FROM t WHERE p <= greatest(1, n - 2)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * shared >= 90 * (cx.n + cy.n - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, x AS seen FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.seen = e.x)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.low, d.doc_id) AS component_id
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT doc_id, min(seen) AS low FROM r GROUP BY doc_id) m USING (doc_id)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechlake.llm import matroska, secret_scan, warc
+from speechlake.llm import jaccard_join, matroska, secret_scan, substring_dedup, warc
 from speechlake.llm.bpe import round_trip
 from speechlake.llm.common import table
 from speechlake.llm.fuzzy_hash import fingerprint_pairs
@@ -81,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_secret_scan": secret_scan.oracle_sql(),
+    "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
 }

@@ -161,3 +161,19 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     gone = settle(gone.union(copies.select(*row, F.array().cast("array<long>"), F.lit(True))), "gone")
     out = docs.join(gone.hint("shuffle_hash"), row, "left").select("doc_id", "text", "starts", "is_copy")
     return out.mapInArrow(_kept_rows(min_words), "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats string, kept string")
+
+
+#: DuckDB SQL for the rows of ``remove_repeats`` without the texts, over all windows.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM d),
+win AS (SELECT doc_id, p, n, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING) AS k FROM w),
+least AS (SELECT k, min(doc_id) AS f FROM win WHERE p <= n - {MIN_WORDS - 1} GROUP BY k),
+hit AS (SELECT doc_id, p, 1 AS hit FROM win JOIN least USING (k) WHERE p <= n - {MIN_WORDS - 1} AND f < doc_id),
+g AS (SELECT doc_id, p, w, count(hit) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW) > 0 AS gone FROM w LEFT JOIN hit USING (doc_id, p)),
+r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, gone ORDER BY p) AS run FROM g),
+runs AS (SELECT doc_id, min(p) - 1 AS a, max(p) AS b FROM r WHERE gone GROUP BY doc_id, run),
+spans AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS repeats FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS n_removed FROM g GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(repeats, '') AS repeats
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)"""

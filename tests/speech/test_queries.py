@@ -22,7 +22,7 @@ def duck():
 
 
 def plain(x):
-    if x is None or isinstance(x, float) and math.isnan(x) or str(x) == "NaT":
+    if x is None or isinstance(x, float) and math.isnan(x) or str(x) in ("NaT", "<NA>"):
         return None
     if isinstance(x, bool) or type(x).__name__ == "bool":
         return bool(x)

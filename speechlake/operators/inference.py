@@ -15,7 +15,7 @@ LONGEST_SECONDS, SHORTEST_SECONDS = 1200.0, 0.5
 
 
 def balanced(df: DataFrame, parts: int, samples: str = "samples") -> DataFrame:
-    """Rows dealt to ``parts`` partitions of similar total length: ranges of length, salted by a hash, interleaved."""
+    """Rows dealt to ``parts`` partitions by a hash of each row, so that total lengths even out, whatever the order they came in."""
     return df.withColumn("_n", F.size(samples)).repartition(parts, F.xxhash64("_n", F.monotonically_increasing_id())).drop("_n")
 
 

@@ -153,7 +153,7 @@ def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def identified(docs: DataFrame, least_score: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def identified(docs: DataFrame, least_score: float = 0.0, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with a posterior of ``least_score`` at least; all columns stay as they are.
 
     A row goes if its text is null or has no letter.  Where nothing is labelled, rows with a letter stay.

@@ -4,19 +4,20 @@
    smallest id of a class goes on, so a group of copies costs one row.
 2. Seeds.  Sizes fall into bands so wide that two linked sets are in the same or in neighbouring bands.  For a band the
    hash space is cut into more parts than two linked sets can have differing shingles, so linked sets agree on at least one
-   whole part: (band, part, contents) is a key that both have.  Unlike single shingles, a part of about nine shingles is
-   shared by hardly any texts but near copies, however common a line or passage is.
-   A task joins what it has of a key before the shuffle, so a hot key sends one row from each batch of keys.
-3. Sets with a common key are brought together (components of the sparse graph "set - smallest set with that key"), each
-   component is cut into tiles of neighbouring sizes, and pairs of tiles whose size bands are compatible are compared: bit
-   counts of hashed bitmaps bound the overlap from above, and only pairs that can still reach the threshold and aren't
-   connected yet are intersected exactly.  A tile pair returns a spanning forest of its links, never all pairs.
-   Tiles are planned on ids and sizes; the sets themselves are shuffled once, to where they are compared.
-4. Components of these links, over all classes, are the result.
+   whole part: (band, part, contents) is a key that both have.  A task gathers what it has of a key before the shuffle.
+3. The members of each key that several sets have are compared by hashed parity bitmaps: differing bits bound the differing
+   shingles from below, so pairs that can't reach the threshold are dropped, and a spanning forest of the others is kept.  Keys
+   with the same members are compared once.
+4. Each component of these forests is cut into tiles of neighbouring sizes, and pairs of tiles whose size bands are compatible
+   are compared: bit counts bound the overlap from above, and only pairs that can still reach the threshold and aren't connected
+   yet are intersected exactly.  A tile pair returns a spanning forest of its links, never all pairs.  Tiles are planned on
+   ids and sizes; the sets themselves are shuffled once, to where they are compared.
+5. Components of these links, over all classes, are the result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -35,8 +36,12 @@ SPARE_PARTS = 1
 #: Shingles that a tile of the exact comparison holds at most (8 bytes each); a larger set is a tile of its own.
 TILE_SHINGLES = 400_000
 EMPTY_SALT = 97
-#: Keys that a task holds at most while it joins what it has of each key.
+#: Keys that a task holds at most while it gathers what it has of each key.
 HELD_KEYS = 1_000_000
+#: Members of a key that are compared in one place; more are cut into chunks, and each pair of chunks is compared.
+CHUNK = 2048
+#: Member lists that a task remembers at most, to drop repeated ones early.
+LISTS = 100_000
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -101,83 +106,182 @@ def _set_rows(words: int):
     return rows
 
 
-def star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows (key, id): their order by key and id, and where in it each key begins."""
-    order = np.lexsort((ids, keys))
-    first = np.flatnonzero(np.concatenate((np.ones(1, bool), np.diff(keys[order]) != 0))) if len(order) else order
-    return order, first
-
-
-def _edges(ids: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (id, head) with different ends."""
-    keep = ids != heads
-    ids, heads = ids[keep], heads[keep]
-    order = np.lexsort((heads, ids))
-    ids, heads = ids[order], heads[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (np.diff(ids) != 0) | (np.diff(heads) != 0)
-    return ids[new], heads[new]
-
-
-KEY_ROWS = "key long, doc_id long, head long"
-
-
-def _key_batches(keys: np.ndarray, ids: np.ndarray, heads: np.ndarray, rows: int = 200_000):
-    for i in range(0, len(keys), rows):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + rows]) for x in (keys, ids, heads)], ["key", "doc_id", "head"])
+KEY_ROWS = "key long, doc_id long, more binary"
 
 
 def _key_rows(words: int, percent: int):
-    """Rows (key, id, id) for the smallest id with a key among those held, and (any key, id, head) for the others."""
+    """Rows (key, smallest id, the other ids as bytes or null) of the keys of each batch that is held."""
 
-    def met(keys: list[np.ndarray], ids: list[np.ndarray]):
-        if not keys:
-            return
+    def gathered(keys: list[np.ndarray], ids: list[np.ndarray]):
         k, d = np.concatenate(keys).view(np.int64), np.concatenate(ids)
-        order, first = star(k, d)
+        order = np.lexsort((d, k))
         k, d = k[order], d[order]
-        heads = np.repeat(d[first], np.diff(np.concatenate((first, [len(d)]))))
-        own, theirs = _edges(d, heads)
-        yield from _key_batches(k[first], d[first], d[first])
-        yield from _key_batches(mixed(own.view(np.uint64), 71).view(np.int64), own, theirs)
+        first = np.flatnonzero(np.concatenate((np.ones(1, bool), np.diff(k) != 0)))
+        sizes = np.diff(np.concatenate((first, [len(k)])))
+        more = np.full(len(first), None, object)
+        for i in np.flatnonzero(sizes > 1):
+            more[i] = np.unique(d[first[i] + 1 : first[i] + sizes[i]]).tobytes()
+        for i in range(0, len(first), 200_000):
+            part = slice(i, i + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(k[first[part]]), pa.array(d[first[part]]), pa.array(more[part], pa.binary())], ["key", "doc_id", "more"])
 
     def rows(batches):
-        keys, ids, held = [], [], 0
+        keys, ids, held, known = [], [], 0, {}
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for doc, s in zip(docs, shingle_sets(batch.column(1), words), strict=True):
-                if len(s):
+                # of equal sets among those held only the smallest id can be a class's first; it tells the keys
+                name = (len(s), int(np.sum(mixed(s, 41), dtype=np.uint64)), int(np.sum(mixed(s, 42), dtype=np.uint64)))
+                if len(s) and doc < known.get(name, doc + 1):
+                    known[name] = doc
                     band = int(band_of(len(s), percent))
                     own = np.concatenate([part_keys(s, b, percent) for b in (band, band - 1) if b >= 0])
                     keys.append(own)
                     ids.append(np.full(len(own), doc))
                     held += len(own)
                     if held >= HELD_KEYS:
-                        yield from met(keys, ids)
-                        keys, ids, held = [], [], 0
-        yield from met(keys, ids)
+                        yield from gathered(keys, ids)
+                        keys, ids, held, known = [], [], 0, {}
+        if keys:
+            yield from gathered(keys, ids)
 
     return rows
 
 
-def _meet(batches):
-    """Edges (id, head) from key rows sorted by key and id; a key's rows may go over batches."""
-    last_key, last_head = None, None
+def _lists(members: np.ndarray):
+    """The lists in which all pairs of ``members`` stand together."""
+    if len(members) <= 2 * CHUNK:
+        yield members
+        return
+    chunks = [members[i : i + CHUNK] for i in range(0, len(members), CHUNK)]
+    for i, a in enumerate(chunks):
+        for b in chunks[i + 1 :]:
+            yield np.concatenate((a, b))
+
+
+def _member_rows(batches):
+    """(list, id) for each key with several ids, from key rows sorted by key; a key's rows may go over batches."""
+    seen: set[int] = set()
+
+    def told(groups):
+        lists, ids = [], []
+        for members in groups:
+            for own in _lists(members):
+                name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+                if name not in seen:
+                    if len(seen) >= LISTS:
+                        seen.clear()
+                    seen.add(name)
+                    lists.append(np.full(len(own), name))
+                    ids.append(own)
+                    if len(own) > 100_000 or sum(map(len, ids[-50:])) > 200_000:
+                        yield lists, ids
+                        lists, ids = [], []
+        if lists:
+            yield lists, ids
+
+    def groups_of(k, d, more):
+        starts = np.flatnonzero(np.concatenate((np.ones(1, bool), np.diff(k) != 0)))
+        ends = np.concatenate((starts[1:], [len(k)]))
+        rich = np.array([m is not None for m in more], bool)
+        several = (ends - starts > 1) | np.logical_or.reduceat(rich, starts)
+        for a, b in zip(starts[several], ends[several], strict=True):
+            parts = [d[a:b], *(np.frombuffer(m, np.int64) for m in more[a:b] if m is not None)]
+            members = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.unique(parts[0])
+            if len(members) > 1:
+                yield members
+
+    held = None
     for batch in batches:
-        k, d, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        is_key = d == h
-        own, theirs = [d[~is_key]], [h[~is_key]]
-        k, d = k[is_key], d[is_key]
-        if len(k):
-            first = np.flatnonzero(np.concatenate((np.ones(1, bool), np.diff(k) != 0)))
-            heads = np.repeat(d[first], np.diff(np.concatenate((first, [len(d)]))))
-            if k[0] == last_key:
-                heads[k == last_key] = last_head
-            last_key, last_head = k[-1], heads[-1]
-            own.append(d)
-            theirs.append(heads)
-        ids, heads = _edges(np.concatenate(own), np.concatenate(theirs))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(heads)], ["doc_id", "head"])
+        now = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), np.array(batch.column(2).to_pylist(), object)]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on
+        held = [x[cut:] for x in now]
+        if cut:
+            for lists, ids in told(groups_of(*(x[:cut] for x in now))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.concatenate(ids))], ["list", "doc_id"])
+    if held is not None and len(held[0]):
+        for lists, ids in told(groups_of(*held)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.concatenate(ids))], ["list", "doc_id"])
+
+
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap of at least as many bits as shingles; a bit tells whether an odd number of shingles fell there."""
+    bits = 1 << max(6, int(len(s) - 1).bit_length())
+    return np.packbits((np.bincount((mixed(s, 61) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bitmap: bytes, size: int) -> bytes:
+    """The bitmap that fewer bits would have given: halves are added until ``size`` bytes are left."""
+    x = np.frombuffer(bitmap, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def _bitmap_rows(words: int):
+    def rows(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1), words))
+            keep = np.array([len(s) > 0 for s in sets], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array([len(s) for s in sets if len(s)], pa.int64()), pa.array([parity(s) for s in sets if len(s)], pa.binary())], ["doc_id", "size", "bitmap"])
+
+    return rows
+
+
+def possible_forest(ids: np.ndarray, sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose bitmaps don't rule a link out."""
+    least = min(map(len, bitmaps))
+    maps = np.frombuffer(b"".join(folded(b, least) for b in bitmaps), np.uint64).reshape(len(ids), -1)
+    group, out = np.arange(len(ids)), []
+    for i in range(len(ids) - 1):
+        rest = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        if len(rest):
+            apart = np.bitwise_count(maps[i] ^ maps[rest]).sum(1, dtype=np.int64)
+            low, high = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
+            good = ((100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[rest])) & (100 * low >= percent * high)
+            for j in rest[good]:
+                if group[j] != group[i]:
+                    out.append((int(ids[j]), int(ids[i])))
+                    group[group == group[j]] = group[i]
+    return out
+
+
+def _forest_rows(percent: int):
+    """Edges (id, head) from rows (list, id, size, bitmap) sorted by list; a list's rows may go over batches."""
+
+    def edges(lists, ids, sizes, bitmaps):
+        out = []
+        starts = np.flatnonzero(np.concatenate((np.ones(1, bool), np.diff(lists) != 0)))
+        for a, b in zip(starts, np.concatenate((starts[1:], [len(lists)])), strict=True):
+            if b - a == 2 and len(bitmaps[a]) == len(bitmaps[a + 1]):
+                n, m = int(sizes[a]), int(sizes[a + 1])
+                apart = (int.from_bytes(bitmaps[a]) ^ int.from_bytes(bitmaps[a + 1])).bit_count()
+                if (100 + percent) * apart <= (100 - percent) * (n + m) and 100 * min(n, m) >= percent * max(n, m):
+                    out.append((int(ids[a + 1]), int(ids[a])))
+            elif b - a > 1:
+                out += possible_forest(ids[a:b], sizes[a:b], list(bitmaps[a:b]), percent)
+        pairs = sorted(set(out))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["doc_id", "head"])
+
+    def rows(batches):
+        held = None
+        for batch in batches:
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)] + [np.array(batch.column(3).to_pylist(), object)]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if len(now[0]):
+                cut = int(np.searchsorted(now[0], now[0][-1]))
+                held = [x[cut:] for x in now]
+                if cut:
+                    yield edges(*(x[:cut] for x in now))
+        if held is not None and len(held[0]):
+            yield edges(*held)
+
+    return rows
 
 
 TILES = "array<struct<bucket:bigint,tile:bigint,one:bigint,other:bigint>>"
@@ -273,15 +377,19 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, tile_
     classes = settle(some.groupBy(*by_set).agg(F.min("doc_id").alias("class_id")), "classes")
 
     texts = docs.where("doc_id is not null")
+    firsts = settle(classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.max("n_shingles").alias("size")), "firsts")
     keyed = texts.mapInArrow(_key_rows(words, percent), KEY_ROWS).repartition("key").sortWithinPartitions("key", "doc_id")
-    near = keyed.mapInArrow(_meet, "doc_id long, head long")
+    members = settle(keyed.mapInArrow(_member_rows, "list long, doc_id long").distinct(), "members")
+    bitmaps = settle(texts.mapInArrow(_bitmap_rows(words), "doc_id long, size long, bitmap binary"), "bitmaps")
+    met = members.join(firsts.select("doc_id"), "doc_id", "left_semi").join(bitmaps.hint("shuffle_hash"), "doc_id")
+    met = met.select("list", "doc_id", "size", "bitmap").repartition("list").sortWithinPartitions("list", "doc_id")
+    near = met.mapInArrow(_forest_rows(percent), "doc_id long, head long")
     blocks = connected_components(near, "doc_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-    firsts = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.max("n_shingles").alias("size"))
     plan = tile_plan(settle(blocks.join(firsts, "doc_id"), "blocks"), percent, tile_shingles)
     payload = texts.join(plan.hint("shuffle_hash"), "doc_id").mapInArrow(_payload_rows(words), PAYLOAD)
     links = settle(payload.groupBy("bucket", "one", "other").applyInArrow(_compare(percent), "a long, b long"), "links")
-    members = some.join(classes, by_set).select("doc_id", "class_id")
-    joined = connected_components(links.union(members.where("doc_id <> class_id")), "a", "b")
+    copies = some.join(classes, by_set).select("doc_id", "class_id")
+    joined = connected_components(links.union(copies.where("doc_id <> class_id")), "a", "b")
     out = sets.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -73,3 +73,65 @@ def test_edge_rows(spark):
     rows = [(1, "a b c d", 5), (1, "a b c d", 5), (None, "a b c d", 6), (3, "a b c d", None), (4, "p " * 5000, 0)]
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, block long")).collect()
     assert sorted((x.doc_id or -1, x.n_shingles, x.component_id or -1) for x in got) == [(-1, 2, -1), (1, 2, 1), (1, 2, 1), (3, 2, 1), (4, 1, 4)]
+
+
+def test_bitmaps_never_rule_out_a_link():
+    import numpy as np
+
+    from speechlake.llm.jaccard_join import linked, parity, possible_forest
+
+    r = np.random.default_rng(6)
+    ruled_out = 0
+    for _ in range(200):
+        n = int(r.integers(1, 700))
+        a = np.unique(r.integers(0, 2**64 - 1, n, dtype=np.uint64))
+        gone, new = int(r.integers(0, n // 3 + 1)), int(r.integers(0, n // 3 + 1))
+        b = np.unique(np.concatenate((a[gone:], r.integers(0, 2**64 - 1, new, dtype=np.uint64))))
+        if not len(b):
+            continue
+        for percent in (80, 90):
+            kept = possible_forest(np.array([1, 2]), np.array([len(a), len(b)]), [parity(a), parity(b)], percent)
+            assert kept or not linked(a, b, percent)
+            ruled_out += not kept
+    assert ruled_out > 50
+
+
+def test_lists_hold_all_pairs(monkeypatch):
+    import numpy as np
+
+    import speechlake.llm.jaccard_join as m
+
+    monkeypatch.setattr(m, "CHUNK", 4)
+    for n in (2, 8, 9, 23):
+        pairs = {(int(x), int(y)) for own in m._lists(np.arange(n)) for x, y in combinations(own, 2)}
+        assert pairs == set(combinations(range(n), 2))
+        assert all(len(own) <= 8 for own in m._lists(np.arange(n)))
+
+
+def test_keys_and_lists_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from speechlake.llm.jaccard_join import _forest_rows, _member_rows, parity
+
+    more = np.array([8, 9], np.int64).tobytes()
+    rows = [(1, 5, None), (2, 1, None), (2, 3, None), (2, 4, None), (3, 2, None), (4, 7, more), (5, 6, None), (5, 6, None)]
+    names = ["key", "doc_id", "more"]
+
+    def batches(table, size, names):
+        for i in range(0, len(table), size):
+            cols = list(zip(*table[i : i + size], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n in ("more", "bitmap") else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
+
+    for size in (1, 2, 3, 100):
+        lists = {}
+        for b in _member_rows(batches(rows, size, names)):
+            for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lists.setdefault(k, []).append(d)
+        assert sorted(map(sorted, lists.values())) == [[1, 3, 4], [7, 8, 9]]
+    a = np.arange(100, dtype=np.uint64) * np.uint64(977)
+    sets = {1: a, 2: a[1:], 3: a + np.uint64(5), 4: np.concatenate((a, np.array([3], np.uint64)))}
+    table = [(k, d, len(sets[d]), parity(sets[d])) for k, own in ((1, (1, 2)), (2, (1, 3)), (3, (1, 2, 3, 4))) for d in own]
+    for size in (1, 3, 100):
+        found = {p for b in _forest_rows(90)(batches(table, size, ["list", "doc_id", "size", "bitmap"])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        assert found == {(2, 1), (4, 1)}

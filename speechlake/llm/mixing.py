@@ -8,7 +8,8 @@
 3. Splitting tree.  The quotas of all sources stand at the root.  Each node halves its draws; how many of each source go left
    is drawn from the hypergeometric distribution given what is left (inverse of the distribution function at a keyed hash), so
    every shard's quotas are whole numbers, sum up exactly, and are distributed as if the draws had been dealt at random.
-4. Each source's permuted draws are dealt to the shards by these quotas; within a shard documents are shuffled locally.
+4. Each source's permuted draws are dealt to the shards by these quotas; within a shard documents are shuffled locally, in
+   pieces of bounded size: a hash deals a shard's documents to its pieces, so the pieces one after the other are a shuffled shard.
 
 Only DataFrame functions are used.  What is gathered per source is one row, and what is gathered per block is one row.
 """
@@ -26,6 +27,8 @@ CAP = 2.0
 BLOCKS = 256
 #: Levels of the tree; it has 2 ** LEVELS shards.
 LEVELS = 5
+#: Words in a piece of a shard, about: what one task shuffles.
+PIECE_WORDS = 2_000_000
 SEED = 20
 
 
@@ -138,14 +141,19 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     return sized.join(plan, ["source_key", "block"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("draws")).alias("taken"), "shards")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is drawn, with its shard, the rows of a shard shuffled.
+def mixed_documents(docs: DataFrame, levels: int = LEVELS, piece_words: int = PIECE_WORDS, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is drawn, with its shard and piece, the rows of a piece shuffled.
 
-    Columns of ``docs`` that this adds (shard) are replaced.
+    Columns of ``docs`` that this adds (shard, piece) are replaced.
     """
-    columns = [c for c in docs.columns if c != "shard"]
+    columns = [c for c in docs.columns if c not in ("shard", "piece")]
     named = docs.select(F.col("doc_id"), "text", "source", F.struct(*columns).alias("row"))
     sized = with_sizes(named)
-    plan = draw_plan(sized.select("source_key", "block", "size"), **options)
+    plan = draw_plan(sized.select("source_key", "block", "size"), levels=levels, **options)
+    words = plan.groupBy("source_key").agg(F.max("target").alias("target")).agg(F.sum("target")).first()[0] or 0
+    shards = 1 << levels
+    pieces = int(words / shards / piece_words) + 1
     drawn = sized.join(plan.where("draws > 0"), ["source_key", "block"]).select("row", F.posexplode("shards").alias("turn", "shard"))
-    return drawn.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(SEED + 3), "shard", "row.doc_id", "turn")).select("row.*", "shard")
+    drawn = drawn.withColumn("piece", F.pmod(F.xxhash64(F.lit(SEED + 4), "row.doc_id", "turn"), F.lit(pieces)).cast("int"))
+    order = F.xxhash64(F.lit(SEED + 3), "shard", "row.doc_id", "turn")
+    return drawn.repartition(shards * pieces, "shard", "piece").sortWithinPartitions("shard", "piece", order).select("row.*", "shard", "piece")

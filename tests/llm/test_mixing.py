@@ -78,7 +78,9 @@ def test_mixture(spark):
     assert len(got) == len(rows)
     assert all(abs(taken[s] - want[s]) <= 0.01 * sizes[s] + 90 for s in sizes)
     assert sorted(map(str, got)) == sorted(map(str, mixture(df.repartition(3)).collect()))
-    draws = Counter(x.doc_id for x in mixed_documents(df).collect())
+    rows = mixed_documents(df, levels=2, piece_words=2000).collect()
+    assert len({(x.shard, x.piece) for x in rows}) > 8 and len({x.shard for x in rows}) == 4
+    draws = Counter(x.doc_id for x in rows)
     assert draws == Counter({x.doc_id: len(x.shards) for x in got if x.shards})
 
 

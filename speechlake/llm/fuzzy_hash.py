@@ -185,8 +185,9 @@ def _rows(batches):
             held, held_print = rows[-1], prints[-1]
 
 
-#: Documents in a range, about, and ranges at most (their first ids are sent to all tasks).
-RANGE_DOCS, RANGES = 5_000, 100_000
+#: Documents in a range, about, and ranges at most (their first ids are sent to all tasks); documents in a task, about.
+#: Tasks get several ranges each, as few would fall to them unevenly.
+RANGE_DOCS, RANGES, TASK_DOCS = 500, 100_000, 4_000
 
 
 def with_following(docs: DataFrame) -> DataFrame:
@@ -213,7 +214,7 @@ def with_following(docs: DataFrame) -> DataFrame:
         return pd.Series([[(p, 0), (last if p == 0 else p - 1, 1)] if f else [(p, 0)] for p, f in zip(own.tolist(), first.tolist(), strict=True)])
 
     dealt = docs.select("doc_id", "text", F.explode(places("doc_id")).alias("at")).select("at.part", "doc_id", "at.extra", "text")
-    return dealt.repartition(len(starts), "part").sortWithinPartitions("part", "extra", "doc_id", "text")
+    return dealt.repartition(min(len(starts), n // TASK_DOCS + 1), "part").sortWithinPartitions("part", "extra", "doc_id", "text")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:

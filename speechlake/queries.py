@@ -426,9 +426,9 @@ def items_with_params(spark, sf_dir):
     return transcripts.with_params(transcripts.with_params(items, labels, "doc_id"), one, "none")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def missing_inputs(spark, sf_dir):
-    return transcripts.missing_inputs(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return transcripts.missing_inputs(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 # --- prompts and texts -----------------------------------------------------------------------------------------------

@@ -25,13 +25,25 @@ FIRST_DAY, CYCLE = "1700-01-01", (189, 773)
 SHAPES = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "date": r"(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[-/.][0-9])",
+    "date": r"(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?!T(?![0-9])|[0-9A-SU-Za-z]|[-/.][0-9])",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9A-Za-z]|[-.][0-9])|\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]){7,12}(?![0-9A-Za-z]|[-.][0-9])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[ -][0-9])",
 }
 ANY = r"(?<![A-Za-z0-9]|[0-9][-.])(?:" + "|".join(SHAPES[k] for k in KINDS) + ")"
+#: Finds that come before all others; digit groups with one space or hyphen between them go as a whole, and cards are found in them.
+FIRST = r"(?<![A-Za-z0-9]|[0-9][-.])(?:" + SHAPES["email"] + "|" + SHAPES["iban"] + r"|(?<!\+)(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+)"
+#: Digit groups of a card among other groups: how many, and what they look like.  Four groups that may be years are none.
+GROUPINGS = (
+    (1, r"^[0-9]{13,19}(?![0-9])"),
+    (4, r"^(?!(?:(?:1[0-9]|2[01])[0-9]{2}[ -]?){4}(?![0-9]))[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
+    (3, r"^[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}(?![0-9])"),
+    (5, r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}(?![0-9])"),
+)
+#: Stands for a find of ``FIRST`` until the rest is done; the sign that it begins with is doubled up in the text itself.
+SIGN = "\x01"
+PLACE, ESCAPED = SIGN + "\x03", SIGN + "\x02"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -202,28 +214,75 @@ def _date(m: Column, key: str) -> Column:
 _MADE = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, key: str, kinds: tuple[str, ...] = KINDS) -> Column:
     """struct(kind, text) for one find: its first valid kind and pseudonym; kind is null and the text as it was if none is valid."""
     def attempt(kind: str) -> Column:
         named = lambda new: F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("text")))
         return F.when(m.rlike("^(?:" + SHAPES[kind] + ")$"), bound(_MADE[kind](m, key), named))
 
-    tried = [attempt(kind) for kind in KINDS]
+    tried = [attempt(kind) for kind in kinds]
     return F.coalesce(*tried, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text")))
 
 
+def _cards(m: Column, key: str) -> Column:
+    """struct(rest, made): the cards made anew, from left to right, and the texts before, between and after them."""
+
+    def taken(groups: Column) -> Column:
+        joined = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
+
+        def size(i: Column) -> Column:
+            valid = lambda n: bound(_digits(_bare(joined(i, F.lit(n)))), lambda d: (_luhn(d, False) == 0) & F.exists(d, lambda x: x != 0))
+            sizes = [F.when(joined(i, F.lit(n)).rlike(shape) & valid(n), F.lit(n)) for n, shape in GROUPINGS]
+            return F.coalesce(*sizes, F.lit(0))
+
+        found = F.filter(F.transform(groups, lambda _, i: F.struct(i.alias("at"), size(i).alias("n"))), lambda x: x["n"] > 0)
+        step = lambda a, x: F.when(F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) <= x["at"], F.concat(a, F.array(F.struct(x["at"].alias("at"), (x["at"] + x["n"]).alias("end"))))).otherwise(a)
+        spans = F.aggregate(found, F.array().cast("array<struct<at:int,end:int>>"), step)
+
+        def pieces(spans: Column) -> Column:
+            edge = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("end")))
+            last = F.array(F.struct(F.size(groups).alias("at"), F.size(groups).alias("end")))
+            rest = F.zip_with(F.concat(edge, spans), F.concat(spans, last), lambda x, y: joined(x["end"], y["at"] - x["end"]))
+            made = F.transform(spans, lambda x: F.struct(F.lit("card").alias("kind"), _card(joined(x["at"], x["end"] - x["at"]), key).alias("text")))
+            return F.struct(rest.alias("rest"), made.alias("made"))
+
+        return bound(spans, pieces)
+
+    return bound(F.regexp_extract_all(m, F.lit("[A-Za-z0-9]+[^A-Za-z0-9]*"), F.lit(0)), taken)
+
+
+def _first(m: Column, key: str) -> Column:
+    """struct(rest, made) of one find of ``FIRST``."""
+    none = F.struct(F.array(m).alias("rest"), F.array().cast("array<struct<kind:string,text:string>>").alias("made"))
+    whole = lambda x: F.when(x["kind"].isNotNull(), F.struct(F.array(F.lit(""), F.lit("")).alias("rest"), F.array(x).alias("made")))
+    cards = F.when(m.contains("@"), none).otherwise(_cards(m, key))
+    return F.coalesce(bound(pseudonym(m, key, ("email", "iban")), whole), cards)
+
+
+def _filled(text: Column, pattern: str, finds: Column) -> Column:
+    """``text`` with its finds of ``pattern`` replaced by the texts ``finds`` in turn."""
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), F.concat(finds, F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")
+
+
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_email, n_iban, n_date, n_ip, n_ssn, n_phone, n_card) for each row of ``docs``: doc_id, text.
 
     Valid personal data in ``text`` is replaced by pseudonyms under ``key``; everything else, invalid numbers included, stays
-    as it is.  A null text stays null.  Rows stay as they are otherwise, repeated ones and null ids too; other columns are ignored.
+    as it is.  A card in one piece, or in one of ``GROUPINGS`` with one separator, is found among other digit groups too; in
+    any other grouping only where no digit group follows.  A null text stays null.  Rows stay as they are otherwise, repeated
+    ones and null ids too; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = F.col("text")
-    finds = F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key)))
+    text, own = F.col("text"), F.replace(F.col("text"), F.lit(SIGN), F.lit(ESCAPED))
     none = F.array().cast("array<struct<kind:string,text:string>>")
-    rows = docs.withColumn("finds", F.coalesce(finds, none))
-    filled = F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(F.transform("finds", lambda x: x["text"]), F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")
-    count = lambda kind: F.size(F.filter("finds", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    finds = lambda column, pattern, use: F.when(column.rlike("[0-9@]"), F.transform(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), use))
+    rows = docs.withColumn("first", finds(own, FIRST, lambda m: _first(m, key)))
+    rows = rows.withColumn("made", F.coalesce(F.flatten(F.transform("first", lambda x: x["made"])), none))
+    placed = F.when(F.size("made") > 0, _filled(own, FIRST, F.transform("first", lambda x: F.array_join(x["rest"], PLACE)))).otherwise(own)
+    rows = rows.withColumn("placed", placed)
+    rows = rows.withColumn("finds", F.coalesce(finds(F.col("placed"), ANY, lambda m: pseudonym(m, key)), none))
+    others = F.when(F.size("finds") > 0, _filled(F.col("placed"), ANY, F.transform("finds", lambda x: x["text"]))).otherwise(F.col("placed"))
+    filled = F.replace(_filled(others, PLACE, F.transform("made", lambda x: x["text"])), F.lit(ESCAPED), F.lit(SIGN))
+    count = lambda kind: F.size(F.filter(F.concat("made", "finds"), lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS]
-    return rows.select("doc_id", F.when(F.size("finds") > 0, filled).otherwise(text).alias("text"), *counts)
+    return rows.select("doc_id", F.when(F.size(F.concat("made", "finds")) > 0, filled).otherwise(text).alias("text"), *counts)

@@ -73,3 +73,32 @@ def test_edge_rows(spark):
     got = {(x.doc_id, x.n_card, x.n_ip): x.text for x in pseudonymised(df, KEY).collect()}
     assert got[1, 0, 0] is None and got[2, 0, 0] == "" and got[3, 300, 0].endswith("w w ") and "4785380592391139" not in got[3, 300, 0] and got[3, 0, 0] == "x" and (None, 0, 1) in got
     assert pseudonymised(df, KEY).count() == 6 and pseudonymised(df.limit(0), KEY).count() == 0
+
+
+def test_cards_among_other_numbers(spark):
+    plain, spaced, hyphens, amex = "4785380592391139", "4785 3805 9239 1139", "4785-3805-9239-1139", "3782 822463 10005"
+    new = {x: y.text for x, y in zip((plain, spaced, hyphens, amex), run(spark, [plain, spaced, hyphens, amex]), strict=True)}
+    assert all(x != y for x, y in new.items())
+    texts = {
+        "{0} {0}": 2, "{1} {1}": 2, "{1} {0} {2} {3}": 4, "{0}-{0}": 2, "{2}-{2}": 2, "{3} {3}": 2,
+        "card {0} 12/27": 1, "card {1} 12/27, 123": 1, "card {0} 123": 1, "card {2} 123": 1, "card {3} 1234": 1, "{1} 2027": 1, "2027 {1}": 1,
+        "qty 2 {0}": 1, "qty 2-{0}": 1, "qty 2 {1}": 1, "12 34 {3} 5 {0} 6": 2, "1234 5679 {1} 9": 1, "{0} 12ab": 1, "OF12 {1}": 1,
+        "\x01\x03 {0} \x01 {0} 5\x01\x02": 2, "2 {0} " * 300: 300, "7 " * 100_000 + "{0}": 1,
+    }
+    for (t, n), x in zip(texts.items(), run(spark, [t.format(plain, spaced, hyphens, amex) for t in texts]), strict=True):
+        assert x.text == t.format(*new.values()) and x.n_card == n and sum(x[2:]) == n, (t[:80], x.text[:200])
+    others = {"{} 8.8.8.8": "n_ip", "{} 1985-03-12": "n_date", "1985-03-12 {}": "n_date", "{} 123-45-6789": "n_ssn", "{} 988-555-2485": "n_phone", "+49 30 12345 {}": "n_phone", "{} a@b.org": "n_email", "{} DE89370400440532013000": "n_iban"}
+    for card in (plain, spaced):
+        for (t, kind), x in zip(others.items(), run(spark, [t.format(card) for t in others]), strict=True):
+            assert x.n_card == 1 and x[kind] == 1 and sum(x[2:]) == 2 and new[card] in x.text, (t, x)
+            assert not any(w in x.text for w in t.split() if w not in ("{}", "+49", "30")), (t, x)
+
+
+def test_numbers_beside_cards_stay(spark):
+    texts = ["1 " * 5000, " ".join(map(str, range(1985, 1996))), "0.4785380592391139", "x1-4785380592391139", "4785380592391138 12", "+4785380592391139123"]
+    assert [x.text for x in run(spark, texts)] == texts
+
+
+def test_time_after_a_date(spark):
+    day, stamp, word = run(spark, ["1985-03-12", "1985-03-12T10:15:00Z", "1985-03-12Tx"])
+    assert stamp.text == day.text + "T10:15:00Z" and stamp.n_date == 1 and word.n_date == 0

@@ -7,6 +7,7 @@ summed per text.  An n-gram is a run of lower-cased code points, so equal texts
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +23,10 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.2
 #: Labelled texts that the classifier learns from, about: a hash of the id keeps that share of all labelled texts.
 SAMPLE = 20_000
-#: Languages at most, the most frequent of the sample: bounds the broadcast to LANGUAGES x BUCKETS doubles.
-LANGUAGES = 64
+#: Labelled texts of each language that it learns from at least, about; of a language with fewer, all.
+LEAST = 1_000
+#: Languages that one vectorised step scores at most.  All are learned; each takes BUCKETS doubles of the broadcast.
+SLICE = 64
 #: Code points that one vectorised step scores at most, unless a text is longer.
 PIECE = 1 << 17
 UNKNOWN = "und"
@@ -71,11 +74,11 @@ class Model:
         for i, j in _batches(texts):
             total = np.repeat(self.priors[None, :], j - i, 0)
             for buckets, starts, sizes in buckets_of(texts[i:j]):
-                rows = self.matrix[buckets]
                 edges = np.empty(2 * len(starts), np.int64)
-                edges[0::2], edges[1::2] = starts, np.minimum(starts + sizes, len(rows) - 1)
-                sums = np.add.reduceat(rows, edges, 0)[0::2]
-                total += np.where((sizes > 0)[:, None], sums, 0)
+                edges[0::2], edges[1::2] = starts, np.minimum(starts + sizes, len(buckets) - 1)
+                for k in range(0, len(self.languages), SLICE):
+                    sums = np.add.reduceat(self.matrix[:, k : k + SLICE][buckets], edges, 0)[0::2]
+                    total[:, k : k + SLICE] += np.where((sizes > 0)[:, None], sums, 0)
             top = total.max(1, keepdims=True)
             best.append(total.argmax(1))
             sure.append(1 / np.exp(total - top).sum(1))
@@ -100,21 +103,24 @@ def _counts(batches):
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from rows of (doc_id, text, lang) with nothing null; None where there are no rows.
 
-    About ``sample`` texts are used, picked by a hash of the id; with fewer, all.  Only languages of the sample are learned.
+    Every language is learned.  About ``sample`` texts are used, picked by a hash of the id, and as many more as give each
+    language ``LEAST`` of its own or all that it has; with fewer than ``sample``, all.  Priors are from the counts of all rows.
     """
-    n = labelled.count()
-    share = int(min(1.0, sample / max(n, 1)) * (1 << 20))
-    picked = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share)
-    priors = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    priors = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not priors:
         return None
-    counted = picked.where(F.col("lang").isin(list(priors))).select("text", "lang").mapInArrow(_counts, "lang string, bucket long, n long")
+    n, whole = sum(priors.values()), 1 << 20
+    shares = [(lang, math.ceil(min(1.0, max(sample / n, LEAST / own)) * whole)) for lang, own in sorted(priors.items())]
+    shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, share long"))
+    picked = labelled.join(shares, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(whole)) < F.col("share"))
+    counted = picked.select("text", "lang").mapInArrow(_counts, "lang string, bucket long, n long")
     counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(priors))
+    at = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((BUCKETS, len(languages)))
-    counts[counted["bucket"].to_numpy(), [languages.index(x) for x in counted["lang"]]] = counted["n"].to_numpy()
+    counts[counted["bucket"].to_numpy(), [at[x] for x in counted["lang"]]] = counted["n"].to_numpy()
     matrix = np.log(counts + SMOOTHING) - np.log(counts.sum(0) + SMOOTHING * BUCKETS)
-    prior = np.log(np.array([priors[x] for x in languages], float)) - np.log(sum(priors.values()))
+    prior = np.log(np.array([priors[x] for x in languages], float)) - np.log(n)
     return Model(languages, prior, matrix)
 
 

@@ -60,3 +60,17 @@ def test_empty(spark):
     unlabelled = spark.createDataFrame([(1, "abc", None), (2, "12", None)], df.schema)
     assert [(x.lang_pred, x.score) for x in predictions(unlabelled).collect()] == [("und", 0.0)] * 2
     assert [x.doc_id for x in identified(unlabelled).collect()] == [1]
+
+
+def test_all_languages_are_learned(spark):
+    own = {f"l{k:02d}": "".join(map(chr, range(0x4E00 + 20 * k, 0x4E14 + 20 * k))) for k in range(70)}
+    data = [(4 * i + j, text, lang) for i, (lang, text) in enumerate(own.items()) for j in range(4)] + [(1000 + i, "the and that", "en") for i in range(4000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    for sample in (20_000, 50):
+        model = fitted(df, sample)
+        assert model.languages == ("en", *own)
+        rows = [x for x in data if binascii.crc32(str(x[0]).encode()) % 4 != 2]
+        for k, lang in enumerate(model.languages):
+            assert abs(np.exp(model.priors[k]) - sum(x[2] == lang for x in rows) / len(rows)) < 1e-9
+        got = {x.doc_id: x.lang_pred for x in predictions(df, sample).where("doc_id < 1010").collect()}
+        assert all(got[i] == lang for i, _, lang in data if i in got)

@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +27,42 @@ PIECE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary one serves on a single machine (master ``local`` or ``local[...]``); on a cluster it raises,
+    as no executor would find what another one wrote.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.speechlake.scratch", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-speechlake-")
         spark.conf.set("spark.speechlake.scratch", folder)
     return folder.rstrip("/")
 
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder and read again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``settle`` wrote for these tables, once nothing reads them any more."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,34 +83,43 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-
-    def __init__(self, base: int):
-        self.base, self.n = base, 0
-        self.up = self.down = np.ones(0, np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 12)
-            both = []
-            for b in (self.base, pow(self.base, -1, 2**64)):
-                x = np.full(self.n, b, np.uint64)
-                x[0] = 1
-                both.append(np.cumprod(x, dtype=np.uint64))
-            self.up, self.down = both
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS = _Powers(0x9E3779B97F4A7C15 | 1)
-_GRAM_POWERS = (_Powers(0xD6E8FEB86659FD93), _Powers(0xA0761D6478BD642F))
-_BYTE_VALUES = mixed(np.arange(256, dtype=np.uint64), 77)
 _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 
 
+def joined(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of pairs; which one stands first counts."""
+    return mixed(mixed(left, salt) + right * np.uint64(0x9E3779B97F4A7C15), salt)
+
+
+_LANE_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans aren't empty.
+
+    A span is cut into lanes of eight bytes.  Each lane is mixed with its place by a function that isn't linear, so no rule of
+    exchanging bytes or lanes cancels out in the sum; spans of eight bytes at most and of one length never collide.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    lengths = ends - starts
+    count = (lengths + 7) >> 3
+    first = np.concatenate(([0], np.cumsum(count)))[:-1]
+    if len(starts) == int(count.sum()):
+        total = mixed(mixed(lanes[starts].view("<u8")[:, 0] & _LANE_MASKS[lengths], 1), 2)
+    else:
+        place = np.arange(int(count.sum())) - np.repeat(first, count)
+        at = np.repeat(starts, count) + 8 * place
+        left = np.minimum(np.repeat(ends, count) - at, 8)
+        each = mixed(mixed(lanes[at].view("<u8")[:, 0] & _LANE_MASKS[left], 1) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 2)
+        total = np.add.reduceat(each, first)
+    return mixed(total + lengths.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 3)
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array and the offsets of its values (null: empty)."""
     texts = texts.cast(pa.large_string())
@@ -130,10 +162,7 @@ class WordHashes:
             starts, ends = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
             if lower:
                 part = _ASCII_LOWER[part]
-            up, down = _BYTE_POWERS(len(part) + 1)
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE_VALUES[part] * up[:-1], out=total[1:])
-            found.append(mixed((total[ends] - total[starts]) * down[starts], 1) ^ (ends - starts).astype(np.uint64))
+            found.append(span_hashes(part, starts, ends))
             starts_all.append(starts + at)
             if spans:
                 ends_all.append(ends + at)
@@ -156,11 +185,19 @@ class WordHashes:
         return n
 
     def grams(self, k: int, which: int = 0) -> np.ndarray:
-        """Hash of the k words from each position on; only positions with k words left in their text are meaningful."""
+        """Hash of the k words from each position on; only positions with k words left in their text are meaningful.
+
+        Built by doubling: runs of 2, 4, 8, ... words from two runs of half their length, and k from those that it consists of.
+        """
         n = len(self.hashes)
         if n < k:
             return np.zeros(0, np.uint64)
-        up, down = _GRAM_POWERS[which](n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mixed(self.hashes, 11 + which) * up[:n], out=total[1:])
-        return mixed((total[k:] - total[: n - k + 1]) * down[: n - k + 1], 21 + which)
+        run, size, out, done = mixed(self.hashes, 11 + which), 1, None, 0
+        while True:
+            if k & size:
+                out = run if out is None else joined(out[: len(out) - size], run[done:], 40 + size)
+                done += size
+            if done == k:
+                return mixed(out[: n - k + 1], 21 + which)
+            run = joined(run[:-size], run[size:], 70 + size)
+            size *= 2

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import _BYTE_POWERS, _BYTE_VALUES, mixed, utf8
+from speechlake.llm.common import mixed
 
 #: Characters of a signature at most; the last chunk takes what is left.
 LENGTH = 64
@@ -49,6 +49,34 @@ def levels(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(z % np.uint64(3) == 0, np.log2(low.astype(np.float64)).astype(np.int8), np.int8(-1)).astype(np.int8)
 
 
+PRIME = (1 << 31) - 1
+BASE = 0x2545F491
+_BYTE_VALUES = mixed(np.arange(256, dtype=np.uint64), 77) % np.uint64(PRIME)
+_KNOWN: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first powers of ``base`` modulo PRIME, at least ``n``; by doubling, and remembered."""
+    x = _KNOWN.get(base, np.ones(1, np.uint64))
+    while len(x) < n:
+        x = np.concatenate((x, x * np.uint64(pow(base, len(x), PRIME)) % np.uint64(PRIME)))
+    _KNOWN[base] = x
+    return x[:n]
+
+
+def prefix_residues(data: np.ndarray) -> np.ndarray:
+    """Sums of byte values times powers of BASE modulo PRIME, before each byte and at the end, none of them reduced."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * _powers(BASE, len(data)) % np.uint64(PRIME), out=total[1:])
+    return total
+
+
+def span_residues(total: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The polynomial hash modulo PRIME of each span between two edges, from ``prefix_residues``; the same wherever a span stands."""
+    back = _powers(pow(BASE, -1, PRIME), int(edges[-1]) + 1)[edges[:-1]]
+    return (total[edges[1:]] - total[edges[:-1]]) % np.uint64(PRIME) * back % np.uint64(PRIME)
+
+
 def _signature(hashes: np.ndarray) -> str:
     return LETTERS[hashes >> np.uint64(58)].tobytes().decode()
 
@@ -64,9 +92,7 @@ def fingerprints(texts: list[bytes]) -> list[tuple[int, str, str]]:
         data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts[i:j]]))).astype(np.int64)
         level = levels(data, offsets)
-        up, down = _BYTE_POWERS(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * up[:-1], out=total[1:])
+        total = prefix_residues(data)
         places = np.flatnonzero(level >= 0)
         level = level[places]
         bounds = np.searchsorted(places, offsets)
@@ -77,7 +103,7 @@ def fingerprints(texts: list[bytes]) -> list[tuple[int, str, str]]:
             def chunks(size: int, own=own, ends=ends, a=a, b=b) -> np.ndarray:
                 cut = ends[own >= size][: LENGTH - 1]
                 edges = np.concatenate(([a], cut[cut < b], [b])) if b > a else np.array([a])
-                return mixed((total[edges[1:]] - total[edges[:-1]]) * down[edges[:-1]], 61) if len(edges) > 1 else np.zeros(0, np.uint64)
+                return mixed(span_residues(total, edges), 61) if len(edges) > 1 else np.zeros(0, np.uint64)
 
             size = 0
             while (SMALLEST << size) * LENGTH < b - a:
@@ -185,24 +211,22 @@ def _rows(batches):
             held, held_print = rows[-1], prints[-1]
 
 
-#: Documents in a range, about, and ranges at most (their first ids are sent to all tasks); documents in a task, about.
+#: Documents in a range, about, and ranges at most, about (their first ids are sent to all tasks); characters in a task, about.
 #: Tasks get several ranges each, as few would fall to them unevenly.
-RANGE_DOCS, RANGES, TASK_DOCS = 500, 100_000, 4_000
+RANGE_DOCS, RANGES, TASK_CHARS = 500, 100_000, 8 << 20
 
 
 def with_following(docs: DataFrame) -> DataFrame:
     """(part, doc_id, extra, text) dealt to ranges of doc_id and sorted; each range ends with the first document of the next.
 
-    The ranges begin at ids of ``docs`` that an approximate percentile gives, at most RANGES of them; the last one ends with
-    the very first document (``extra``), so every document stands once beside the one that follows it.
+    The ranges begin at the ids that a hash picks, one in ``RANGE_DOCS`` or so many fewer that there are about RANGES of them,
+    and at the very first; the last one ends with the very first document (``extra``), so every document stands once beside
+    the one that follows it.
     """
-    n = docs.count()
-    parts = int(min(RANGES, n // RANGE_DOCS + 1))
-    marks = docs.agg(F.min("doc_id").alias("first"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 5 * parts)).alias("marks") if parts > 1 else F.array().alias("marks")).first()
-    if marks["first"] is None:
-        starts = np.zeros(1, np.int64)
-    else:
-        starts = np.unique(np.array([marks["first"], *(marks["marks"] or [])], np.int64))
+    whole = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.sum(F.length("text")).alias("chars")).first()
+    every = max(RANGE_DOCS, whole["n"] // RANGES)
+    marks = docs.select("doc_id").where(F.pmod(F.xxhash64(F.lit("range"), "doc_id"), F.lit(every)) == 0).distinct().toPandas()["doc_id"].to_numpy(np.int64)
+    starts = np.unique(np.concatenate((marks, [whole["first"] or 0]))).astype(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(starts)
 
     @F.pandas_udf("array<struct<part:int,extra:int>>")
@@ -214,7 +238,7 @@ def with_following(docs: DataFrame) -> DataFrame:
         return pd.Series([[(p, 0), (last if p == 0 else p - 1, 1)] if f else [(p, 0)] for p, f in zip(own.tolist(), first.tolist(), strict=True)])
 
     dealt = docs.select("doc_id", "text", F.explode(places("doc_id")).alias("at")).select("at.part", "doc_id", "at.extra", "text")
-    return dealt.repartition(min(len(starts), n // TASK_DOCS + 1), "part").sortWithinPartitions("part", "extra", "doc_id", "text")
+    return dealt.repartition(min(len(starts), int(whole["chars"] or 0) // TASK_CHARS + 1), "part").sortWithinPartitions("part", "extra", "doc_id", "text")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:

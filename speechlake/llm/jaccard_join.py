@@ -1,47 +1,45 @@
 """Exact n-gram Jaccard join in size-banded tiles with hashed bitmap signatures.
 
 1. Every text becomes the sorted set of its word shingles' 64-bit hashes.  Texts with equal sets form one class; only the
-   smallest id of a class goes on, so a group of copies costs one row.
-2. Seeds.  Sizes fall into bands so wide that two linked sets are in the same or in neighbouring bands.  For a band the
-   hash space is cut into more parts than two linked sets can have differing shingles, so linked sets agree on at least one
-   whole part: (band, part, contents) is a key that both have.  A task gathers what it has of a key before the shuffle.
-3. The members of each key that several sets have are compared by hashed parity bitmaps: differing bits bound the differing
-   shingles from below, so pairs that can't reach the threshold are dropped, and a spanning forest of the others is kept.  Keys
-   with the same members are compared once.
-4. Each component of these forests is cut into tiles of neighbouring sizes, and pairs of tiles whose size bands are compatible
+   first of a class goes on, so a group of copies costs one row.
+2. Seeds.  Sets meet by bands of sizes, each band twice as wide as the one below; a set also stands in the band below if it
+   can be linked with a set there.  For a band the hash space is cut into more parts than two linked sets can have differing
+   shingles, so linked sets agree on whole parts that aren't empty: (band, part, contents) is a key that both have.  A set gives
+   as many keys as can differ, one, and a third more; the fullest parts come first.  The few sets that have too few full parts
+   also take their shingles one by one as keys.
+3. Keys are counted, and keys of a single set dropped.  Of the others each set keeps its rarest ones, so many that with its
+   dropped ones they are one more than can differ: linked sets still meet, and a key that very many sets have is only
+   used by sets that have hardly any rare one.  Sets without a chance of a partner end here.
+4. The members of a key are compared by hashed parity bitmaps: differing bits bound the differing shingles from below, so pairs
+   that can't reach the threshold are dropped, and a spanning forest of the others is kept.  Keys with the same members are
+   compared once; the members of a large key are dealt to chunks, and each pair of chunks is a list of its own.
+5. Each component of these forests is cut into tiles of neighbouring sizes, and pairs of tiles whose size bands are compatible
    are compared: bit counts bound the overlap from above, and only pairs that can still reach the threshold and aren't connected
    yet are intersected exactly.  A tile pair returns a spanning forest of its links, never all pairs.  Tiles are planned on
    ids and sizes; the sets themselves are shuffled once, to where they are compared.
-5. Components of these links, over all classes, are the result.
+6. Components of these links, over all classes, are the result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechlake.llm.common import WordHashes, mixed, settle, slices, utf8
 from speechlake.llm.components import connected_components
 
-#: Ratio of the sizes that a band covers: a little over 1 / 0.9, so that linked sets are at most one band apart.
+#: Ratio of the sizes in a band of tiles: a little over 1 / 0.9, so that linked sets are at most one band apart.
 SPREAD = 1.005
-#: Parts beyond those that pigeonhole needs; texts with more empty parts than this emit keys for empty parts too.
-SPARE_PARTS = 1
 #: Shingles that a tile of the exact comparison holds at most (8 bytes each); a larger set is a tile of its own.
 TILE_SHINGLES = 400_000
-EMPTY_SALT = 97
-#: Keys that a task holds at most while it gathers what it has of each key.
-HELD_KEYS = 1_000_000
-#: Members of a key that are compared in one place; more are cut into chunks, and each pair of chunks is compared.
+#: Members of a key that are compared in one place, about; twice as many or more are dealt to chunks of that size.
 CHUNK = 2048
-#: Member lists that a task remembers at most, to drop repeated ones early.
-LISTS = 100_000
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -62,150 +60,116 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def band_of(sizes, percent: int):
-    return np.floor(np.log(sizes) / math.log(100 / percent * SPREAD)).astype(np.int64)
+def most_apart(n: int, percent: int) -> int:
+    """Shingles that a set of ``n`` and one that it is linked with have not in common, at most."""
+    return (n + 100 * n // percent) * (100 - percent) // (100 + percent)
+
+
+def bands_of(n: int, percent: int) -> list[int]:
+    """The bands in which a set of ``n`` meets others: that of the smaller set of a linked pair."""
+    own = n.bit_length() - 1
+    return [own, own - 1] if -(-percent * n // 100) < 1 << own else [own]
 
 
 def parts_of(band: int, percent: int) -> int:
-    """Parts for pairs whose smaller set is in ``band``: more than the differing shingles of any linked pair."""
-    largest = int(math.ceil((100 / percent * SPREAD) ** (band + 1))) + 1
-    # the difference is (1 - p) / (1 + p) of both sizes together at most, and the larger set 1 / p of the smaller
-    differing = largest * (100 - percent) // percent
-    return differing + 1 + SPARE_PARTS
-
-
-def part_keys(s: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """Keys of a sorted set for pairs whose smaller set is in ``band``."""
-    m = parts_of(band, percent)
-    edges = (np.arange(m + 1, dtype=np.float64) * (2.0**64 / m))
-    inner = np.minimum(edges[1:-1], 2.0**64 - 4096).astype(np.uint64)
-    at = np.concatenate(([0], np.searchsorted(s, inner), [len(s)]))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(s, 31), dtype=np.uint64)))
-    sums, counts = total[at[1:]] - total[at[:-1]], np.diff(at)
-    keys = mixed(sums ^ mixed(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32), 32), 33)
-    full = counts > 0
-    if m - int(full.sum()) > SPARE_PARTS:
-        keys[~full] = mixed(keys[~full], EMPTY_SALT)
-        return keys
-    return keys[full]
-
-
-def _set_rows(words: int):
+    """Parts for pairs whose smaller set is in ``band``: a third more than the shingles that any of them can have apart."""
+    return most_apart((2 << band) * 100 // percent, percent) * 4 // 3 + 2
+
+
+@lru_cache(maxsize=256)
+def _inner_edges(parts: int) -> np.ndarray:
+    return np.minimum(np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts), 2.0**64 - 4096).astype(np.uint64)
+
+
+def part_keys(s: np.ndarray, band: int, percent: int, single: bool = False) -> tuple[np.ndarray, int]:
+    """Keys of a sorted set in ``band``, those of the fullest parts, and how many full parts it has.  ``single``: each shingle is a part.
+
+    The last two bits of a key tell its kind, so that keys of two bands, or of parts and shingles, are told apart.
+    """
+    if single:
+        keys, counts = mixed(s ^ mixed(np.full(1, band, np.uint64), 34), 35), np.ones(len(s), np.int64)
+    else:
+        m = parts_of(band, percent)
+        at = np.concatenate(([0], np.searchsorted(s, _inner_edges(m)), [len(s)]))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(s, 31), dtype=np.uint64)))
+        sums, counts = total[at[1:]] - total[at[:-1]], np.diff(at)
+        full = np.flatnonzero(counts)
+        keys, counts = mixed(sums[full] ^ mixed(full.astype(np.uint64) + np.uint64(band << 32), 32), 33), counts[full]
+    wanted = most_apart(len(s), percent) + 1 + (most_apart(1 << band, percent) + 3) // 3
+    keys = (keys & ~np.uint64(3)) | np.uint64(band & 1 | single << 1)
+    return keys[np.lexsort((keys, -counts))[:wanted]], len(counts)
+
+
+def set_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """All keys of a sorted set; and for each kind of key how many more of the shared ones than there are must be kept (under 0: fewer).
+
+    A set that can only be linked with an equal one has no keys.
+    """
+    apart, keys, more = most_apart(len(s), percent), [], [0, 0, 0, 0]
+    for band in bands_of(len(s), percent) if apart else ():
+        own, full = part_keys(s, band, percent)
+        keys.append(own)
+        more[band & 1] = apart + 1 - len(own)
+        if full <= apart:
+            own, _ = part_keys(s, band, percent, True)
+            keys.append(own)
+            more[band & 1 | 2] = apart + 1 - len(own)
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64), more
+
+
+SETS = "doc_id long, n_shingles long, set_low long, set_high long, bitmap binary, keys array<long>, more array<int>"
+
+
+def _set_rows(words: int, percent: int):
     def rows(batches):
         for batch in batches:
-            low, high, sizes = [], [], []
+            low, high, sizes, bitmaps, keys, more = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 sizes.append(len(s))
                 low.append(int(np.sum(mixed(s, 41), dtype=np.uint64)))
                 high.append(int(np.sum(mixed(s, 42), dtype=np.uint64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64))],
-                ["doc_id", "n_shingles", "set_low", "set_high"],
-            )
+                bitmaps.append(parity(s) if len(s) else None)
+                own, rest = set_keys(s, percent)
+                keys.append(own)
+                more.append(rest)
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
+            values = [
+                batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64)),
+                pa.array(bitmaps, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))), pa.array(more, pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(values, [x.split()[0] for x in SETS.split(", ")])
 
     return rows
 
 
-KEY_ROWS = "key long, doc_id long, more binary"
-
+def rarest(keyed: DataFrame, several: DataFrame) -> DataFrame:
+    """(key, doc_id) that are to be compared, from all (key, doc_id, more).
 
-def _key_rows(words: int, percent: int):
-    """Rows (key, smallest id, the other ids as bytes or null) of the keys of each batch that is held."""
-
-    def gathered(keys: list[np.ndarray], ids: list[np.ndarray]):
-        k, d = np.concatenate(keys).view(np.int64), np.concatenate(ids)
-        order = np.lexsort((d, k))
-        k, d = k[order], d[order]
-        first = np.flatnonzero(np.concatenate((np.ones(1, bool), np.diff(k) != 0)))
-        sizes = np.diff(np.concatenate((first, [len(k)])))
-        more = np.full(len(first), None, object)
-        for i in np.flatnonzero(sizes > 1):
-            more[i] = np.unique(d[first[i] + 1 : first[i] + sizes[i]]).tobytes()
-        for i in range(0, len(first), 200_000):
-            part = slice(i, i + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(k[first[part]]), pa.array(d[first[part]]), pa.array(more[part], pa.binary())], ["key", "doc_id", "more"])
-
-    def rows(batches):
-        keys, ids, held, known = [], [], 0, {}
-        for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for doc, s in zip(docs, shingle_sets(batch.column(1), words), strict=True):
-                # of equal sets among those held only the smallest id can be a class's first; it tells the keys
-                name = (len(s), int(np.sum(mixed(s, 41), dtype=np.uint64)), int(np.sum(mixed(s, 42), dtype=np.uint64)))
-                if len(s) and doc < known.get(name, doc + 1):
-                    known[name] = doc
-                    band = int(band_of(len(s), percent))
-                    own = np.concatenate([part_keys(s, b, percent) for b in (band, band - 1) if b >= 0])
-                    keys.append(own)
-                    ids.append(np.full(len(own), doc))
-                    held += len(own)
-                    if held >= HELD_KEYS:
-                        yield from gathered(keys, ids)
-                        keys, ids, held, known = [], [], 0, {}
-        if keys:
-            yield from gathered(keys, ids)
+    Keys of one set are dropped; of the others each document keeps the rarest, ``more`` than it has (so fewer, where ``more`` is
+    under 0); the documents in ``several`` (doc_id), which have several sets, keep all.
+    """
+    counts = settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    kind = Window.partitionBy("doc_id", F.col("key").bitwiseAND(3))
+    shared = keyed.join(counts.hint("shuffle_hash"), "key").join(several.withColumn("several", F.lit(True)), "doc_id", "left")
+    place, have = F.row_number().over(kind.orderBy("n", "key")), F.count("*").over(kind)
+    ranked = shared.withColumns({"place": place, "have": have}).where((F.col("place") <= F.col("have") + F.col("more")) | F.col("several"))
+    return ranked.select("key", "doc_id")
 
-    return rows
 
+def comparison_lists(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(list, doc_id): lists in which all pairs of a key's members (key, doc_id) stand together; equal member lists are kept once.
 
-def _lists(members: np.ndarray):
-    """The lists in which all pairs of ``members`` stand together."""
-    if len(members) <= 2 * CHUNK:
-        yield members
-        return
-    chunks = [members[i : i + CHUNK] for i in range(0, len(members), CHUNK)]
-    for i, a in enumerate(chunks):
-        for b in chunks[i + 1 :]:
-            yield np.concatenate((a, b))
-
-
-def _member_rows(batches):
-    """(list, id) for each key with several ids, from key rows sorted by key; a key's rows may go over batches."""
-    seen: set[int] = set()
-
-    def told(groups):
-        lists, ids = [], []
-        for members in groups:
-            for own in _lists(members):
-                name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-                if name not in seen:
-                    if len(seen) >= LISTS:
-                        seen.clear()
-                    seen.add(name)
-                    lists.append(np.full(len(own), name))
-                    ids.append(own)
-                    if len(own) > 100_000 or sum(map(len, ids[-50:])) > 200_000:
-                        yield lists, ids
-                        lists, ids = [], []
-        if lists:
-            yield lists, ids
-
-    def groups_of(k, d, more):
-        starts = np.flatnonzero(np.concatenate((np.ones(1, bool), np.diff(k) != 0)))
-        ends = np.concatenate((starts[1:], [len(k)]))
-        rich = np.array([m is not None for m in more], bool)
-        several = (ends - starts > 1) | np.logical_or.reduceat(rich, starts)
-        for a, b in zip(starts[several], ends[several], strict=True):
-            parts = [d[a:b], *(np.frombuffer(m, np.int64) for m in more[a:b] if m is not None)]
-            members = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.unique(parts[0])
-            if len(members) > 1:
-                yield members
-
-    held = None
-    for batch in batches:
-        now = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), np.array(batch.column(2).to_pylist(), object)]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        if not len(now[0]):
-            continue
-        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on
-        held = [x[cut:] for x in now]
-        if cut:
-            for lists, ids in told(groups_of(*(x[:cut] for x in now))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.concatenate(ids))], ["list", "doc_id"])
-    if held is not None and len(held[0]):
-        for lists, ids in told(groups_of(*held)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.concatenate(ids))], ["list", "doc_id"])
+    A key with ``2 * chunk`` members or more is dealt to chunks by a hash of the id; each pair of chunks is a list.
+    """
+    sums = [F.bit_xor(F.xxhash64(F.lit(i), "doc_id")).alias(f"sum{i}") for i in (1, 2)]
+    named = members.groupBy("key").agg(F.count("*").alias("n"), *sums).where("n > 1")
+    keys = settle(named.groupBy("n", "sum1", "sum2").agg(F.min("key").alias("key")).select("key", "n"), "keys")
+    rows = members.join(keys.hint("shuffle_hash"), "key")
+    chunks = F.when(F.col("n") < 2 * chunk, 1).otherwise(F.ceil(F.col("n") / chunk)).cast("int")
+    rows = rows.select("key", "doc_id", chunks.alias("chunks")).withColumn("own", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("chunks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: i != F.col("own"))
+    pairs = F.transform(others, lambda i: F.xxhash64("key", F.least(i, F.col("own")), F.greatest(i, F.col("own"))))
+    return rows.select(F.explode(F.when(F.col("chunks") == 1, F.array("key")).otherwise(pairs)).alias("list"), "doc_id")
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -222,16 +186,6 @@ def folded(bitmap: bytes, size: int) -> bytes:
     return x.tobytes()
 
 
-def _bitmap_rows(words: int):
-    def rows(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(1), words))
-            keep = np.array([len(s) > 0 for s in sets], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array([len(s) for s in sets if len(s)], pa.int64()), pa.array([parity(s) for s in sets if len(s)], pa.binary())], ["doc_id", "size", "bitmap"])
-
-    return rows
-
-
 def possible_forest(ids: np.ndarray, sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose bitmaps don't rule a link out."""
     least = min(map(len, bitmaps))
@@ -371,24 +325,25 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, tile_
     several texts.  A row with a null doc_id is returned with a null component.  Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = settle(docs.mapInArrow(_set_rows(words), "doc_id long, n_shingles long, set_low long, set_high long"), "sets")
+    sets = settle(docs.mapInArrow(_set_rows(words, percent), SETS).withColumn("row", F.monotonically_increasing_id()), "sets")
     some = sets.where("n_shingles > 0 and doc_id is not null")
     by_set = ["n_shingles", "set_low", "set_high"]
-    classes = settle(some.groupBy(*by_set).agg(F.min("doc_id").alias("class_id")), "classes")
-
-    texts = docs.where("doc_id is not null")
-    firsts = settle(classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.max("n_shingles").alias("size")), "firsts")
-    keyed = texts.mapInArrow(_key_rows(words, percent), KEY_ROWS).repartition("key").sortWithinPartitions("key", "doc_id")
-    members = settle(keyed.mapInArrow(_member_rows, "list long, doc_id long").distinct(), "members")
-    bitmaps = settle(texts.mapInArrow(_bitmap_rows(words), "doc_id long, size long, bitmap binary"), "bitmaps")
-    met = members.join(firsts.select("doc_id"), "doc_id", "left_semi").join(bitmaps.hint("shuffle_hash"), "doc_id")
+    classes = settle(some.groupBy(*by_set).agg(F.min("doc_id").alias("class_id"), F.min_by("row", "doc_id").alias("row")), "classes")
+    firsts = settle(classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.max("n_shingles").alias("size"), F.count("*").alias("sets")), "firsts")
+    chosen = some.where(F.size("keys") > 0).join(classes.select("row").hint("shuffle_hash"), "row", "left_semi")
+    chosen = settle(chosen.select("doc_id", F.col("n_shingles").alias("size"), "bitmap", "keys", "more"), "chosen")
+
+    keyed = chosen.select("doc_id", "more", F.explode("keys").alias("key"))
+    keyed = keyed.select("key", "doc_id", F.element_at("more", (F.col("key").bitwiseAND(3) + 1).cast("int")).alias("more"))
+    members = settle(rarest(keyed, firsts.where("sets > 1").select("doc_id")), "members")
+    met = settle(comparison_lists(members), "lists").join(chosen.select("doc_id", "size", "bitmap").hint("shuffle_hash"), "doc_id")
     met = met.select("list", "doc_id", "size", "bitmap").repartition("list").sortWithinPartitions("list", "doc_id")
     near = met.mapInArrow(_forest_rows(percent), "doc_id long, head long")
     blocks = connected_components(near, "doc_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-    plan = tile_plan(settle(blocks.join(firsts, "doc_id"), "blocks"), percent, tile_shingles)
-    payload = texts.join(plan.hint("shuffle_hash"), "doc_id").mapInArrow(_payload_rows(words), PAYLOAD)
+    plan = tile_plan(settle(blocks.join(firsts.select("doc_id", "size"), "doc_id"), "blocks"), percent, tile_shingles)
+    payload = docs.where("doc_id is not null").join(plan.hint("shuffle_hash"), "doc_id").mapInArrow(_payload_rows(words), PAYLOAD)
     links = settle(payload.groupBy("bucket", "one", "other").applyInArrow(_compare(percent), "a long, b long"), "links")
-    copies = some.join(classes, by_set).select("doc_id", "class_id")
+    copies = some.join(classes.drop("row"), by_set).select("doc_id", "class_id")
     joined = connected_components(links.union(copies.where("doc_id <> class_id")), "a", "b")
     out = sets.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

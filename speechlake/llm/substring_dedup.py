@@ -146,7 +146,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     firsts = classes.select(F.col("first_id").alias("doc_id"), "text_key")
     copies = texts.join(classes, same).where("doc_id > first_id").select(*row)
 
-    seeds = some.mapInArrow(_seed_rows(min_words, seed_words), "seed long, doc_id long, text_key long")
+    seeds = settle(some.mapInArrow(_seed_rows(min_words, seed_words), "seed long, doc_id long, text_key long"), "seeds")
     shared = lambda df: settle(df.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "shared")
     met = settle(seeds.join(shared(seeds.select("seed")), "seed"), "met")  # settled, or the planner would shuffle all seeds for the next join first
     met = settle(met.join(firsts, row, "left_semi"), "met")

@@ -46,6 +46,45 @@ def test_fingerprints_do_not_depend_on_the_batch():
     assert near > 0.9 and far == 0
 
 
+def plain_fingerprint(text):
+    """Byte by byte: a rolling sum over the last seven bytes ends chunks, a polynomial modulo a prime names them."""
+    from speechlake.llm.fuzzy_hash import _BYTE_VALUES, BASE, PRIME
+    from speechlake.llm.common import mixed
+
+    window, ends = [], []
+    for i, byte in enumerate(text):
+        window = [byte, *window[:6]]
+        z = sum(x * (8 - back) + (x << 5 * back) * 0x9E3779B1 for back, x in enumerate(window)) % 2**32
+        z = (z ^ z >> 15) * 0x85EBCA6B % 2**32
+        z = (z ^ z >> 13) + 1
+        if z % 3 == 0:
+            ends.append((i + 1, (z & -z).bit_length() - 1))
+
+    def signature(size):
+        cuts = [e for e, level in ends if level >= size][:63]
+        edges = [0, *(c for c in cuts if c < len(text)), len(text)] if text else [0]
+        out = ""
+        for a, b in zip(edges, edges[1:]):
+            value = sum(int(_BYTE_VALUES[x]) * pow(BASE, k, PRIME) for k, x in enumerate(text[a:b])) % PRIME
+            out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[int(mixed(np.array([value], np.uint64), 61)[0]) >> 58]
+        return out
+
+    size = 0
+    while (3 << size) * 64 < len(text):
+        size += 1
+    while size and sum(level >= size for _, level in ends) + 1 < 32:
+        size -= 1
+    return 3 << size, signature(size), signature(size + 1)
+
+
+def test_fingerprints_are_those_of_a_plain_loop():
+    r = random.Random(12)
+    texts = [bytes(r.choices(b"abc ~", k=n)) for n in (0, 1, 2, 6, 7, 8, 50, 191, 192, 193, 700, 3000)] + [bytes(r.choices(range(256), k=9000)), b"z" * 500]
+    word = bytes(b"ab"[bin(i).count("1") & 1] for i in range(2048))
+    texts += [word, word.translate(bytes.maketrans(b"ab", b"ba"))]
+    assert fingerprints(texts) == [plain_fingerprint(t) for t in texts]
+
+
 def test_pairs(spark):
     r = random.Random(3)
     words = ["".join(r.choices("abcdefé", k=r.randint(1, 8))) for _ in range(200)]

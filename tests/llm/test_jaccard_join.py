@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from speechlake.llm.jaccard_join import band_of, jaccard_components, part_keys
+from speechlake.llm.jaccard_join import bands_of, comparison_lists, jaccard_components, most_apart, rarest, set_keys
 
 
 def shingles(text, k=3):
@@ -53,18 +53,49 @@ def test_same_as_all_pairs(spark, tile):
     assert {x.doc_id: (x.n_shingles, x.component_id if x.n_shingles else x.doc_id) for x in got} == want
 
 
-def test_linked_sets_share_a_key():
+def random_pair(r, percent):
     import numpy as np
 
-    r = np.random.default_rng(5)
-    for _ in range(300):
-        n = int(r.integers(1, 400))
-        a = np.unique(r.integers(0, 2**64 - 1, n, dtype=np.uint64))
-        b = np.unique(np.concatenate((a[int(r.integers(0, max(1, n // 12))) :], r.integers(0, 2**64 - 1, int(r.integers(0, n // 12 + 1)), dtype=np.uint64))))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both):
-            keys = [{int(k) for y in {int(band_of(len(x), 90)), int(band_of(len(x), 90)) - 1} if y >= 0 for k in part_keys(x, y, 90)} for x in (a, b)]
-            assert keys[0] & keys[1]
+    n, part = int(r.integers(1, 700)), percent // (100 - percent) + 3
+    a = np.unique(r.integers(0, 2**64 - 1, n, dtype=np.uint64))
+    return a, np.unique(np.concatenate((a[int(r.integers(0, max(1, n // part + 2))) :], r.integers(0, 2**64 - 1, int(r.integers(0, n // part + 2)), dtype=np.uint64))))
+
+
+def is_linked(a, b, percent):
+    both = len(set(a.tolist()) & set(b.tolist()))
+    return len(a) > 0 < len(b) and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_keep_a_common_key(percent):
+    """Whatever else has their keys, so in any order of rarity, the keys that two linked sets keep have one in common."""
+    import numpy as np
+
+    r, linked = np.random.default_rng(5), 0
+    for _ in range(1500):
+        a, b = random_pair(r, percent)
+        if is_linked(a, b, percent) and len(set(a.tolist()) ^ set(b.tolist())):
+            linked += 1
+            (ka, more_a), (kb, more_b) = set_keys(a, percent), set_keys(b, percent)
+            met = False
+            for kind in range(4):
+                x, y = ([int(k) for k in own if int(k) & 3 == kind] for own in (ka, kb))
+                common = set(x) & set(y)
+                others = {k for k in [*x, *y] if k not in common and r.random() < 0.5}  # what sets besides these two have
+                rank = {k: (int(r.integers(2, 6)), k) for k in [*x, *y]}
+                kept = [set(sorted((k for k in own if k in common or k in others), key=rank.get)[: max(0, len([k for k in own if k in common or k in others]) + more[kind])]) for own, more in ((x, more_a), (y, more_b))]
+                met |= bool(kept[0] & kept[1])
+            assert met
+    assert linked > 300
+
+
+def test_how_far_apart():
+    for percent in (80, 90):
+        for n in range(1, 120):
+            far = max(a + n - 2 * both for a in range(1, 160) for both in range(min(a, n) + 1) if 100 * both >= percent * (a + n - both))
+            assert far <= most_apart(n, percent) <= far + 1
+            partners = {a for a in range(1, 160) for both in range(min(a, n) + 1) if 100 * both >= percent * (a + n - both)}
+            assert all(min(a, n).bit_length() - 1 in bands_of(n, percent) for a in partners)
 
 
 def test_edge_rows(spark):
@@ -96,42 +127,72 @@ def test_bitmaps_never_rule_out_a_link():
     assert ruled_out > 50
 
 
-def test_lists_hold_all_pairs(monkeypatch):
-    import numpy as np
+def test_lists_hold_all_pairs(spark):
+    members = {1: range(2), 2: range(3), 3: range(1), 4: range(2), 5: range(40, 63), 6: range(100, 108)}
+    df = spark.createDataFrame([(k, d) for k, own in members.items() for d in own], "key long, doc_id long")
+    lists = {}
+    for x in comparison_lists(df, 4).collect():
+        lists.setdefault(x["list"], []).append(x.doc_id)
+    assert sorted(map(tuple, map(sorted, lists.values())))[:2] == [(0, 1), (0, 1, 2)]  # one of two equal ones, none of one member
+    pairs = {p for own in lists.values() for p in combinations(sorted(own), 2)}
+    assert pairs == {p for own in members.values() for p in combinations(own, 2)}
+    assert max(map(len, lists.values())) < 20
 
-    import speechlake.llm.jaccard_join as m
 
-    monkeypatch.setattr(m, "CHUNK", 4)
-    for n in (2, 8, 9, 23):
-        pairs = {(int(x), int(y)) for own in m._lists(np.arange(n)) for x, y in combinations(own, 2)}
-        assert pairs == set(combinations(range(n), 2))
-        assert all(len(own) <= 8 for own in m._lists(np.arange(n)))
+def test_rarest_keys_are_kept(spark):
+    rows = [(10 * k, d, -1) for k, own in ((4, range(9)), (8, range(5)), (12, range(2)), (16, range(1))) for d in own]
+    rows += [(3, 100, -5), (7, 100, -5), (3, 101, 3), (7, 102, 0)]
+    df = spark.createDataFrame(rows, "key long, doc_id long, more int")
+    got = {}
+    for x in rarest(df, spark.createDataFrame([(100,)], "doc_id long")).collect():
+        got.setdefault(x.doc_id, []).append(x.key)
+    assert {d: sorted(k) for d, k in got.items()} == {0: [80, 120], 1: [80, 120], 2: [80], 3: [80], 4: [80], 100: [3, 7], 101: [3], 102: [7]}
 
 
-def test_keys_and_lists_over_batches():
+def test_forest_over_batches():
     import numpy as np
     import pyarrow as pa
 
-    from speechlake.llm.jaccard_join import _forest_rows, _member_rows, parity
-
-    more = np.array([8, 9], np.int64).tobytes()
-    rows = [(1, 5, None), (2, 1, None), (2, 3, None), (2, 4, None), (3, 2, None), (4, 7, more), (5, 6, None), (5, 6, None)]
-    names = ["key", "doc_id", "more"]
+    from speechlake.llm.jaccard_join import _forest_rows, parity
 
     def batches(table, size, names):
         for i in range(0, len(table), size):
             cols = list(zip(*table[i : i + size], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n in ("more", "bitmap") else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
-
-    for size in (1, 2, 3, 100):
-        lists = {}
-        for b in _member_rows(batches(rows, size, names)):
-            for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lists.setdefault(k, []).append(d)
-        assert sorted(map(sorted, lists.values())) == [[1, 3, 4], [7, 8, 9]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "bitmap" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
+
     a = np.arange(100, dtype=np.uint64) * np.uint64(977)
     sets = {1: a, 2: a[1:], 3: a + np.uint64(5), 4: np.concatenate((a, np.array([3], np.uint64)))}
     table = [(k, d, len(sets[d]), parity(sets[d])) for k, own in ((1, (1, 2)), (2, (1, 3)), (3, (1, 2, 3, 4))) for d in own]
     for size in (1, 3, 100):
         found = {p for b in _forest_rows(90)(batches(table, size, ["list", "doc_id", "size", "bitmap"])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
         assert found == {(2, 1), (4, 1)}
+
+
+def templated(n, seed=7):
+    """Short texts that share a template, each with a few words of its own; some are near copies of the one before."""
+    r = random.Random(seed)
+    head, rows = " ".join(f"t{i}" for i in range(60)), []
+    for i in range(n):
+        own = [f"{r.randrange(10**9)}" for _ in range(12)]
+        if i % 50 == 49:
+            own = [*last[:-1], f"{r.randrange(10**9)}"]
+        rows.append((i, f"{head} {' '.join(own)}"))
+        last = own
+    return rows
+
+
+def test_template(spark):
+    rows = templated(600)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute(rows)
+    assert sum(x.doc_id != x.component_id for x in got) == 12
+
+
+def test_words_of_a_thue_morse_kind_differ(spark):
+    """Words over which a polynomial modulo a power of two takes the same value."""
+    rows = []
+    for n in (1024, 2048, 4096, 8192):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        rows += [word, word.translate(str.maketrans("ab", "ba"))]
+    got = jaccard_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert all(x.component_id == x.doc_id and x.n_shingles == 1 for x in got)

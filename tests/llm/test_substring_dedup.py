@@ -56,3 +56,14 @@ def test_edge_rows(spark):
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, starts long")).collect()
     found = sorted((x.doc_id or -1, x.n_words, x.n_removed, x.repeats) for x in got)
     assert found == [(-1, 60, 0, ""), (4, 0, 0, ""), (5, 60, 0, ""), (5, 60, 0, ""), (6, 0, 0, ""), (7, 60, 60, "0:60"), (9, 61, 60, "1:61")]
+
+
+def test_words_of_a_thue_morse_kind_differ(spark):
+    """Words over which a polynomial modulo a power of two takes the same value make different windows."""
+    rows, tail = [], " ".join(f"w{i}" for i in range(49))
+    for n in (1024, 2048, 4096, 8192):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        rows += [f"{word} {tail}", f"{word.translate(str.maketrans('ab', 'ba'))} {tail}"]
+    rows.append(rows[3])
+    got = {x.doc_id: x.n_removed for x in remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {i: 50 if i == 8 else 0 for i in range(9)}

@@ -62,10 +62,10 @@ def stream_delta(current: Column, emitted: Column) -> Column:
 
 
 def common_prefix_length(a: Column, b: Column) -> Column:
-    """Code points that both strings begin with."""
+    """Code points that both strings begin with; each string is cut into characters once."""
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
     n = F.least(F.length(a), F.length(b))
-    differ = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i > n) | (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
-    return F.when(n == 0, 0).otherwise(F.coalesce(F.array_min(differ) - 1, n))
+    return F.when(n == 0, 0).otherwise(F.coalesce(F.nullif(F.array_position(differ, True), F.lit(0)) - 1, n).cast("int"))
 
 
 def confirm_delta(current: Column, confirmed: Column, pending: Column, final: Column) -> Column:

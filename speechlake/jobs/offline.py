@@ -15,7 +15,7 @@ from speechlake.operators.energy_vad import energy_segments, frame_levels
 from speechlake.operators.features import features
 from speechlake.operators.inference import balanced, split_long_audio, transcribe_segments
 from speechlake.operators.segments import merge_segments, pad_segments
-from speechlake.operators.transcripts import file_summary, merge_languages, merge_texts
+from speechlake.operators.transcripts import file_facts, merge_languages, merge_texts
 from speechlake.operators.vad_machine import frame_state, score_frames, vad_segments
 from speechlake.options import SAMPLE_RATE, EnergyVadOptions, SegmentOptions
 
@@ -38,19 +38,28 @@ def energy_regions(audio: DataFrame, vad: EnergyVadOptions = EnergyVadOptions(),
 
 
 def machine_regions(audio: DataFrame, make_scorer, seg: SegmentOptions = SegmentOptions(), key: str = "audio_id") -> DataFrame:
-    """Regions by features, a scorer, and the frame machine."""
-    scored = score_frames(features(audio, "stacked_fbank", key), make_scorer)
+    """Regions by features, a scorer, and the frame machine.  Frames are scored where they were made, before any shuffle."""
+    return merge_segments(pad_segments(machine_segments(audio, make_scorer, key), seg), seg.merge_gap_ms, key)
+
+
+def machine_segments(audio: DataFrame, make_scorer, key: str = "audio_id") -> DataFrame:
+    """(key, seq, start_ms, end_ms, duration_ms): the detector's segments, before they are padded and merged."""
+    scored = score_frames(features(audio, "stacked_fbank", key), make_scorer, key, sort=False)
     found = vad_segments(scored.withColumn("db", F.lit(0.0)), frame_state(F.col("silence"), F.col("db")), key=key)
-    return merge_segments(pad_segments(found.join(with_duration(audio).select(key, "duration_ms"), key), seg), seg.merge_gap_ms, key)
+    return found.join(with_duration(audio).select(key, "duration_ms"), key)
+
 
+def transcribe(audio: DataFrame, regions: DataFrame, make_model: Model, parts: int, on_error: str = "row", key: str = "audio_id", detected: DataFrame | None = None, options: SegmentOptions = SegmentOptions()) -> tuple[DataFrame, DataFrame]:
+    """(segments, files): each region's text and language, and for each recording what ``file_facts`` tells, its text and languages.
 
-def transcribe(audio: DataFrame, regions: DataFrame, make_model: Model, parts: int, on_error: str = "row", key: str = "audio_id") -> tuple[DataFrame, DataFrame]:
-    """(segments, files): each region's text and language, and each recording's joined text, languages and counts."""
+    Recordings without speech are in ``files`` too.  ``detected`` (key, ...): the detector's segments, to be counted; else the regions are.
+    """
     clips = balanced(slice_segments(audio, regions, SAMPLE_RATE, key).withColumnRenamed("clip", "samples"), parts)
     done = transcribe_segments(clips, make_model, on_error).withColumn("p", parse_asr_output(F.col("raw_text")))
     segments = done.drop("samples").withColumns({"language": F.col("p.language"), "text": F.col("p.text")}).drop("p")
-    files = file_summary(segments, key).join(merge_texts(segments, key), key).join(merge_languages(segments, key), key)
-    return segments, files
+    facts = file_facts(with_duration(audio).select(key, "duration_ms"), segments, regions if detected is None else detected, options, key)
+    texts = merge_texts(segments, key).join(merge_languages(segments, key), key)
+    return segments, facts.join(texts, key, "left").na.fill("", ["text", "language"])
 
 
 def transcribe_long(audio: DataFrame, make_model: Model, parts: int, longest_s: float = 1200.0, key: str = "audio_id") -> DataFrame:

@@ -31,7 +31,54 @@ DECODE = 200_000
 WORD_END = "</w>"
 #: The white space and the piece pattern of this tokenizer kind.
 SPACE = r"\t-\r\x85\p{Z}"
-PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+"
+#: Which characters the tokenizers library knows, as far as other Unicode versions differ.  It takes letters and
+#: numbers from version 16; these ranges came later.
+LATE_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959),
+    (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+LATE_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+#: Capitals with small letters that older versions lack: range, and first small letter.
+LATE_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+#: Marks that it neither orders nor composes, as they are newer than its version of the normal form.
+LATE_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85),
+    (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0),
+    (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1),
+    (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+
+
+def _ranges(ranges) -> str:
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b, *_ in ranges)
+
+
+_ASCII_PIECES = regex.compile(PIECE.format(letters="a-z", numbers="0-9", space=r"\t-\r ")).findall
+_LETTERS, _NUMBERS = rf"[\p{{L}}--[{_ranges(LATE_LETTERS)}]]", rf"[\p{{N}}--[{_ranges(LATE_NUMBERS)}]]"
+_ALL_PIECES = regex.compile(PIECE.format(letters=_LETTERS, numbers=_NUMBERS, space=SPACE), regex.V1).findall
+_MARKS = regex.compile(f"([{_ranges(LATE_MARKS)}])")
+_CAPITALS = {c: chr(to + c - a) for a, b, to in LATE_CAPITALS for c in range(a, b + 1)}
+_ANY_CAPITAL = regex.compile(f"[{_ranges(LATE_CAPITALS)}]")
+
+
+def normalised(text: str) -> str:
+    """The composed normal form in small letters, as the library makes them."""
+    if text.isascii():
+        return text.lower()
+    parts = _MARKS.split(text) if _MARKS.search(text) else [text]
+    text = "".join([unicodedata.normalize("NFC", p) for p in parts])
+    if _ANY_CAPITAL.search(text):
+        text = text.translate(_CAPITALS)
+    return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -85,7 +132,6 @@ class Encoder:
             self.automaton.add_word(symbols, (i, len(symbols)))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces = regex.compile(PIECE).findall
         self.marks = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
         encode_piece = self.encode_piece
 
@@ -150,9 +196,8 @@ class Encoder:
         return [token for token, _ in out]
 
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text)
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return b"".join(map(self.known.__getitem__, self.pieces(text)))
+        text = normalised(text)
+        return b"".join(map(self.known.__getitem__, (_ASCII_PIECES if text.isascii() else _ALL_PIECES)(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.  A special token's string in the text is that token."""

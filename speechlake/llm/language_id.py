@@ -27,7 +27,7 @@ SAMPLE = 20_000
 LEAST = 1_000
 #: Languages that one vectorised step scores at most.  All are learned; each takes BUCKETS doubles of the broadcast.
 SLICE = 64
-#: Code points that one vectorised step scores at most, unless a text is longer.
+#: Code points that one vectorised step takes at most; a longer text is cut, and the pieces' sums are added.
 PIECE = 1 << 17
 UNKNOWN = "und"
 
@@ -36,23 +36,29 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def _batches(texts: list[str]):
-    """Ranges of texts of about PIECE code points."""
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= PIECE):
-            n += len(texts[j])
-            j += 1
-        yield i, j
-        i = j
+def pieces_of(texts: list[str]):
+    """Lists of (text's index, piece, the two characters after it), together about PIECE code points; pieces are lower-cased.
 
-
-def buckets_of(texts: list[str]):
-    """For each order: (bucket of the n-gram at each place, starts of the texts, their lengths); two spaces follow each text."""
-    lowered = [t.lower() for t in texts]
-    codes = np.frombuffer(("  ".join(lowered) + "   ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(t) for t in lowered], np.int64)
+    Two spaces follow a text's last piece, so an n-gram belongs to the piece that it begins in.
+    """
+    out, n = [], 0
+    for i, text in enumerate(texts):
+        text = text.lower()
+        for a in range(0, len(text), PIECE):
+            piece = text[a : a + PIECE]
+            if out and n + len(piece) > PIECE:
+                yield out
+                out, n = [], 0
+            out.append((i, piece, (text[a + PIECE : a + PIECE + 2] + "  ")[:2]))
+            n += len(piece)
+    if out:
+        yield out
+
+
+def buckets_of(pieces: list[tuple[int, str, str]]):
+    """For each order: (bucket of the n-gram at each place, starts of the pieces, their lengths)."""
+    codes = np.frombuffer(("".join([piece + after for _, piece, after in pieces]) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(piece) for _, piece, _ in pieces], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes + 2)))[:-1]
     own, shift = codes, np.uint64(64 - BUCKETS.bit_length() + 1)
     for n in range(1, max(ORDERS) + 1):
@@ -70,19 +76,18 @@ class Model:
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the most likely language of each text, and its posterior."""
-        best, sure = [], []
-        for i, j in _batches(texts):
-            total = np.repeat(self.priors[None, :], j - i, 0)
-            for buckets, starts, sizes in buckets_of(texts[i:j]):
+        if not texts:
+            return np.zeros(0, int), np.zeros(0)
+        total = np.repeat(self.priors[None, :], len(texts), 0)
+        for pieces in pieces_of(texts):
+            index = np.array([i for i, _, _ in pieces])
+            for buckets, starts, sizes in buckets_of(pieces):
                 edges = np.empty(2 * len(starts), np.int64)
-                edges[0::2], edges[1::2] = starts, np.minimum(starts + sizes, len(buckets) - 1)
+                edges[0::2], edges[1::2] = starts, starts + sizes
                 for k in range(0, len(self.languages), SLICE):
-                    sums = np.add.reduceat(self.matrix[:, k : k + SLICE][buckets], edges, 0)[0::2]
-                    total[:, k : k + SLICE] += np.where((sizes > 0)[:, None], sums, 0)
-            top = total.max(1, keepdims=True)
-            best.append(total.argmax(1))
-            sure.append(1 / np.exp(total - top).sum(1))
-        return (np.concatenate(best), np.concatenate(sure)) if best else (np.zeros(0, int), np.zeros(0))
+                    np.add.at(total[:, k : k + SLICE], index, np.add.reduceat(self.matrix[:, k : k + SLICE][buckets], edges, 0)[0::2])
+        top = total.max(1, keepdims=True)
+        return total.argmax(1), 1 / np.exp(total - top).sum(1)
 
 
 def _counts(batches):
@@ -90,10 +95,9 @@ def _counts(batches):
         langs = np.array(batch.column(1).to_pylist(), object)
         texts = batch.column(0).to_pylist()
         for lang in sorted(set(langs)):
-            own = [texts[i] for i in np.flatnonzero(langs == lang)]
             total = np.zeros(BUCKETS, np.int64)
-            for i, j in _batches(own):
-                for buckets, starts, sizes in buckets_of(own[i:j]):
+            for pieces in pieces_of([texts[i] for i in np.flatnonzero(langs == lang)]):
+                for buckets, starts, sizes in buckets_of(pieces):
                     inside = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes) + np.arange(sizes.sum())
                     total += np.bincount(buckets[inside], minlength=BUCKETS)
             found = np.flatnonzero(total)

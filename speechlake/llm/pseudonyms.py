@@ -7,10 +7,15 @@ value only, so equal values - however they are written - stay linked across docu
 
 Only DataFrame functions are used, in one pass without a shuffle.  A value is a list of elements, each below its own radix;
 a round adds keyed hashes of one half to the other half, element by element, modulo their radices.
+
+A query's plan, which Spark shows in explain output and event logs, holds a subkey for each kind of data, not the key itself.
+Who has a subkey can undo the pseudonyms of that kind, so keep plans and logs as secret as the data.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -21,23 +26,32 @@ KINDS = ("email", "iban", "date", "ip", "ssn", "phone", "card")
 #: Dates from 1700 through 2099 are permuted: one Gregorian cycle of 146,097 = 189 * 773 days.
 FIRST_DAY, CYCLE = "1700-01-01", (189, 773)
 
-#: What each kind looks like; whether it is valid is decided afterwards, and the first that looks right is taken.
+_MONTH, _DAY, _YEAR, _END = "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])", "(?:1[7-9]|20)[0-9]{2}", "(?!T(?![0-9])|[0-9A-SU-Za-z])"
+#: What each kind looks like; whether it is valid is decided afterwards.  Digits, capitals or signs beside a find don't hide it.
 SHAPES = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "date": r"(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?!T(?![0-9])|[0-9A-SU-Za-z]|[-/.][0-9])",
-    "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9A-Za-z]|[-.][0-9])|\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]){7,12}(?![0-9A-Za-z]|[-.][0-9])",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[ -][0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
+    "date": rf"(?:{_YEAR}([-/.]){_MONTH}\1{_DAY}|(?:{_MONTH}([-/.]){_DAY}\2|{_DAY}([-/.]){_MONTH}\3){_YEAR}){_END}",
+    "ip": r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9A-Za-z])|\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]){7,12}(?![0-9A-Za-z])",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}",
 }
-ANY = r"(?<![A-Za-z0-9]|[0-9][-.])(?:" + "|".join(SHAPES[k] for k in KINDS) + ")"
-#: Finds that come before all others; digit groups with one space or hyphen between them go as a whole, and cards are found in them.
-FIRST = r"(?<![A-Za-z0-9]|[0-9][-.])(?:" + SHAPES["email"] + "|" + SHAPES["iban"] + r"|(?<!\+)(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+)"
+#: Kinds that are looked for in what the finds of ``FIRST`` leave.
+OTHERS = ("date", "ip", "ssn", "phone")
+ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(SHAPES[k] for k in OTHERS) + ")"
+#: Finds that come before all others.  Groups of capitals and digits after what may begin an IBAN, and digit groups with one space
+#: or hyphen between them, go as a whole; IBANs and cards are found in them, wherever they begin and end.
+FIRST = (
+    r"(?<![A-Za-z0-9]|[0-9]\.)(?:" + SHAPES["email"] + r"|[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}(?![A-Za-z0-9])|(?: [A-Z0-9]{1,4}(?![A-Za-z0-9]))++)"
+    r"|(?<!\+)(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+)"
+)
+#: Groups that may all be years.
+YEARS = "(?:(?:1[0-9]|2[01])[0-9]{2}[ -]?){4}"
 #: Digit groups of a card among other groups: how many, and what they look like.  Four groups that may be years are none.
 GROUPINGS = (
     (1, r"^[0-9]{13,19}(?![0-9])"),
-    (4, r"^(?!(?:(?:1[0-9]|2[01])[0-9]{2}[ -]?){4}(?![0-9]))[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
+    (4, r"^(?!" + YEARS + r"(?![0-9]))[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
     (3, r"^[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}(?![0-9])"),
     (5, r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}(?![0-9])"),
 )
@@ -56,13 +70,17 @@ def _long(x) -> Column:
     return F.lit(x).cast("long") if isinstance(x, int) else x.cast("long")
 
 
+def subkey(key: str, kind: str) -> str:
+    return hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()
+
+
 def permuted(elements: Column, radices: Column, key: str, kind: str) -> Column:
     """Keyed permutation of ``elements`` (array<long>, each below its radix), within the same radices."""
     n = F.size(elements)
     half = F.greatest(F.lit(1), F.floor(n / 2).cast("int"))
 
     def shifted(part: Column, other: Column, r: Column, own: Column) -> Column:
-        said = F.concat_ws("|", F.lit(key), F.lit(kind), r, F.size(part), F.concat_ws(",", F.transform(other, lambda x: x.cast("string"))))
+        said = F.concat_ws("|", F.lit(subkey(key, kind)), r, F.size(part), F.concat_ws(",", F.transform(other, lambda x: x.cast("string"))))
         moved = lambda x, i: F.pmod(x + F.conv(F.substring(F.sha2(F.concat_ws("|", said, i), 256), 1, 14), 16, 10).cast("long"), F.element_at(own, i + 1))
         return F.transform(part, moved)
 
@@ -214,7 +232,7 @@ def _date(m: Column, key: str) -> Column:
 _MADE = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonym(m: Column, key: str, kinds: tuple[str, ...] = KINDS) -> Column:
+def pseudonym(m: Column, key: str, kinds: tuple[str, ...]) -> Column:
     """struct(kind, text) for one find: its first valid kind and pseudonym; kind is null and the text as it was if none is valid."""
     def attempt(kind: str) -> Column:
         named = lambda new: F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("text")))
@@ -224,26 +242,41 @@ def pseudonym(m: Column, key: str, kinds: tuple[str, ...] = KINDS) -> Column:
     return F.coalesce(*tried, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text")))
 
 
-def _cards(m: Column, key: str) -> Column:
-    """struct(rest, made): the cards made anew, from left to right, and the texts before, between and after them."""
+def _luhn_valid(m: Column) -> Column:
+    return bound(_digits(_bare(m)), lambda d: (_luhn(d, False) == 0) & F.exists(d, lambda x: x != 0))
+
+
+def _runs(m: Column, key: str) -> Column:
+    """struct(rest, made): IBANs and cards made anew, from left to right, and the texts before, between and after them."""
 
     def taken(groups: Column) -> Column:
         joined = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
 
-        def size(i: Column) -> Column:
-            valid = lambda n: bound(_digits(_bare(joined(i, F.lit(n)))), lambda d: (_luhn(d, False) == 0) & F.exists(d, lambda x: x != 0))
-            sizes = [F.when(joined(i, F.lit(n)).rlike(shape) & valid(n), F.lit(n)) for n, shape in GROUPINGS]
-            return F.coalesce(*sizes, F.lit(0))
+        def iban(i: Column) -> Column:
+            """The most groups from ``i`` on that are an IBAN."""
+            def good(n: Column) -> Column:
+                return bound(_bare(joined(i, n)), lambda x: joined(i, n).rlike("^" + SHAPES["iban"] + "[^A-Za-z0-9]*$") & (_mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1))
+
+            sizes = F.filter(F.sequence(F.least(F.lit(9), F.size(groups) - i), F.lit(1), F.lit(-1)), good)
+            return F.when(groups[i].rlike("^[A-Z]{2}[0-9]{2}"), F.try_element_at(sizes, F.lit(1)))
+
+        def card(i: Column) -> Column:
+            """The groups from ``i`` on that are a card: in one of GROUPINGS, or all that are left if nothing else is in them."""
+            sizes = [F.when(joined(i, F.lit(n)).rlike(shape) & _luhn_valid(joined(i, F.lit(n))), F.lit(n)) for n, shape in GROUPINGS]
+            every = lambda x: x.rlike("^" + SHAPES["card"] + "[^A-Za-z0-9]*$") & ~x.rlike("|".join(SHAPES[k] for k in OTHERS)) & ~x.rlike(YEARS) & _luhn_valid(x)
+            left = F.when(F.size(groups) - i <= 19, F.when(bound(joined(i, F.size(groups) - i), every), F.size(groups) - i))
+            return F.when(groups[i].rlike("^[0-9]"), F.coalesce(*sizes, left))
 
-        found = F.filter(F.transform(groups, lambda _, i: F.struct(i.alias("at"), size(i).alias("n"))), lambda x: x["n"] > 0)
-        step = lambda a, x: F.when(F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) <= x["at"], F.concat(a, F.array(F.struct(x["at"].alias("at"), (x["at"] + x["n"]).alias("end"))))).otherwise(a)
-        spans = F.aggregate(found, F.array().cast("array<struct<at:int,end:int>>"), step)
+        at = lambda i: F.coalesce(F.when(iban(i).isNotNull(), F.struct(i.alias("at"), iban(i).alias("n"), F.lit(True).alias("iban"))), F.struct(i.alias("at"), F.coalesce(card(i), F.lit(0)).alias("n"), F.lit(False).alias("iban")))
+        found = F.filter(F.transform(groups, lambda _, i: at(i)), lambda x: x["n"] > 0)
+        step = lambda a, x: F.when(F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) <= x["at"], F.concat(a, F.array(F.struct(x["at"].alias("at"), (x["at"] + x["n"]).alias("end"), x["iban"].alias("iban"))))).otherwise(a)
+        spans = F.aggregate(found, F.array().cast("array<struct<at:int,end:int,iban:boolean>>"), step)
 
         def pieces(spans: Column) -> Column:
-            edge = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("end")))
-            last = F.array(F.struct(F.size(groups).alias("at"), F.size(groups).alias("end")))
-            rest = F.zip_with(F.concat(edge, spans), F.concat(spans, last), lambda x, y: joined(x["end"], y["at"] - x["end"]))
-            made = F.transform(spans, lambda x: F.struct(F.lit("card").alias("kind"), _card(joined(x["at"], x["end"] - x["at"]), key).alias("text")))
+            edge = lambda n: F.array(F.struct(n.alias("at"), n.alias("end"), F.lit(False).alias("iban")))
+            rest = F.zip_with(F.concat(edge(F.lit(0)), spans), F.concat(spans, edge(F.size(groups))), lambda x, y: joined(x["end"], y["at"] - x["end"]))
+            new = lambda x, text: F.struct(F.when(x["iban"], "iban").otherwise("card").alias("kind"), F.when(x["iban"], _iban(text, key)).otherwise(_card(text, key)).alias("text"))
+            made = F.transform(spans, lambda x: bound(joined(x["at"], x["end"] - x["at"]), lambda text: new(x, text)))
             return F.struct(rest.alias("rest"), made.alias("made"))
 
         return bound(spans, pieces)
@@ -255,8 +288,7 @@ def _first(m: Column, key: str) -> Column:
     """struct(rest, made) of one find of ``FIRST``."""
     none = F.struct(F.array(m).alias("rest"), F.array().cast("array<struct<kind:string,text:string>>").alias("made"))
     whole = lambda x: F.when(x["kind"].isNotNull(), F.struct(F.array(F.lit(""), F.lit("")).alias("rest"), F.array(x).alias("made")))
-    cards = F.when(m.contains("@"), none).otherwise(_cards(m, key))
-    return F.coalesce(bound(pseudonym(m, key, ("email", "iban")), whole), cards)
+    return F.when(m.contains("@"), F.coalesce(bound(pseudonym(m, key, ("email",)), whole), none)).otherwise(_runs(m, key))
 
 
 def _filled(text: Column, pattern: str, finds: Column) -> Column:
@@ -269,7 +301,8 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
 
     Valid personal data in ``text`` is replaced by pseudonyms under ``key``; everything else, invalid numbers included, stays
     as it is.  A card in one piece, or in one of ``GROUPINGS`` with one separator, is found among other digit groups too; in
-    any other grouping only where no digit group follows.  A null text stays null.  Rows stay as they are otherwise, repeated
+    any other grouping only where no digit group follows and no other kind of number is in it.  An IBAN is found among other
+    groups of capitals and digits.  A null text stays null.  Rows stay as they are otherwise, repeated
     ones and null ids too; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -280,7 +313,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("made", F.coalesce(F.flatten(F.transform("first", lambda x: x["made"])), none))
     placed = F.when(F.size("made") > 0, _filled(own, FIRST, F.transform("first", lambda x: F.array_join(x["rest"], PLACE)))).otherwise(own)
     rows = rows.withColumn("placed", placed)
-    rows = rows.withColumn("finds", F.coalesce(finds(F.col("placed"), ANY, lambda m: pseudonym(m, key)), none))
+    rows = rows.withColumn("finds", F.coalesce(finds(F.col("placed"), ANY, lambda m: pseudonym(m, key, OTHERS)), none))
     others = F.when(F.size("finds") > 0, _filled(F.col("placed"), ANY, F.transform("finds", lambda x: x["text"]))).otherwise(F.col("placed"))
     filled = F.replace(_filled(others, PLACE, F.transform("made", lambda x: x["text"])), F.lit(ESCAPED), F.lit(SIGN))
     count = lambda kind: F.size(F.filter(F.concat("made", "finds"), lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

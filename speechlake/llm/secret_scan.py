@@ -41,8 +41,6 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 LEDGER_SCHEMA = "blob_id string, kind string, version int"
 FINDINGS_SCHEMA = "blob_id string, kind string, version int, start long, end long"
-#: Stands for a null path where one row of a blob is picked.
-NO_PATH = -(1 << 63)
 
 
 def _array_of(rules, what) -> Column:
@@ -70,7 +68,7 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
 def scan_history(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules=RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Brings ledger and findings up to date with ``versions`` (path, text); returns (paths, ledger, findings).
 
-    paths: (path, blob_id) of each row; ledger and findings: what was handed in with what is new added.  A null text is the
+    ``path`` is of any type that has an order and can be written as a string.  paths: (path, blob_id) of each row; ledger and findings: what was handed in with what is new added.  A null text is the
     empty blob; a null path is a path; rows that repeat are scanned once.  Equal blobs are scanned once, ever, for each rule version.
     """
     spark = versions.sparkSession
@@ -78,7 +76,7 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, findings:
     findings = spark.createDataFrame([], FINDINGS_SCHEMA) if findings is None else findings
     versions = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob_id", F.sha2("text", 256))
     paths = settle(versions.select("path", "blob_id"), "paths")
-    picked = F.coalesce("path", F.lit(NO_PATH)).alias("picked")
+    picked = F.coalesce(F.concat(F.lit("p"), F.col("path").cast("string")), F.lit("n")).alias("picked")  # one path of a blob tells the text
     blobs = paths.groupBy("blob_id").agg(F.min(picked).alias("picked"))
     rule_rows = _array_of(rules, lambda r: F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")))
     unseen = blobs.select("blob_id", "picked", F.explode(rule_rows).alias("rule")).select("blob_id", "picked", "rule.*").join(ledger, ["blob_id", "kind", "version"], "left_anti")
@@ -90,6 +88,11 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, findings:
     return paths, ledger.unionByName(scanned), findings.unionByName(new.select("blob_id", "kind", "version", "start", "end"))
 
 
+def path_findings(paths: DataFrame, findings: DataFrame) -> DataFrame:
+    """(path, blob_id, kind, version, start, end): findings joined back to every path that has the blob, repeated rows once."""
+    return paths.distinct().join(findings, "blob_id").select("path", "blob_id", "kind", "version", "start", "end")
+
+
 def spans_by_blob(findings: DataFrame, rules=RULES) -> DataFrame:
     """(blob_id, spans): sorted array of (start, rank of the kind, kind, end) with the rules' current versions."""
     rank = F.coalesce(*[F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)])

@@ -105,26 +105,46 @@ def stacked(feats: np.ndarray, width: int = 5) -> np.ndarray:
 FRONT_ENDS = {"log_mel": log_mel, "mel_spectrogram": mel_spectrogram, "fbank": fbank, "stacked_fbank": lambda x: stacked(fbank(x))}
 
 
-def features(audio: DataFrame, front_end: str, key: str = "audio_id") -> DataFrame:
+def features(audio: DataFrame, front_end: str, key: str = "audio_id", on_error: str = "raise") -> DataFrame:
     """(key, frame_idx, feat) of each recording (key, samples); a null or empty recording has no frames.
 
-    A recording is one row and is framed as a whole; cut long ones first (``split_long_audio`` or ``chunk_audio``).
+    A recording is one row and is framed as a whole; cut long ones first (``split_long_audio`` or ``chunk_audio``).  With
+    ``on_error="row"`` there is a column error too, and a recording whose features fail, or aren't numbers, is one row with
+    ``features: message`` there.
     """
-    make = FRONT_ENDS[front_end]
+    if on_error not in ("raise", "row"):
+        raise ValueError("on_error must be raise or row")
+    make, with_error = FRONT_ENDS[front_end], on_error == "row"
+    names = [key, "frame_idx", "feat", *(["error"] if with_error else [])]
+
+    def framed(samples) -> np.ndarray | None:
+        if not samples.is_valid or not len(samples):
+            return None
+        feats = make(samples.values.to_numpy(zero_copy_only=False))
+        if with_error and not np.isfinite(feats).all():
+            raise ValueError("samples that aren't finite numbers")
+        return feats
 
     def rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                samples = batch.column(1)[i]
-                feats = make(samples.values.to_numpy(zero_copy_only=False)) if samples.is_valid and len(samples) else None
+                own = batch.column(0)[i].as_py()
+                try:
+                    feats = framed(batch.column(1)[i])
+                except Exception as e:
+                    if not with_error:
+                        raise
+                    yield pa.RecordBatch.from_arrays([pa.array([own], batch.schema.field(0).type), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.float32())), pa.array([f"features: {e}"])], names)
+                    continue
                 if feats is not None and len(feats):
                     n, width = feats.shape
                     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
-                    ids = pa.array([batch.column(0)[i].as_py()] * n, batch.schema.field(0).type)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(n)), pa.ListArray.from_arrays(offsets, pa.array(feats.reshape(-1).astype(np.float32)))], [key, "frame_idx", "feat"])
+                    values = [pa.array([own] * n, batch.schema.field(0).type), pa.array(np.arange(n)), pa.ListArray.from_arrays(offsets, pa.array(feats.reshape(-1).astype(np.float32))), pa.nulls(n, pa.string())]
+                    yield pa.RecordBatch.from_arrays(values[: len(names)], names)
 
     kind = audio.schema[key].dataType.simpleString()
-    return audio.select(key, F.col("samples").cast("array<float>").alias("samples")).mapInArrow(rows, f"{key} {kind}, frame_idx long, feat array<float>")
+    schema = f"{key} {kind}, frame_idx long, feat array<float>" + (", error string" if with_error else "")
+    return audio.select(key, F.col("samples").cast("array<float>").alias("samples")).mapInArrow(rows, schema)
 
 
 def stack_frames(frames: DataFrame, width: int = 5, key: str = "audio_id", order: str = "frame_idx") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Calling models that the caller supplies, once loaded per task, and cutting audio that is too long for them."""
+"""Calling models that the caller supplies, loaded once in a worker, and cutting audio that is too long for them."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from speechlake.operators.workers import once
+
 LONGEST_SECONDS, SHORTEST_SECONDS = 1200.0, 0.5
 
 
@@ -22,11 +24,12 @@ def balanced(df: DataFrame, parts: int, samples: str = "samples") -> DataFrame:
 def transcribe_segments(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], on_error: str = "raise", worker: str = "asr") -> DataFrame:
     """Adds raw_text, elapsed_ms and error to each row.
 
-    The model is made once in each task; it gets rows and returns raw_text and elapsed_ms for them in order.  With
+    The model is made once in a worker; it gets rows and returns raw_text and elapsed_ms for them in order.  With
     ``on_error="row"`` rows are tried one by one, and one that fails has ``worker: message`` in error instead of ending the job.
     """
     if on_error not in ("raise", "row"):
         raise ValueError("on_error must be raise or row")
+    make_model = once(make_model)
     out = StructType([*df.schema.fields, StructField("raw_text", StringType()), StructField("elapsed_ms", DoubleType()), StructField("error", StringType())])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,19 +72,37 @@ def quiet_cuts(x: np.ndarray, rate: int, longest_s: float = LONGEST_SECONDS, aro
     return [*cuts, len(x)]
 
 
-def split_long_audio(audio: DataFrame, longest_s: float = LONGEST_SECONDS, shortest_s: float = SHORTEST_SECONDS, around_s: float = 5.0, key: str = "audio_id") -> DataFrame:
-    """(key, piece, offset, samples): recordings over the limit cut at quiet places, short pieces padded with zeros.  Rows: key, sample_rate, samples."""
-    kind = audio.schema[key].dataType.simpleString()
+def split_long_audio(audio: DataFrame, longest_s: float = LONGEST_SECONDS, shortest_s: float = SHORTEST_SECONDS, around_s: float = 5.0, key: str = "audio_id", on_error: str = "raise") -> DataFrame:
+    """(key, piece, offset, samples): recordings over the limit cut at quiet places, short pieces padded with zeros.  Rows: key, sample_rate, samples.
+
+    With ``on_error="row"`` there is a column error too, and a recording without a usable rate is one row with ``split: message`` there.
+    """
+    if on_error not in ("raise", "row"):
+        raise ValueError("on_error must be raise or row")
+    kind, with_error = audio.schema[key].dataType.simpleString(), on_error == "row"
+    names = [key, "piece", "offset", "samples", *(["error"] if with_error else [])]
+
+    def row(batch, i, piece, offset, samples, error):
+        values = [pa.array([batch.column(0)[i].as_py()], batch.schema.field(0).type), pa.array([piece], pa.int64()), pa.array([offset], pa.int64()), pa.array([samples], pa.list_(pa.float32())), pa.array([error], pa.string())]
+        return pa.RecordBatch.from_arrays(values[: len(names)], names)
 
     def rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                x = batch.column(2)[i]
-                x = x.values.to_numpy(zero_copy_only=False) if x.is_valid and len(x) else np.zeros(0, np.float32)
-                rate = batch.column(1)[i].as_py()
-                cuts = quiet_cuts(x, rate, longest_s, around_s)
+                try:
+                    x = batch.column(2)[i]
+                    x = x.values.to_numpy(zero_copy_only=False) if x.is_valid and len(x) else np.zeros(0, np.float32)
+                    rate = batch.column(1)[i].as_py()
+                    if not rate or rate < 0:
+                        raise ValueError(f"sample rate {rate}")
+                    cuts = quiet_cuts(x, rate, longest_s, around_s)
+                except Exception as e:
+                    if not with_error:
+                        raise
+                    yield row(batch, i, None, None, None, f"split: {e}")
+                    continue
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    piece = np.pad(x[a:b], (0, max(0, int(shortest_s * rate) - (b - a))))
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()], batch.schema.field(0).type), pa.array([k], pa.int64()), pa.array([a], pa.int64()), pa.array([piece], pa.list_(pa.float32()))], [key, "piece", "offset", "samples"])
+                    yield row(batch, i, k, a, np.pad(x[a:b], (0, max(0, int(shortest_s * rate) - (b - a)))), None)
 
-    return audio.select(key, "sample_rate", F.col("samples").cast("array<float>").alias("samples")).mapInArrow(rows, f"{key} {kind}, piece long, offset long, samples array<float>")
+    schema = f"{key} {kind}, piece long, offset long, samples array<float>" + (", error string" if with_error else "")
+    return audio.select(key, "sample_rate", F.col("samples").cast("array<float>").alias("samples")).mapInArrow(rows, schema)

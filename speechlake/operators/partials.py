@@ -2,49 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.functions.arrays import bound
-from speechlake.functions.text import confirm_delta
-from speechlake.operators.tokens import Tokenizer
+from speechlake.operators.tokens import Tokenizer, id_lists, with_column
+
 
+def common_prefix(a: str, b: str) -> int:
+    """Code points that both begin with, by halving: slices are compared, not characters."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
-def _step(a: Column, x: Column, mode: str) -> Column:
-    def after(d: Column) -> Column:
-        revised, final = d["revised"], x["is_final"]
-        start = F.lit("") if mode == "clear" else a["confirmed"]
-        confirmed = F.when(revised & final, x["text"]).when(revised, start).otherwise(F.concat(a["confirmed"], d["delta"]))
-        pending = F.when(revised & final, F.lit("")).otherwise(d["pending"])
-        row = F.struct(x["seq"].alias("seq"), d["delta"].alias("delta"), confirmed.alias("confirmed"), pending.alias("pending"), revised.alias("revised"))
-        return F.struct(confirmed.alias("confirmed"), pending.alias("pending"), F.concat(a["rows"], F.array(row)).alias("rows"))
 
-    return bound(confirm_delta(x["text"], a["confirmed"], a["pending"], x["is_final"]), after)
+def next_partial(confirmed: str, pending: str, text: str, final: bool, mode: str) -> tuple[str, str, str, bool]:
+    """(delta, confirmed, pending, revised) after one more hypothesis."""
+    if not text:
+        return "", confirmed, "", False
+    if text.startswith(confirmed):
+        rest = text[len(confirmed) :]
+        n = len(rest) if final else common_prefix(pending, rest)
+        return rest[:n], confirmed + rest[:n], rest[n:], False
+    if final:
+        return ("", text, "", True) if confirmed or pending else ("", confirmed, "", False)
+    return "", "" if mode == "clear" else confirmed, text, True
 
 
 def track_partials(hypotheses: DataFrame, mode: str = "clear", key: str = "utterance_id", order: str = "chunk_id") -> DataFrame:
     """(key, order, confirmed_delta, confirmed_text, pending_text, text, revised) for each hypothesis (key, order, text, is_final).
 
     A fold in order, per utterance: on a revision confirmed text is cleared (``keep_stable``: kept) and the text waits; at a
-    revised end the whole text is taken.  An utterance's texts are one array, so they must be as few as its decodes.
+    revised end the whole text is taken.  Utterances are sorted within partitions and pass by row by row.
     """
-    collected = hypotheses.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("seq"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("is_final", F.lit(False)).alias("is_final")))).alias("h"))
-    kind = hypotheses.schema[order].dataType.simpleString()
-    start = F.struct(F.lit("").alias("confirmed"), F.lit("").alias("pending"), F.array().cast(f"array<struct<seq:{kind},delta:string,confirmed:string,pending:string,revised:boolean>>").alias("rows"))
-    folded = F.aggregate("h", start, lambda a, x: _step(a, x, mode), lambda a: a["rows"])
-    rows = collected.select(key, F.explode(folded).alias("r"))
-    return rows.select(key, F.col("r.seq").alias(order), F.col("r.delta").alias("confirmed_delta"), F.col("r.confirmed").alias("confirmed_text"), F.col("r.pending").alias("pending_text"), F.concat("r.confirmed", "r.pending").alias("text"), F.col("r.revised").alias("revised"))
+    kinds = [hypotheses.schema[c].dataType.simpleString() for c in (key, order)]
+    columns = [key, order, "confirmed_delta", "confirmed_text", "pending_text", "text", "revised"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, confirmed, pending, started = None, "", "", False
+        for batch in batches:
+            out: list[tuple] = []
+            for own, text, final in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if not started or own != now:
+                    now, confirmed, pending, started = own, "", "", True
+                delta, confirmed, pending, revised = next_partial(confirmed, pending, text, final, mode)
+                out.append((delta, confirmed, pending, confirmed + pending, revised))
+            made = [pa.array([r[i] for r in out], pa.string()) for i in range(4)] + [pa.array([r[4] for r in out], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], columns)
+
+    ordered = hypotheses.select(key, order, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("is_final", F.lit(False)).alias("is_final"))
+    schema = f"{key} {kinds[0]}, {order} {kinds[1]}, confirmed_delta string, confirmed_text string, pending_text string, text string, revised boolean"
+    return ordered.repartition(key).sortWithinPartitions(key, order, "text", "is_final").mapInArrow(rows, schema)
 
 
 def rollback_decode(df: DataFrame, tokenizer: Tokenizer, back: int, ids: str = "ids") -> DataFrame:
     """Adds rolled_back: the text without the last tokens, shortened while it ends in a broken character."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
-
-    @F.udf("string", useArrow=True)
-    def text(x):
-        return shared.value.rollback(list(x) if x is not None else [], back)
-
-    return df.withColumn("rolled_back", text(F.col(ids)))
+    return with_column(df, ids, "rolled_back", "string", lambda x: pa.array([shared.value.rollback(i, back) for i in id_lists(x)], pa.string()))
 
 
 def stable_prefix(df: DataFrame, tokenizer: Tokenizer, unfixed_chunks: int = 2, unfixed_tokens: int = 5) -> DataFrame:

@@ -6,9 +6,11 @@ vocabulary.  A Python worker keeps the ids of pieces it has seen, as text repeat
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,13 +67,24 @@ class Tokenizer:
 
     def bpe(self, piece: str) -> list[str]:
         """Merges the adjacent pair of the lowest rank, the leftmost on ties, until none is known."""
-        parts = [self.characters[b] for b in piece.encode("utf-8", "replace")]
-        while len(parts) > 1:
-            rank, at = min((self.merges.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        parts: list[str | None] = [self.characters[b] for b in piece.encode("utf-8", "replace")]
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = lambda i: self.merges.get((parts[i], parts[after[i]])) if after[i] < n else None
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i] if parts[i] is not None else n
+            if j >= n or parts[i] != left or parts[j] != right:
+                continue  # one of the two was merged since
+            parts[i], parts[j], after[i] = left + right, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (r := rank(k)) is not None:
+                    heapq.heappush(heap, (r, k, parts[k], parts[after[k]]))
+        return [p for p in parts if p is not None]
 
     def _piece(self, piece: str) -> list[int]:
         if piece not in self.known:
@@ -122,26 +135,40 @@ def order_special_tokens(added: DataFrame) -> DataFrame:
     return added.orderBy(F.octet_length("token").desc(), "token")
 
 
+def with_column(df: DataFrame, source: str, name: str, kind: str, values: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``df`` with ``name`` made from the column ``source``, an Arrow batch at a time; a column of that name is replaced."""
+    kept = [c for c in df.columns if c != name]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values(batch.columns[-1])], [*kept, name])
+
+    schema = df.select(*kept).schema
+    return df.select(*kept, F.col(source).alias("_source")).mapInArrow(rows, schema.add(name, kind))
+
+
 def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
     """Adds ids (array<int>); a null text has none.  A token that the vocabulary lacks fails the job."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
 
-    @F.udf("array<int>", useArrow=True)
-    def ids(s):
-        return shared.value.encode(s or "")
+    def ids(texts: pa.Array) -> pa.Array:
+        each = [shared.value.encode(t.as_py() or "") for t in texts]
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter((i for x in each for i in x), np.int32, int(offsets[-1]))))
 
-    return df.withColumn("ids", ids(F.col(text)))
+    return with_column(df, text, "ids", "array<int>", ids)
+
+
+def id_lists(ids: pa.Array) -> Iterator[list[int]]:
+    """The lists of an Arrow list array; a null is an empty one."""
+    for x in ids:
+        yield x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid and len(x) else []
 
 
 def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", keep_special: bool = False) -> DataFrame:
     """Adds decoded."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
-
-    @F.udf("string", useArrow=True)
-    def text(x):
-        return shared.value.decode(x if x is not None else [], keep_special)
-
-    return df.withColumn("decoded", text(F.col(ids)))
+    return with_column(df, ids, "decoded", "string", lambda x: pa.array([shared.value.decode(i, keep_special) for i in id_lists(x)], pa.string()))
 
 
 def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechlake.options import SegmentOptions
+
 
 def ordered(value: Column, order: str) -> Column:
     """Aggregate: values in order of ``order``, nulls skipped."""
@@ -37,6 +39,25 @@ def file_summary(segments: DataFrame, key: str = "audio_id") -> DataFrame:
     return segments.groupBy(key).agg(F.count("*").alias("n_segments"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"))
 
 
+def file_facts(files: DataFrame, segments: DataFrame, detected: DataFrame, options: SegmentOptions = SegmentOptions(), key: str = "audio_id") -> DataFrame:
+    """One row for each of ``files`` (key, duration_ms), those without speech included.
+
+    duration_ms; n_detected: segments that the detector gave; n_segments, speech_ms, first_ms, last_ms: those that were kept (null
+    times where there are none); and the options that they were made with.  All three tables are grouped by one key.
+    """
+    found = detected.groupBy(key).agg(F.count("*").alias("n_detected"))
+    rows = files.select(key, "duration_ms").join(found, key, "left").join(file_summary(segments, key), key, "left")
+    return rows.na.fill(0, ["n_detected", "n_segments", "speech_ms"]).withColumns({k: F.lit(v) for k, v in vars(options).items()})
+
+
+def in_input_order(results: DataFrame, inputs: DataFrame, key: str = "audio_id", position: str = "position", order: str = "seq") -> DataFrame:
+    """``results`` (key, order, ...) with the position of their input (key, position), sorted by it and then by ``order``.
+
+    A range partitioning and a sort within each range: files that are written from it follow one another in order.
+    """
+    return results.join(inputs.select(key, position), key).orderBy(position, order)
+
+
 def elapsed_totals(df: DataFrame, key: str = "audio_id") -> DataFrame:
     """(key, vad_ms, asr_ms, total_ms) from rows of (key, vad_elapsed_ms, asr_elapsed_ms); nulls count as 0."""
     return df.groupBy(key).agg(F.sum(F.coalesce("vad_elapsed_ms", F.lit(0.0))).alias("vad_ms"), F.sum(F.coalesce("asr_elapsed_ms", F.lit(0.0))).alias("asr_ms")).withColumn("total_ms", F.col("vad_ms") + F.col("asr_ms"))

@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType, StringType, StructField, StructType
 
+from speechlake.operators.workers import once
 from speechlake.options import MachineOptions
 
 WAITING, SPEAKING = 0, 1
@@ -123,28 +124,101 @@ def segments_of(speech: np.ndarray, o: MachineOptions = MachineOptions()) -> lis
     return [(a, b) for a, b, closed in m.segments if closed and b >= a]
 
 
-def vad_segments(frames: DataFrame, speech: Column, o: MachineOptions = MachineOptions(), key: str = "audio_id", order: str = "frame_idx") -> DataFrame:
-    """(key, seq, start_ms, end_ms) from one row per frame.  A recording's frames are one group: the rule is sequential."""
-    kind = frames.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = segments_of(pdf.sort_values("o")["s"].to_numpy(bool), o)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(found), "seq": range(len(found)), "start_ms": [a for a, _ in found], "end_ms": [b for _, b in found]})
-
-    return frames.select(key, F.col(order).alias("o"), F.coalesce(speech, F.lit(False)).alias("s")).groupBy(key).applyInPandas(run, f"{key} {kind}, seq long, start_ms long, end_ms long")
+def _key_turns(keys: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of rows with one key; a null key is a key."""
+    values = keys.to_pylist()
+    cuts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
+    return list(zip(cuts, cuts[1:], strict=False)) if values else []
 
 
-def score_frames(feats: DataFrame, make_scorer: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """Adds silence (float) to rows with ``feat``: the scorer, made once in each task, gets (rows, width) and returns rows scores."""
-    from pyspark.sql.types import FloatType, StructField, StructType
+def vad_segments(frames: DataFrame, speech: Column, o: MachineOptions = MachineOptions(), key: str = "audio_id", order: str = "frame_idx") -> DataFrame:
+    """(key, seq, start_ms, end_ms) from one row per frame.
 
-    out = StructType([*feats.schema.fields, StructField("silence", FloatType())])
+    The rule is sequential, so a recording's frames pass by in order in one task; it holds the machine and one batch.
+    """
+    kind = frames.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = make_scorer()
+        machine, now, seq, waiting = None, None, 0, None
+
+        def told(kept: list) -> list:
+            """Closed segments that can't change any more, as rows."""
+            nonlocal seq
+            out = []
+            for a, b, closed in kept:
+                if closed and b >= a:
+                    out.append((now, seq, a, b))
+                    seq += 1
+            return out
+
+        def ended() -> list:
+            machine.feed(waiting, True, o)
+            return told(machine.segments)
+
+        def batch_of(out: list, like: pa.DataType) -> pa.RecordBatch:
+            types = (like, pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [key, "seq", "start_ms", "end_ms"])
+
+        like = None
         for batch in batches:
-            col = batch.column(batch.schema.get_field_index("feat"))
-            x = col.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.asarray(score(x), np.float32))], [*batch.schema.names, "silence"])
+            like, out, states = batch.schema.field(0).type, [], batch.column(1).to_pylist()
+            for a, b in _key_turns(batch.column(0)):
+                own = batch.column(0)[a].as_py()
+                if machine is None or own != now:
+                    if machine is not None:
+                        out += ended()
+                    machine, now, seq, waiting = Machine(), own, 0, None
+                for s in states[a:b]:
+                    if waiting is not None:
+                        machine.feed(waiting, False, o)
+                    waiting = s
+                done = machine.segments[:-1]  # the last one stays, as its end bounds the next start
+                machine.segments = machine.segments[-1:]
+                out += told(done)
+            yield batch_of(out, like)
+        if machine is not None:
+            yield batch_of(ended(), like)
+
+    rows_in = frames.select(key, F.coalesce(speech, F.lit(False)).alias("s"), F.col(order).alias("o")).repartition(key).sortWithinPartitions(key, "o")
+    return rows_in.select(key, "s").mapInArrow(rows, f"{key} {kind}, seq long, start_ms long, end_ms long")
+
+
+def score_frames(feats: DataFrame, make_scorer: Callable[[], Callable], key: str = "audio_id", order: str = "frame_idx", sort: bool = True, on_error: str = "raise") -> DataFrame:
+    """Adds silence (float) to rows with ``feat``, recording by recording and in order; with ``on_error="row"`` error (string) too.
+
+    The scorer, made once in a worker, gets (rows, width), the rows' ``db`` (zeros where there is no such column) and its state, which
+    is None at a recording's first frame, and returns as many scores and its new state.  A recording may come in several parts.
+    ``sort=False``: each recording's rows already stand together and in order, as ``features`` gives them, so nothing is shuffled.
+    With ``row`` a recording whose scoring fails has no scores from there on, and ``vad: message`` in error.
+    """
+    if on_error not in ("raise", "row"):
+        raise ValueError("on_error must be raise or row")
+    make_scorer, with_error = once(make_scorer), on_error == "row"
+    out = StructType([*feats.schema.fields, StructField("silence", FloatType()), *([StructField("error", StringType())] if with_error else [])])
+    names, has_db = [f.name for f in out.fields], "db" in feats.columns
 
-    return feats.mapInArrow(rows, out)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, now, state, failed, started = make_scorer(), None, None, None, False
+        for batch in batches:
+            keys, feat = (batch.column(batch.schema.get_field_index(c)) for c in (key, "feat"))
+            db = batch.column(batch.schema.get_field_index("db")).to_numpy(zero_copy_only=False).astype(np.float64) if has_db else np.zeros(batch.num_rows)
+            scores, errors = np.full(batch.num_rows, np.nan, np.float32), [None] * batch.num_rows
+            for a, b in _key_turns(keys):
+                own = keys[a].as_py()
+                if not started or own != now:
+                    now, state, failed, started = own, None, None, True
+                if failed is None:
+                    try:
+                        x = feat.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                        scores[a:b], state = score(x, db[a:b], state)
+                    except Exception as e:
+                        if not with_error:
+                            raise
+                        failed = f"vad: {e!r}"
+                if failed is not None:
+                    scores[a:b], errors[a:b] = np.nan, [failed] * (b - a)
+            more = [pa.array(scores, from_pandas=True), *([pa.array(errors, pa.string())] if with_error else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
+
+    ordered = feats.repartition(key).sortWithinPartitions(key, order) if sort else feats
+    return ordered.mapInArrow(rows, out)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
 #: Zero crossings of the resampler's windowed sinc on each side, and output samples computed at once.
 CROSSINGS, BLOCK = 16, 1 << 15
@@ -99,12 +100,47 @@ def resampled(x: np.ndarray, rate: int, target: int) -> np.ndarray:
     return out
 
 
-def resample(audio: DataFrame, target: int = 16_000) -> DataFrame:
-    """Rows (..., sample_rate, samples) at ``target``; rows that are already stay untouched."""
+def resample(audio: DataFrame, target: int = 16_000, on_error: str = "raise") -> DataFrame:
+    """Rows (..., sample_rate, samples) at ``target``; rows that are already stay untouched, rows without samples or rate too.
 
-    @F.udf("array<float>", useArrow=True)
-    def changed(x, rate):
-        return None if x is None or rate is None else resampled(np.asarray(x, np.float32), rate, target).tolist()
+    With ``on_error="row"`` a row that can't be resampled has no samples and ``resample: message`` in the column error, which
+    is added where there is none; an error that stands there already stays.
+    """
+    if on_error not in ("raise", "row"):
+        raise ValueError("on_error must be raise or row")
+    with_error = on_error == "row"
+    fields = [StructField(f.name, ArrayType(FloatType()) if f.name == "samples" else IntegerType() if f.name == "sample_rate" else f.dataType) for f in audio.schema.fields]
+    if with_error and "error" not in audio.columns:
+        fields.append(StructField("error", StringType()))
+    names = [f.name for f in fields]
 
-    same = F.col("sample_rate") == target
-    return audio.withColumn("samples", F.when(same, F.col("samples").cast("array<float>")).otherwise(changed("samples", "sample_rate"))).withColumn("sample_rate", F.when(F.col("sample_rate").isNotNull(), F.lit(target)))
+    def changed(x, rate) -> np.ndarray | None:
+        if not x.is_valid or rate is None:
+            return None if not x.is_valid else x.values.to_numpy(zero_copy_only=False)
+        if rate <= 0:
+            raise ValueError(f"sample rate {rate}")
+        return resampled(x.values.to_numpy(zero_copy_only=False), rate, target)
+
+    def rows(batches):
+        for batch in batches:
+            rates, errors = batch.column(batch.schema.get_field_index("sample_rate")).to_pylist(), [None] * batch.num_rows
+            samples: list[np.ndarray | None] = []
+            for i, x in enumerate(batch.column(batch.schema.get_field_index("samples"))):
+                try:
+                    samples.append(changed(x, rates[i]))
+                except Exception as e:
+                    if not with_error:
+                        raise
+                    samples.append(None)
+                    errors[i] = f"resample: {e}"
+            own = dict(zip(batch.schema.names, batch.columns, strict=True))
+            offsets = pa.array([None if x is None else n for x, n in zip([*samples, ()], np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in samples]))).tolist(), strict=True)], pa.int32())
+            flat = [x for x in samples if x is not None]
+            own["samples"] = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat).astype(np.float32) if flat else np.zeros(0, np.float32)))
+            own["sample_rate"] = pa.array([None if r is None else target for r in rates], pa.int32())
+            if with_error:
+                before = own["error"].to_pylist() if "error" in own else errors
+                own["error"] = pa.array([b or e for b, e in zip(before, errors, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([own[n] for n in names], names)
+
+    return audio.withColumns({"samples": F.col("samples").cast("array<float>"), "sample_rate": F.col("sample_rate").cast("int")}).mapInArrow(rows, StructType(fields))

@@ -1,15 +1,19 @@
 """One stream's state: features carried over chunk borders, the frame machine, utterances, and partial texts.
 
 ``Session`` takes chunks in order and returns event rows.  Its state is what the next chunk needs - no history of frames or
-scores - and can be saved as bytes, so a streaming query and a replay of stored chunks run the same code.
+scores - and can be saved in a few columns, so a streaming query and a replay of stored chunks run the same code.
+
+Scorers and models may have a memory.  They are functions of their inputs and a state of any type that can be pickled, and
+return the new state beside their result; the session keeps it, so one scorer and one model serve all streams.
 """
 
 from __future__ import annotations
 
-import base64
 import json
+import pickle
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from typing import Any
 
 import numpy as np
 
@@ -19,10 +23,12 @@ from speechlake.operators.vad_machine import Machine
 from speechlake.options import MachineOptions, StreamOptions
 
 FRAME, HOP = 400, 160
-#: Gets (frames, 400) stacked features and their levels in dB, and returns silence scores.
-Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
-#: Gets the window's samples and the text prefix, and returns the text that follows.
-Model = Callable[[np.ndarray, str], str]
+#: Gets (frames, 400) stacked features, their levels in dB and its state (None at the start of a stream), and returns silence scores and its new state.
+Scorer = Callable[[np.ndarray, np.ndarray, Any], tuple[np.ndarray, Any]]
+#: Gets the window's samples, the text prefix and its state (None at the start of an utterance), and returns the text that follows and its new state.
+Model = Callable[[np.ndarray, str, Any], tuple[str, Any]]
+#: The columns of a saved session; an ended one has only the first.
+SAVED = "session string, samples binary, frames binary, levels binary, pre_roll binary, buffer binary, window binary, scorer binary, model binary"
 
 
 def _none() -> np.ndarray:
@@ -73,6 +79,7 @@ class Utterance:
     confirmed: str = ""
     pending: str = ""
     told: str = ""
+    memory: Any = None
 
 
 @dataclass
@@ -89,45 +96,81 @@ class Session:
     utterances: int = 0
     results: int = 0
     finished: bool = False
+    failed: bool = False
     end_ms: int = 0
+    memory: Any = None
     scorer: Scorer | None = None
     model: Model | None = None
     tokenizer: Tokenizer | None = None
+    _rows: list[dict] = field(default_factory=list)
+    _worker: str = "session"
 
-    # state as bytes
+    # state in columns
 
-    def save(self) -> bytes:
-        parts = {k: getattr(self, k) for k in ("speaking", "utterances", "results", "finished", "end_ms", "pre_roll")}
-        parts |= {"carry": vars(self.carry), "machine": asdict(self.machine), "utterance": self.utterance and vars(self.utterance)}
-        return json.dumps(parts, default=lambda a: {"shape": a.shape, "data": base64.b64encode(a.astype("<f4").tobytes()).decode()}).encode()
+    def save(self) -> tuple:
+        """The values of SAVED."""
+        marks = {k: getattr(self, k) for k in ("speaking", "utterances", "results", "finished", "failed", "end_ms")}
+        if self.finished:
+            return (json.dumps(marks), *[None] * 8)
+        u, c = self.utterance, self.carry
+        own = u and {k: v for k, v in vars(u).items() if k not in ("buffer", "window", "memory")}
+        raw = lambda x: x.astype("<f4").tobytes()
+        arrays = [raw(x) for x in (c.samples, c.frames, c.levels, self.pre_roll, *((u.buffer, u.window) if u else (_none(), _none())))]
+        kept = [None if x is None else pickle.dumps(x, 5) for x in (self.memory, u.memory if u else None)]
+        return (json.dumps(marks | {"started": c.started, "machine": asdict(self.machine), "utterance": own}), *arrays, *kept)
 
     @classmethod
-    def load(cls, data: bytes, **given) -> Session:
-        arrays = lambda x: np.frombuffer(base64.b64decode(x["data"]), "<f4").reshape(x["shape"]).copy() if set(x) == {"shape", "data"} else x
-        x = json.loads(data, object_hook=arrays)
-        return cls(**given, **x | {"carry": Carry(**x["carry"]), "machine": Machine(**x["machine"]), "utterance": x["utterance"] and Utterance(**x["utterance"])})
+    def load(cls, saved: tuple, **given) -> Session:
+        x, arrays = json.loads(saved[0]), [np.frombuffer(b, "<f4").copy() if b is not None else _none() for b in saved[1:7]]
+        samples, frames, levels, pre_roll, buffer, window = arrays
+        memory, own_memory = (None if b is None else pickle.loads(bytes(b)) for b in saved[7:])
+        started, machine, own = x.pop("started", False), x.pop("machine", {}), x.pop("utterance", None)
+        utterance = own and Utterance(**own, buffer=buffer, window=window, memory=own_memory)
+        return cls(**given, **x, carry=Carry(samples, frames.reshape(-1, 80), levels, started), machine=Machine(**machine), utterance=utterance, pre_roll=pre_roll, memory=memory)
 
     # events
 
     def _event(self, kind: str, chunk_id: int, utterance: int | None = None, **values) -> dict:
         row = {"result_id": self.results, "event_type": kind, "utterance_id": (self.utterances - 1 if self.utterance else -1) if utterance is None else utterance, "trigger_chunk_id": chunk_id, "start_ms": None, "end_ms": None, "text": "", "confirmed_delta": "", "confirmed_text": "", "pending_text": "", "error": None}
         self.results += 1
-        return row | values
+        self._rows.append(row | values)
+        return self._rows[-1]
+
+    def _guarded(self, chunk_id: int, work: Callable[[], object]) -> list[dict]:
+        """The events told during ``work``; if it fails, one error row ends them and the stream."""
+        self._rows, self._worker = [], "session"
+        try:
+            work()
+        except Exception as e:
+            self._event("error", chunk_id, error=f"{self._worker}: {e!r}")
+            self.finished = self.failed = True
+        return self._rows
 
     def push(self, chunk_id: int, start_ms: int, pcm: np.ndarray, is_final: bool = False) -> list[dict]:
-        """Events of one chunk.  A chunk after the final one is an error row; the final chunk closes everything."""
+        """Events of one chunk.  The final chunk closes everything; a chunk after it is an error row.
+
+        A scorer or model that raises gives one error row, named vad or asr, and ends the stream: later chunks give nothing.
+        """
+        if self.failed:
+            return []
         if self.finished:
+            self._rows = []
             return [self._event("error", chunk_id, error="vad: audio after the end of the stream")]
-        pcm = np.clip(np.asarray(pcm, np.float32), -1, 1)
-        out = self._chunk(chunk_id, start_ms, pcm, False)
-        if is_final:
-            out += self._finish(chunk_id)
-        return out
+
+        def work() -> None:
+            self._chunk(chunk_id, start_ms, np.clip(np.asarray(pcm, np.float32), -1, 1), False)
+            if is_final:
+                self._finish(chunk_id)
+
+        return self._guarded(chunk_id, work)
 
     def _detected(self, pcm: np.ndarray, final: bool) -> list[tuple[int, int]]:
         feats, levels = self.carry.feed(pcm, final)
         if len(feats):
-            s = np.clip(np.asarray(self.scorer(feats, levels), np.float64), 1e-7, 1 - 1e-7)
+            self._worker = "vad"
+            scores, self.memory = self.scorer(feats, levels, self.memory)
+            self._worker = "session"
+            s = np.clip(np.asarray(scores, np.float64), 1e-7, 1 - 1e-7)
             speech = (1 - s >= s + 0.6).tolist()
             for i, x in enumerate(speech):
                 self.machine.feed(x, final and i == len(speech) - 1, self.machine_options)
@@ -173,7 +216,7 @@ class Session:
 
     def timed_out(self) -> list[dict]:
         """Closes a stream that no longer sends anything."""
-        return [] if self.finished else self._finish(-1)
+        return [] if self.finished else self._guarded(-1, lambda: self._finish(-1))
 
     # utterances
 
@@ -207,7 +250,10 @@ class Session:
         u.trimmed += max(0, len(u.window) - longest)
         u.window = u.window[-longest:]
         prefix = "" if u.chunk < o.unfixed_chunks else self._cut_back(u.raw, o.unfixed_tokens)
-        u.raw = prefix + self.model(u.window, prefix)
+        self._worker = "asr"
+        text, u.memory = self.model(u.window, prefix, u.memory)
+        self._worker = "session"
+        u.raw = prefix + text
         u.chunk += 1
         return self._tell(self._cut_back(u.raw, 0), False, chunk_id)
 

@@ -39,6 +39,29 @@ def test_same_as_library(both):
         assert b"".join(mine.decode(np.array(want, "<u4"))).decode() == theirs.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_is_as_in_the_library(both):
+    mine, theirs = both
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 2000):
+        text = " ".join(f"x{c}y" for c in points[i : i + 2000])
+        raw = mine.encode(text)
+        assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == theirs.encode(text, add_special_tokens=False).ids, hex(ord(points[i]))
+
+
+def test_marks_are_ordered_as_in_the_library(both):
+    import unicodedata
+
+    from tokenizers import normalizers
+
+    from speechlake.llm.bpe import normalised
+
+    form, r = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]), random.Random(5)
+    marks = [chr(c) for c in range(0x80, 0x110000) if unicodedata.combining(chr(c))]
+    texts = [s for c in marks for s in (f"a{c}\u0334", f"a\u0345{c}", f"e{c}\u0301\u0323")] + ["\U00011935\U00011930"]
+    texts += ["".join(r.choices(["a", "É", "\u0301", "Σ", "\ua7cb"], k=2) + r.choices(marks, k=3)) for _ in range(3000)]
+    assert [t for t in texts if normalised(t) != form.normalize_str(t)] == []
+
+
 def test_every_token_encodes_to_itself(both):
     mine, _ = both
     seen = 0

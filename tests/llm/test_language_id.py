@@ -38,22 +38,39 @@ def test_held_out_accuracy_and_contract(spark):
     assert {x.doc_id for x in kept.collect()} >= {i for i, *_ in data}
 
 
-def test_scores_are_sums_of_log_probabilities(spark):
+def test_scores_are_sums_of_log_probabilities(spark, monkeypatch):
     model = fitted(spark.createDataFrame([x[:3] for x in rows(2, 200)], "doc_id long, text string, lang string"))
-    from speechlake.llm.language_id import buckets_of
-
-    texts = ["The and", "x", "être avec sont", "zz" * 400]
-    best, sure = model.scores(texts)
-    for k, t in enumerate(texts):
-        total = model.priors.copy()
-        for buckets, _, sizes in buckets_of([t]):
-            for b in buckets[: sizes[0]]:
-                total = total + model.matrix[b]
-        p = np.exp(total - total.max())
-        assert best[k] == total.argmax() and abs(sure[k] - p.max() / p.sum()) < 1e-9
+    import speechlake.llm.language_id as m
+
+    texts = ["The and", "x", "être avec sont", "zz" * 400, "İİ das ist " * 30]
+    for piece in (1, 2, 3, 50, 1 << 17):
+        monkeypatch.setattr(m, "PIECE", piece)
+        best, sure = model.scores(texts)
+        for k, t in enumerate(texts):
+            total = model.priors.copy()
+            for n in (1, 2, 3):
+                for i in range(len(t.lower())):
+                    own = 0
+                    for c in (t.lower() + "  ")[i : i + n]:
+                        own = (own * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                    total = total + model.matrix[(own + n) * 0xD6E8FEB86659FD93 % 2**64 >> 49]
+            p = np.exp(total - total.max())
+            assert best[k] == total.argmax() and abs(sure[k] - p.max() / p.sum()) < 1e-9
     assert isinstance(model, Model) and model.languages == ("de", "en", "fr")
 
 
+def test_long_text_in_bounded_memory():
+    import tracemalloc
+
+    languages = tuple(f"l{i:03d}" for i in range(100))
+    model = Model(languages, np.zeros(100), np.random.default_rng(1).normal(size=(1 << 15, 100)))
+    text = "the quick brown fox é " * 900_000
+    tracemalloc.start()
+    model.scores([text, "short"])
+    assert len(text) > 19_000_000 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert predictions(df).collect() == [] and identified(df).collect() == []

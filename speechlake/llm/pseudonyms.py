@@ -38,12 +38,12 @@ SHAPES = {
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
 }
 #: Kinds that are looked for in what the finds of ``FIRST`` leave.
-OTHERS = ("date", "ip", "ssn", "phone")
+OTHERS = ("email", "date", "ip", "ssn", "phone")
 ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(SHAPES[k] for k in OTHERS) + ")"
 #: Finds that come before all others.  Groups of capitals and digits after what may begin an IBAN, and digit groups with one space
 #: or hyphen between them, go as a whole; IBANs and cards are found in them, wherever they begin and end.
 FIRST = (
-    r"(?<![A-Za-z0-9]|[0-9]\.)(?:" + SHAPES["email"] + r"|[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}(?![A-Za-z0-9])|(?: [A-Z0-9]{1,4}(?![A-Za-z0-9]))++)"
+    r"(?<![A-Za-z0-9]|[0-9]\.)(?:" + SHAPES["email"] + r"|[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}(?![A-Za-z0-9])|(?:[ -][A-Z0-9]{1,34}+(?![A-Za-z0-9]))++)"
     r"|(?<!\+)(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+)"
 )
 #: Groups that may all be years.
@@ -55,6 +55,13 @@ GROUPINGS = (
     (3, r"^[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}(?![0-9])"),
     (5, r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}(?![0-9])"),
 )
+#: How long an IBAN of each country is.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_COUNTRIES = "^(?:" + "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}[A-Z0-9]{{{n - 4}}}" for n, names in IBAN_LENGTHS.items()) + ")$"
 #: Stands for a find of ``FIRST`` until the rest is done; the sign that it begins with is doubled up in the text itself.
 SIGN = "\x01"
 PLACE, ESCAPED = SIGN + "\x03", SIGN + "\x02"
@@ -196,10 +203,14 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(_digits(number), _long(0), lambda a, d: (a * 10 + d) % 97)
 
 
+def _iban_valid(s: Column) -> Column:
+    """Whether a string of capitals and digits has a country's code, its length and the right check digits."""
+    return s.rlike(IBAN_COUNTRIES) & (_mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1)
+
+
 def _iban(m: Column, key: str) -> Column:
     def made(s: Column) -> Column:
-        country, body = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-        valid = _mod97(F.concat(body, F.substring(s, 1, 4))) == 1
+        country, body, valid = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s)), _iban_valid(s)
         new = lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
         return F.when(valid, _refilled(m, bound(_letters(body, key, "iban"), new)))
 
@@ -255,7 +266,7 @@ def _runs(m: Column, key: str) -> Column:
         def iban(i: Column) -> Column:
             """The most groups from ``i`` on that are an IBAN."""
             def good(n: Column) -> Column:
-                return bound(_bare(joined(i, n)), lambda x: joined(i, n).rlike("^" + SHAPES["iban"] + "[^A-Za-z0-9]*$") & (_mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1))
+                return joined(i, n).rlike("^" + SHAPES["iban"] + "[^A-Za-z0-9]*$") & bound(_bare(joined(i, n)), _iban_valid)
 
             sizes = F.filter(F.sequence(F.least(F.lit(9), F.size(groups) - i), F.lit(1), F.lit(-1)), good)
             return F.when(groups[i].rlike("^[A-Z]{2}[0-9]{2}"), F.try_element_at(sizes, F.lit(1)))
@@ -302,7 +313,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     Valid personal data in ``text`` is replaced by pseudonyms under ``key``; everything else, invalid numbers included, stays
     as it is.  A card in one piece, or in one of ``GROUPINGS`` with one separator, is found among other digit groups too; in
     any other grouping only where no digit group follows and no other kind of number is in it.  An IBAN is found among other
-    groups of capitals and digits.  A null text stays null.  Rows stay as they are otherwise, repeated
+    groups of capitals and digits; only the countries in ``IBAN_LENGTHS`` have one.  A null text stays null.  Rows stay as they are otherwise, repeated
     ones and null ids too; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

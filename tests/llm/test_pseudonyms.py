@@ -195,6 +195,13 @@ def test_invalid_values_among_neighbours_stay(spark):
     assert [x.text for x in run(spark, texts)] == texts
 
 
+def test_addresses_beside_groups(spark):
+    texts = ["AB12 JANE@x.org", "4785380592391139 77@x.org", "AB12 3782 822463 10005", "OF12 4111 1111 1111 1111 CALL"]
+    own = [(plain("email", "JANE@x.org"), 0), (plain("card", "4785380592391139") + " " + plain("email", "77@x.org"), 1), (plain("card", "3782 822463 10005"), 1), (plain("card", "4111 1111 1111 1111"), 1)]
+    for t, x, (new, cards) in zip(texts, run(spark, texts), own, strict=True):
+        assert new in x.text and x.n_card == cards and x.n_iban == 0, (t, x)
+
+
 def test_the_key_is_not_in_the_plan(spark, capsys):
     pseudonymised(spark.createDataFrame([(1, "8.8.8.8")], "doc_id long, text string"), "a very secret key").explain(True)
     assert "a very secret key" not in capsys.readouterr().out

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from speechlake.operators.tokens import Tokenizer, id_lists, with_column
 
@@ -65,7 +66,7 @@ def track_partials(hypotheses: DataFrame, mode: str = "clear", key: str = "utter
 def rollback_decode(df: DataFrame, tokenizer: Tokenizer, back: int, ids: str = "ids") -> DataFrame:
     """Adds rolled_back: the text without the last tokens, shortened while it ends in a broken character."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
-    return with_column(df, ids, "rolled_back", "string", lambda x: pa.array([shared.value.rollback(i, back) for i in id_lists(x)], pa.string()))
+    return with_column(df, ids, "rolled_back", StringType(), lambda x: pa.array([shared.value.rollback(i, back) for i in id_lists(x)], pa.string()))
 
 
 def stable_prefix(df: DataFrame, tokenizer: Tokenizer, unfixed_chunks: int = 2, unfixed_tokens: int = 5) -> DataFrame:

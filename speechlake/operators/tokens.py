@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 #: Pieces that a worker remembers at most.
 PIECES = 200_000
@@ -135,7 +136,7 @@ def order_special_tokens(added: DataFrame) -> DataFrame:
     return added.orderBy(F.octet_length("token").desc(), "token")
 
 
-def with_column(df: DataFrame, source: str, name: str, kind: str, values: Callable[[pa.Array], pa.Array]) -> DataFrame:
+def with_column(df: DataFrame, source: str, name: str, kind: DataType, values: Callable[[pa.Array], pa.Array]) -> DataFrame:
     """``df`` with ``name`` made from the column ``source``, an Arrow batch at a time; a column of that name is replaced."""
     kept = [c for c in df.columns if c != name]
 
@@ -143,8 +144,8 @@ def with_column(df: DataFrame, source: str, name: str, kind: str, values: Callab
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values(batch.columns[-1])], [*kept, name])
 
-    schema = df.select(*kept).schema
-    return df.select(*kept, F.col(source).alias("_source")).mapInArrow(rows, schema.add(name, kind))
+    schema = StructType([*df.select(*kept).schema.fields, StructField(name, kind)])
+    return df.select(*kept, F.col(source).alias("_source")).mapInArrow(rows, schema)
 
 
 def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
@@ -156,7 +157,7 @@ def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter((i for x in each for i in x), np.int32, int(offsets[-1]))))
 
-    return with_column(df, text, "ids", "array<int>", ids)
+    return with_column(df, text, "ids", ArrayType(IntegerType()), ids)
 
 
 def id_lists(ids: pa.Array) -> Iterator[list[int]]:
@@ -168,7 +169,7 @@ def id_lists(ids: pa.Array) -> Iterator[list[int]]:
 def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", keep_special: bool = False) -> DataFrame:
     """Adds decoded."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
-    return with_column(df, ids, "decoded", "string", lambda x: pa.array([shared.value.decode(i, keep_special) for i in id_lists(x)], pa.string()))
+    return with_column(df, ids, "decoded", StringType(), lambda x: pa.array([shared.value.decode(i, keep_special) for i in id_lists(x)], pa.string()))
 
 
 def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:

@@ -657,132 +657,3 @@ def token_lookups(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), F.array("p_name").alias("tokens"))
     known, unknown = tokens_to_ids(items, vocab)
     return known.select("item_id", F.lit(True).alias("known")).union(unknown.select("item_id", F.lit(False))).groupBy("item_id").agg(F.max("known").alias("known"))
-
-
-# --- helpers in Python: files, spectra, the frame machine, tokens, sessions --------------------------------------------
-
-
-@query("SELECT 'v' || vec_id AS path, 16000 AS sample_rate, 16 AS bits, 64 AS n, CAST(list_sum([CAST(round_even(CAST(x AS DOUBLE) * 32768, 0) AS BIGINT) for x in embedding]) AS BIGINT) AS total FROM embeddings")
-def wav_files(spark, sf_dir):
-    """Embeddings written as WAV files and read back."""
-    import numpy as np
-
-    from speechlake.sources.audio_files import decode_files, encode_wav
-
-    content = F.udf(lambda x: encode_wav(np.asarray(x, np.float64), 16_000), "binary", useArrow=True)
-    files = embeddings(spark, sf_dir).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("path"), content("samples").alias("content"))
-    total = F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + F.round(x.cast("double") * 32768, 0).cast("long"))
-    return decode_files(files).select("path", "sample_rate", "bits", F.size("samples").alias("n"), total.alias("total"))
-
-
-def recordings(spark: SparkSession, sf_dir: str, vectors: int) -> DataFrame:
-    """Recordings of ``vectors`` consecutive embeddings each: (audio_id, samples)."""
-    rows = embeddings(spark, sf_dir).select(F.floor(F.col("vec_id") / vectors).alias("audio_id"), "vec_id", "samples")
-    parts = F.array_sort(F.collect_list(F.struct("vec_id", "samples")))
-    return rows.groupBy("audio_id").agg(F.flatten(F.transform(parts, lambda x: x["samples"])).alias("samples"))
-
-
-def _feature_rows(spark, sf_dir, front_end):
-    from speechlake.operators.features import features
-
-    rows = features(recordings(spark, sf_dir, 32), front_end)
-    return rows.select("audio_id", "frame_idx", F.size("feat").alias("width"), fixed(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), 1).alias("total"))
-
-
-@query()
-def detector_features(spark, sf_dir):
-    return _feature_rows(spark, sf_dir, "stacked_fbank")
-
-
-@query()
-def log_mel_features(spark, sf_dir):
-    return _feature_rows(spark, sf_dir, "log_mel")
-
-
-@query()
-def mel_spectrograms(spark, sf_dir):
-    return _feature_rows(spark, sf_dir, "mel_spectrogram")
-
-
-@query()
-def machine_segments(spark, sf_dir):
-    """The frame machine over users' events: value under 100 is speech."""
-    from speechlake.operators.vad_machine import vad_segments
-    from speechlake.options import MachineOptions
-
-    small = MachineOptions(vote_frames=4, to_speech=3, to_silence=2, look_back=2, end_silence=6, longest=40, tail_frames=2, end_back=4)
-    return vad_segments(frame_rows(spark, sf_dir), F.col("db") < 100, small)
-
-
-@query()
-def long_audio_pieces(spark, sf_dir):
-    from speechlake.operators.inference import split_long_audio
-
-    rows = recordings(spark, sf_dir, 64).withColumn("sample_rate", F.lit(1000))
-    return split_long_audio(rows, 1.0, 0.5, 0.2).select("audio_id", "piece", "offset", F.size("samples").alias("n"))
-
-
-@query("WITH r AS (SELECT vec_id // 32 AS audio_id, count(*) * 64 AS n FROM embeddings GROUP BY 1) SELECT audio_id, CAST(round_even(n * 16000.0 / 22050.0, 0) AS INT) AS n FROM r")
-def resampled_lengths(spark, sf_dir):
-    from speechlake.sources.audio_files import resample
-
-    return resample(recordings(spark, sf_dir, 32).withColumn("sample_rate", F.lit(22_050))).select("audio_id", F.size("samples").alias("n"))
-
-
-def tokenizer(spark: SparkSession):
-    """The byte-level vocabulary among the installed public tokenizers."""
-    import public_tokenizers
-
-    from speechlake.operators.tokens import collected
-    from speechlake.sources.tables import read_tokenizer_file
-
-    return collected(*read_tokenizer_file(spark, f"file://{public_tokenizers.path('byte_bpe_50k.json')}"))
-
-
-@query("SELECT doc_id, length(text) AS n_chars, true AS same FROM documents")
-def token_round_trips(spark, sf_dir):
-    from speechlake.operators.tokens import decode, encode
-
-    t = tokenizer(spark)
-    rows = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), t), t, keep_special=True)
-    return rows.select("doc_id", F.length("decoded").cast("long").alias("n_chars"), (F.col("decoded") == F.col("text")).alias("same"))
-
-
-@query()
-def text_pieces(spark, sf_dir):
-    from speechlake.operators.tokens import piece_counts
-
-    return piece_counts(table(spark, sf_dir, "documents"))
-
-
-@query()
-def scored_segments(spark, sf_dir):
-    """Clips through a stand-in model that is loaded once per task; every seventh fails and has an error row."""
-    import pandas as pd
-
-    from speechlake.operators.inference import transcribe_segments
-
-    def make():
-        def run(pdf):
-            if (pdf["vec_id"] % 7 == 0).any():
-                raise ValueError("cannot hear")
-            return pd.DataFrame({"raw_text": [f"language x<asr_text>{len(s)}" for s in pdf["samples"]], "elapsed_ms": [1.0] * len(pdf)})
-
-        return run
-
-    return transcribe_segments(embeddings(spark, sf_dir), make, "row").drop("samples")
-
-
-@query()
-def replayed_streams(spark, sf_dir):
-    """Chunk streams of 64 embeddings each through detection and recognition, with stand-ins for the models."""
-    import numpy as np
-
-    from speechlake.streaming.jobs import replay
-
-    def load():
-        return {"scorer": lambda feats, levels: np.where(levels > np.median(levels), 0.0, 1.0), "model": lambda window, prefix: "w" * (len(window) // 800)}
-
-    rows = embeddings(spark, sf_dir).withColumn("stream_id", F.floor(F.col("vec_id") / 64).cast("string"))
-    chunks = rows.select("stream_id", F.col("vec_id").alias("chunk_id"), ((F.col("vec_id") % 64) * 4).alias("start_ms"), F.lit(None).cast("bigint").alias("end_ms"), F.col("samples").cast("array<float>").alias("pcm"), (F.col("vec_id") % 64 == 63).alias("is_final"), F.lit(None).cast("timestamp").alias("pushed_at"))
-    return replay(chunks, load)

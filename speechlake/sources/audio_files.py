@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 from math import gcd
 
 import numpy as np
@@ -79,24 +80,28 @@ def read_wav(spark: SparkSession, path: str, on_error: str = "raise") -> DataFra
     return decode_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path), on_error)
 
 
+@lru_cache(maxsize=16)
+def _weights(up: int, down: int) -> np.ndarray:
+    """(up, taps): the filter at each of the ``up`` places between two samples that outputs fall on, in turn."""
+    cutoff = min(1.0, up / down)
+    half = int(np.ceil(CROSSINGS / cutoff))
+    distance = np.arange(-half + 1, half + 1) - (np.arange(up) * down % up / up)[:, None]
+    return cutoff * np.sinc(cutoff * distance) * np.cos(np.pi / 2 * np.clip(distance / half, -1, 1)) ** 2
+
+
 def resampled(x: np.ndarray, rate: int, target: int) -> np.ndarray:
     """Windowed-sinc interpolation; round(n * target / rate) samples.  Not bit-identical to any library's filter."""
     if rate == target or not len(x):
         return x.astype(np.float32)
     g = gcd(rate, target)
     up, down = target // g, rate // g
-    n, cutoff = int(round(len(x) * target / rate)), min(1.0, target / rate)
-    half = int(np.ceil(CROSSINGS / cutoff))
-    padded = np.pad(x.astype(np.float64), half)
+    weights, n = _weights(up, down), int(round(len(x) * target / rate))
+    taps = weights.shape[1]
+    spans = np.lib.stride_tricks.sliding_window_view(np.pad(x.astype(np.float64), taps), taps)
     out = np.empty(n, np.float32)
     for a in range(0, n, BLOCK):
-        t = np.arange(a, min(a + BLOCK, n)) * down / up
-        first = np.floor(t).astype(np.int64)
-        offsets = np.arange(-half + 1, half + 1)
-        distance = (first - t)[:, None] + offsets
-        weight = cutoff * np.sinc(cutoff * distance) * np.cos(np.pi / 2 * np.clip(distance / half, -1, 1)) ** 2
-        at = np.clip(first[:, None] + offsets + half, 0, len(padded) - 1)
-        out[a : a + len(t)] = (padded[at] * weight).sum(1)
+        j = np.arange(a, min(a + BLOCK, n))
+        out[a : a + len(j)] = np.einsum("ij,ij->i", spans[np.minimum(j * down // up + taps // 2 + 1, len(spans) - 1)], weights[j % up])
     return out
 
 

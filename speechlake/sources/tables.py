@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_cmvn(spark: SparkSession, path: str) -> DataFrame:
-    """One row (shift, scale): the bracketed numbers on the line after <AddShift> and after <Rescale>."""
-    text = F.col("value")
+def parse_cmvn(text: Column) -> Column:
+    """struct(shift, scale) of a file's text: the bracketed numbers on the line after <AddShift> and after <Rescale>."""
     numbers = lambda tag: F.transform(F.filter(F.split(F.regexp_extract(text, rf"<{tag}>[^\n]*\n[^\n\[]*\[([^\]\n]*)\]", 1), r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
-    return spark.read.text(path, wholetext=True).select(numbers("AddShift").alias("shift"), numbers("Rescale").alias("scale"))
+    return F.struct(numbers("AddShift").alias("shift"), numbers("Rescale").alias("scale"))
+
+
+def read_cmvn(spark: SparkSession, path: str) -> DataFrame:
+    """One row (shift, scale)."""
+    return spark.read.text(path, wholetext=True).select(parse_cmvn(F.col("value")).alias("c")).select("c.*")
 
 
 def _map_file(spark: SparkSession, path: str) -> DataFrame:
@@ -28,10 +32,16 @@ def read_added_tokens(spark: SparkSession, path: str) -> DataFrame:
     return _map_file(spark, path)
 
 
+def parse_merges(text: Column) -> Column:
+    """array(struct(left, right)): the lines of a file's text that hold two words; no line is taken for a head."""
+    pairs = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.split(F.trim(x), " ")), lambda x: F.size(x) == 2)
+    return F.transform(pairs, lambda x: F.struct(x[0].alias("left"), x[1].alias("right")))
+
+
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
-    """(left, right, rank): the pairs of a text file, ranked in their order; no line is taken for a head."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: F.size(F.split(x, " ")) == 2)).alias("rank", "pair"))
-    return lines.select(F.split("pair", " ")[0].alias("left"), F.split("pair", " ")[1].alias("right"), "rank")
+    """(left, right, rank): the pairs of a text file, ranked in their order."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(parse_merges(F.col("value"))).alias("rank", "pair"))
+    return lines.select("pair.left", "pair.right", "rank")
 
 
 def read_tokenizer_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

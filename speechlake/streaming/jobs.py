@@ -61,12 +61,19 @@ def replay(chunks: DataFrame, load: Loader, options: StreamOptions = StreamOptio
     return rows.repartition("stream_id").sortWithinPartitions("stream_id", "start_ms", "chunk_id").mapInPandas(run, EVENTS)
 
 
+def _limits(*ms: int) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if any(ms) else GroupStateTimeout.NoTimeout
+
+
 def stream_events(chunks: DataFrame, load: Loader, options: StreamOptions = StreamOptions(), timeout_ms: int = 0, ended_ms: int = 3_600_000) -> DataFrame:
     """The same rows from a stream of chunks, with a session's state kept per stream.
 
     Chunks of one stream must arrive in order of start_ms from batch to batch; within a batch they are sorted.  The end marker
     closes a stream; with ``timeout_ms`` one that sends nothing for so long is closed too, and its state dropped.  Of a closed
     stream only a mark stays, for ``ended_ms`` after its last chunk: till then what it still sends is an error row, later a new stream.
+
+    While a time limit runs Spark always plans another batch, so a query with one doesn't end by itself; for a run over what is
+    there (``availableNow``) set both to 0: marks then stay with the checkpoint.
     """
     load = once(load)
 
@@ -84,7 +91,7 @@ def stream_events(chunks: DataFrame, load: Loader, options: StreamOptions = Stre
         if wait:
             state.setTimeoutDuration(wait)
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, EVENTS, SAVED, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, EVENTS, SAVED, "append", _limits(timeout_ms, ended_ms))
 
 
 ROUTED = "stream_id string, chunk_id bigint, start_ms bigint, n_samples bigint, late string"
@@ -95,7 +102,7 @@ def routed_chunks(chunks: DataFrame, delay_ms: int | None = None, ended_ms: int
 
     ``late`` is null for a chunk in time, ``ended`` for one that starts after its stream's end marker, and ``behind`` for one that
     starts more than ``delay_ms`` before the newest of the batches so far, its own included; nothing is dropped, so ``where("late is not null")`` is the
-    reject output.  State is two numbers per stream, dropped ``ended_ms`` after the last chunk of an ended one.
+    reject output.  State is two numbers per stream, dropped ``ended_ms`` after the last chunk of an ended one (0: never).
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -113,11 +120,11 @@ def routed_chunks(chunks: DataFrame, delay_ms: int | None = None, ended_ms: int
         if end is not None:
             late[pdf["start_ms"] > end] = "ended"
         state.update((newest, None if end is None else int(end)))
-        if end is not None:
+        if end is not None and ended_ms:
             state.setTimeoutDuration(ended_ms)
         yield pdf[["chunk_id", "start_ms", "n_samples"]].assign(stream_id=key[0], late=late)[[c.split()[0] for c in ROUTED.split(", ")]]
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, ROUTED, "newest bigint, ended bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, ROUTED, "newest bigint, ended bigint", "append", _limits(ended_ms))
 
 
 def with_event_time(chunks: DataFrame, epoch: str = "1970-01-01") -> DataFrame:

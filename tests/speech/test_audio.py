@@ -164,4 +164,14 @@ def test_models_and_error_rows(spark):
     assert got == {1: ("t1", 1.5, None), 3: (None, None, "asr: bad clip"), 4: ("t4", 1.5, None)}
     with pytest.raises(Exception, match="bad clip"):
         transcribe_segments(df, make).collect()
+    audio = spark.createDataFrame([(1, 8000, [0.5] * 900), (2, 0, [0.5] * 900), (3, -5, [float("nan")] * 900), (4, 16_000, [0.5] * 900)], "audio_id int, sample_rate int, samples array<float>")
+    rates = {r.audio_id: (r.samples and len(r.samples), r.error) for r in resample(audio, on_error="row").collect()}
+    assert rates == {1: (1800, None), 2: (None, "resample: sample rate 0"), 3: (None, "resample: sample rate -5"), 4: (900, None)}
+    pieces = {(r.audio_id, r.piece): r.error for r in split_long_audio(audio, 0.1, 0.01, 0.01, on_error="row").collect()}
+    assert pieces[2, None] == "split: sample rate 0" and pieces[1, 1] is None and pieces[4, 0] is None
+    feats = features(audio, "fbank", on_error="row").where("error is not null").collect()
+    assert [(r.audio_id, r.frame_idx) for r in feats] == [(3, None)] and feats[0].error.startswith("features: ")
+    for bad in (lambda: resample(audio), lambda: split_long_audio(audio)):
+        with pytest.raises(Exception, match="sample rate"):
+            bad().collect()
     assert math.isclose(transcribe_segments(df.where("n <> 3"), make).agg(F.sum("elapsed_ms")).first()[0], 3.0)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from speechlake.queries import ORACLE_SQL, QUERIES
+from speechlake.model_queries import ORACLE_SQL, QUERIES
 
 FOLDER = os.environ.get("SPEECHLAKE_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")

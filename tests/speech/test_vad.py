@@ -1,11 +1,13 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from speechlake.operators.energy_vad import energy_vad
 from speechlake.operators.segments import merge_segments, pair_vad_events
-from speechlake.operators.vad_machine import Machine, segments_of, vad_segments
+from speechlake.operators.transcripts import in_input_order
+from speechlake.operators.vad_machine import Machine, score_frames, segments_of, vad_segments
 from speechlake.options import MachineOptions
 
 SMALL = MachineOptions(vote_frames=4, to_speech=3, to_silence=2, look_back=2, end_silence=6, longest=40, tail_frames=2, end_back=4)
@@ -148,3 +150,23 @@ def test_rows(spark):
     df = spark.createDataFrame([(k, i, s) for k in (1, 2) for i, s in enumerate(states)], "audio_id long, frame_idx long, s boolean")
     got = vad_segments(df, F.col("s"), SMALL).collect()
     assert sorted((x.audio_id, x.start_ms, x.end_ms) for x in got) == [(k, a, b) for k in (1, 2) for a, b in segments_of(np.array(states), SMALL)]
+
+
+def test_scores_with_errors_and_order_of_output(spark):
+    def failing():
+        def score(feats, db, state):
+            if (feats < 0).any():
+                raise ValueError("below zero")
+            return feats[:, 0] / 10, None
+
+        return score
+
+    df = spark.createDataFrame([(k, i, [float(-1 if (k, i) == (2, 3) else i)]) for k in (1, 2, 3) for i in range(6)], "audio_id long, frame_idx long, feat array<float>")
+    got = {(x.audio_id, x.frame_idx): (x.silence, x.error) for x in score_frames(df, failing, on_error="row").collect()}
+    assert all(got[k, i][1] is None and abs(got[k, i][0] - i / 10) < 1e-6 for k in (1, 3) for i in range(6))
+    assert all(got[2, i] == (None, "vad: ValueError('below zero')") for i in range(6))
+    with pytest.raises(Exception, match="below zero"):
+        score_frames(df, failing).collect()
+    results = spark.createDataFrame([(k, i) for k in range(20) for i in range(3)], "audio_id long, seq long").repartition(4)
+    inputs = spark.createDataFrame([(k, (7 * k) % 20) for k in range(20)], "audio_id long, position long")
+    assert [(x.position, x.seq) for x in in_input_order(results, inputs).collect()] == [(p, i) for p in range(20) for i in range(3)]

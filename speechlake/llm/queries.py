@@ -43,6 +43,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def ledger_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over a history of two versions and a raised rule."""
+    return secret_scan.history_report(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fuzzy_hash": op8_fuzzy_hash,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
+    "ledger_history": ledger_history,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +91,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": secret_scan.oracle_sql(),
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "ledger_history": secret_scan.history_sql(),
 }

@@ -179,8 +179,10 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    pages = pages.withColumn("digest", F.when(F.length("payload") >= least_bytes, F.sha1("payload")))
-    holders = pages.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1")
+    large = F.length("payload") >= least_bytes
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))  # meets no holder, and isn't one key for all small pages
+    pages = pages.withColumn("digest", F.when(large, F.sha1("payload")).otherwise(alone))
+    holders = pages.where(large).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1")
     joined = pages.join(settle(holders.select("digest", "holder"), "holders").hint("shuffle_hash"), "digest", "left")
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder")).alias("refers_to"))
 

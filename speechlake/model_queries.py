@@ -14,12 +14,12 @@ from speechlake.functions import arrays
 from speechlake.operators import partials, transcripts
 from speechlake.operators.features import features
 from speechlake.operators.inference import split_long_audio, transcribe_segments
-from speechlake.operators.tokens import piece_counts
+from speechlake.operators.tokens import byte_characters, collected, decode, encode, piece_counts
 from speechlake.operators.vad_machine import frame_state, score_frames, vad_segments
 from speechlake.options import MachineOptions
 from speechlake.queries import EV, HOURS, ORACLE_SQL, PADDED, QUERIES, embeddings, event_rows, fixed, fixed_sql, frame_rows, merged_rows, query, segment_rows, table
 from speechlake.sources.audio_files import resample
-from speechlake.sources.tables import parse_cmvn, parse_merges
+from speechlake.sources.tables import parse_cmvn, parse_merges, read_tokenizer_file
 from speechlake.streaming.jobs import late_rows, replay
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -275,33 +275,76 @@ MARKS_SQL = "，。、；：？！（）《》“”‘’—…"
 LETTERS_SQL, SIGNS_SQL = rf"(?:[A-Za-z]|[^\x00-\x7f{MARKS_SQL}])", rf"[\x00\x03-\x08\x0b\x0c\x0e-\x1f!-/:-@\[-`{{-\x7f{MARKS_SQL}]"
 
 
-@query(rf"""WITH c AS (SELECT string_split(regexp_replace(text, '(''(?:s|t|re|ve|m|ll|d|S|T|RE|VE|M|LL|D))', chr(2) || '\1' || chr(2), 'g'), chr(2)) AS parts FROM documents WHERE text IS NOT NULL),
-p AS (SELECT unnest(parts) AS part, unnest(range(0, len(parts))) AS i FROM c),
-q AS (SELECT unnest(CASE WHEN i % 2 = 1 THEN [part] ELSE regexp_extract_all(regexp_replace(part, '( +)( [^ \n\r\t])', '\1' || chr(1) || '\2', 'g'), ' +\x01| ?{LETTERS_SQL}+| ?{SIGNS_SQL}+[\n\r]*|[0-9]| +|[\n\r\t][ \n\r\t]*') END) AS piece FROM p)
-SELECT replace(piece, chr(1), '') AS piece, count(*) AS n FROM q GROUP BY 1""")
+def pieces_sql(source: str) -> str:
+    """The pieces of each row of (doc_id, text) in order, as rows of (doc_id, part, place, piece)."""
+    return rf"""c AS (SELECT doc_id, string_split(regexp_replace(text, '(''(?:s|t|re|ve|m|ll|d|S|T|RE|VE|M|LL|D))', chr(2) || '\1' || chr(2), 'g'), chr(2)) AS parts FROM {source} WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(parts) AS words, unnest(range(0, len(parts))) AS part FROM c),
+l AS (SELECT doc_id, part, CASE WHEN part % 2 = 1 THEN [words] ELSE regexp_extract_all(regexp_replace(words, '( +)( [^ \n\r\t])', '\1' || chr(1) || '\2', 'g'), ' +\x01| ?{LETTERS_SQL}+| ?{SIGNS_SQL}+[\n\r]*|[0-9]| +|[\n\r\t][ \n\r\t]*') END AS found FROM p),
+pc AS (SELECT doc_id, part, place, replace(piece, chr(1), '') AS piece FROM (SELECT doc_id, part, unnest(found) AS piece, unnest(range(0, len(found))) AS place FROM l))"""
+
+
+@query(f"WITH {pieces_sql('documents')} SELECT piece, count(*) AS n FROM pc GROUP BY 1")
 def text_pieces(spark, sf_dir):
     return piece_counts(table(spark, sf_dir, "documents"))
 
 
-def tokenizer(spark: SparkSession):
+def tokenizer_path() -> str:
     """The byte-level vocabulary among the installed public tokenizers."""
-    import public_tokenizers
+    try:
+        import public_tokenizers
+    except ImportError:
+        return "byte_bpe_50k.json"
+    return public_tokenizers.path("byte_bpe_50k.json")
 
-    from speechlake.operators.tokens import collected
-    from speechlake.sources.tables import read_tokenizer_file
 
-    return collected(*read_tokenizer_file(spark, f"file://{public_tokenizers.path('byte_bpe_50k.json')}"))
+def tokenizer(spark: SparkSession):
+    return collected(*read_tokenizer_file(spark, f"file://{tokenizer_path()}"))
 
 
 @query("SELECT doc_id, length(text) AS n_chars, true AS same FROM documents")
 def token_round_trips(spark, sf_dir):
-    from speechlake.operators.tokens import decode, encode
-
     t = tokenizer(spark)
     rows = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), t), t, keep_special=True)
     return rows.select("doc_id", F.length("decoded").cast("long").alias("n_chars"), (F.col("decoded") == F.col("text")).alias("same"))
 
 
+def tokens_sql(source: str) -> str:
+    """A recursive query up to ``toks``: (doc_id, part, place, k, token, id), with every piece merged by rank."""
+    alphabet = ", ".join("'" + c.replace("'", "''") + "'" for c in byte_characters())
+    return f"""RECURSIVE {pieces_sql(source)},
+f AS (SELECT content::JSON AS j FROM read_text('{tokenizer_path()}')),
+vocab AS (SELECT e.key AS token, e.value AS id FROM (SELECT unnest(map_entries((j->'$.model.vocab')::MAP(VARCHAR, BIGINT))) AS e FROM f)),
+listed AS (SELECT (j->'$.model.merges')::VARCHAR[][] AS m FROM f),
+merges AS (SELECT pair[1] AS l, pair[2] AS r, rank FROM (SELECT unnest(m) AS pair, unnest(range(0, len(m))) AS rank FROM listed)),
+alphabet AS (SELECT [{alphabet}] AS a),
+t AS (SELECT piece, [a[('0x' || h)::INT + 1] for h in regexp_extract_all(hex(encode(piece)), '..')] AS tokens, 0 AS step FROM (SELECT DISTINCT piece FROM pc), alphabet
+UNION ALL SELECT piece, tokens[:i - 1] || [tokens[i] || tokens[i + 1]] || tokens[i + 2:], step + 1
+FROM (SELECT piece, any_value(tokens) AS tokens, any_value(step) AS step, arg_min(i, rank * 100000 + i) AS i FROM (SELECT *, unnest(range(1, len(tokens))) AS i FROM t) JOIN merges ON l = tokens[i] AND r = tokens[i + 1] GROUP BY piece)),
+done AS (SELECT piece, arg_max(tokens, step) AS tokens FROM t GROUP BY 1),
+ids AS (SELECT piece, token, k, id FROM (SELECT piece, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS k FROM done) JOIN vocab USING (token)),
+toks AS (SELECT doc_id, part, place, k, token, id FROM pc JOIN ids USING (piece))"""
+
+
+@query(f"""WITH {tokens_sql('documents')}
+SELECT d.doc_id, count(id) AS n_tokens, md5(coalesce(string_agg(id, ',' ORDER BY part, place, k), '')) AS ids FROM documents d LEFT JOIN toks ON d.doc_id = toks.doc_id GROUP BY 1""")
+def token_ids(spark, sf_dir):
+    """The ids of each document, against merging by rank in SQL."""
+    rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(spark))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("ids"))
+
+
+@query(f"""WITH {tokens_sql("(SELECT conv_id * 100 + turn AS doc_id, text FROM conversations)")},
+e AS (SELECT doc_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY doc_id) AS whole, sum(length(token)) OVER w AS bytes FROM toks WINDOW w AS (PARTITION BY doc_id ORDER BY part, place, k)),
+u AS (SELECT conv_id * 100 + turn AS doc_id, turn, text, hex(encode(text)) AS h FROM conversations),
+b AS (SELECT u.doc_id, max(bytes) AS bytes FROM u JOIN e ON e.doc_id = u.doc_id WHERE n <= whole - 5 AND substring(h, 2 * CAST(bytes AS INT) + 1, 1) NOT IN ('8', '9', 'A', 'B') GROUP BY 1)
+SELECT u.doc_id AS utterance_id, md5(CASE WHEN turn % 4 = 3 THEN text WHEN turn < 2 THEN '' ELSE decode(unhex(substring(h, 1, 2 * CAST(coalesce(bytes, 0) AS INT)))) END) AS stable FROM u LEFT JOIN b ON b.doc_id = u.doc_id""")
+def stable_prefixes(spark, sf_dir):
+    """What of each turn's text is stable: nothing in the first two, all of every fourth, else all but its last five tokens."""
+    t = tokenizer(spark)
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("utterance_id"), F.col("turn").alias("chunk_id"), F.col("text").alias("raw_text"), (F.col("turn") % 4 == 3).alias("is_final"))
+    return partials.stable_prefix(encode(rows, t, "raw_text"), t).select("utterance_id", F.md5("stable").alias("stable"))
+
+
 @query()
 def replayed_streams(spark, sf_dir):
     """Chunk streams of 64 embeddings each through detection and recognition, with stand-ins for the models; the model counts its calls."""

@@ -48,20 +48,63 @@ def _feature_rows(spark, sf_dir, front_end):
     return rows.select("audio_id", "frame_idx", F.size("feat").alias("width"), fixed(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), 1).alias("total"))
 
 
-@query()
+RECORDINGS_SQL = "rec AS (SELECT vec_id // 32 AS audio_id, flatten(list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id)) AS x, CAST(count(*) * 64 AS BIGINT) AS n FROM embeddings GROUP BY 1)"
+
+
+def spectrum_sql(frames: str, sample: str, window: str, size: int, n_fft: int, bins: int, hop: int) -> str:
+    """Up to ``pw``: (audio_id, f, k, p), the power of each bin of each frame, by the plain sum over a frame's samples."""
+    return f"""{RECORDINGS_SQL},
+fr AS (SELECT audio_id, x, n, unnest(range(0, {frames})) AS f FROM rec),
+smp AS (SELECT audio_id, x, n, f, unnest(range(0, {size})) AS t, f * {hop} AS start FROM fr),
+raw AS (SELECT audio_id, f, t, {sample} AS v FROM smp),
+win AS (SELECT audio_id, f, t, ({window}) AS v FROM raw),
+ks AS (SELECT unnest(range(0, {bins})) AS k),
+tw AS (SELECT j, cos(2 * pi() * j / {n_fft}) AS c, sin(2 * pi() * j / {n_fft}) AS s FROM (SELECT unnest(range(0, {n_fft})) AS j)),
+pw AS (SELECT audio_id, f, k, pow(sum(v * c), 2) + pow(sum(v * s), 2) AS p FROM win, ks JOIN tw ON j = k * t % {n_fft} GROUP BY ALL)"""
+
+
+def reflected_sql(pad: int) -> str:
+    i = f"(start + t - {pad})"
+    return f"x[1 + CASE WHEN {i} < 0 THEN least(-{i}, n - 1) WHEN {i} >= n THEN greatest(2 * n - 2 - {i}, 0) ELSE {i} END]"
+
+
+def slaney_sql(rate: int, n_fft: int) -> str:
+    return f"""pt0 AS (SELECT j, j * (15 + ln({rate / 2 / 1000}) * 27 / ln(6.4)) / 129 AS z FROM (SELECT unnest(range(0, 130)) AS j)),
+pt1 AS (SELECT j, CASE WHEN z < 15 THEN z * 200 / 3 ELSE 1000 * exp((z - 15) * ln(6.4) / 27) END AS f FROM pt0),
+pt AS (SELECT j, f AS a, lead(f) OVER (ORDER BY j) AS b, lead(f, 2) OVER (ORDER BY j) AS c FROM pt1),
+fl AS (SELECT j, k, greatest(0, least((k * {rate / n_fft} - a) / (b - a), (c - k * {rate / n_fft}) / (c - b))) * 2 / (c - a) AS w FROM pt, ks WHERE c IS NOT NULL)"""
+
+
+HANN = "v * (0.5 - 0.5 * cos(2 * pi() * t / {}))".format
+PRE = "(v - mean) - 0.97 * (coalesce(lag(v) OVER (PARTITION BY audio_id, f ORDER BY t), v) - mean)"
+KALDI = "1127 * ln(1 + {} / 700.0)".format
+
+
+@query(f"""WITH {spectrum_sql("1 + (n - 400) // 160", "x[1 + start + t] * 32768", f"({PRE}) * (0.54 - 0.46 * cos(2 * pi() * t / 399))", 400, 512, 256, 160).replace("AS v FROM raw)", "AS v FROM (SELECT *, avg(v) OVER (PARTITION BY audio_id, f) AS mean FROM raw))")},
+pt AS (SELECT unnest(range(0, 80)) AS j, {KALDI(20)} AS low, ({KALDI(8000)} - {KALDI(20)}) / 81 AS wide),
+fl AS (SELECT j, k, greatest(0, least(({KALDI("(k * 31.25)")} - low) / wide - j, j + 2 - ({KALDI("(k * 31.25)")} - low) / wide)) AS w FROM pt, ks),
+e AS (SELECT audio_id, f, j, ln(greatest(sum(p * w), 1.1920928955078125e-07)) AS e FROM pw JOIN fl USING (k) GROUP BY 1, 2, 3),
+fs AS (SELECT audio_id, f, sum(e) AS total FROM e GROUP BY 1, 2), fm AS (SELECT *, max(f) OVER (PARTITION BY audio_id) AS last FROM fs)
+SELECT a.audio_id, a.f AS frame_idx, 400 AS width, {fixed_sql("sum(b.total)", 1)} AS total FROM fm a, (SELECT unnest(range(-2, 3)) AS d) JOIN fm b ON b.audio_id = a.audio_id AND b.f = greatest(0, least(a.last, a.f + d)) GROUP BY 1, 2""")
 def detector_features(spark, sf_dir):
     return _feature_rows(spark, sf_dir, "stacked_fbank")
 
 
-@query()
+@query(f"""WITH {spectrum_sql("n // 160", reflected_sql(200), HANN(400), 400, 400, 201, 160)}, {slaney_sql(16_000, 400)},
+e AS (SELECT audio_id, f, j, log10(greatest(sum(p * w), 1e-10)) AS e FROM pw JOIN fl USING (k) GROUP BY 1, 2, 3),
+m AS (SELECT *, max(e) OVER (PARTITION BY audio_id) AS top FROM e)
+SELECT audio_id, f AS frame_idx, 128 AS width, {fixed_sql("sum((greatest(e, top - 8) + 4) / 4)", 1)} AS total FROM m GROUP BY 1, 2""")
 def log_mel_features(spark, sf_dir):
     return _feature_rows(spark, sf_dir, "log_mel")
 
 
-@query()
+@query(f"""WITH {spectrum_sql("n // 256", reflected_sql(384), HANN(1024), 1024, 1024, 513, 256)}, {slaney_sql(24_000, 1024)},
+e AS (SELECT audio_id, f, j, ln(greatest(sum(sqrt(p + 1e-9) * w), 1e-5)) AS e FROM pw JOIN fl USING (k) GROUP BY 1, 2, 3)
+SELECT audio_id, f AS frame_idx, 128 AS width, {fixed_sql("sum(e)", 1)} AS total FROM e GROUP BY 1, 2""")
 def mel_spectrograms(spark, sf_dir):
     return _feature_rows(spark, sf_dir, "mel_spectrogram")
 
+
 # --- the frame machine and scorers --------------------------------------------------------------------------------------
 
 SMALL = MachineOptions(vote_frames=4, to_speech=3, to_silence=2, look_back=2, end_silence=6, longest=40, tail_frames=2, end_back=4)

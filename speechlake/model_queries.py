@@ -110,10 +110,10 @@ def mel_spectrograms(spark, sf_dir):
 SMALL = MachineOptions(vote_frames=4, to_speech=3, to_silence=2, look_back=2, end_silence=6, longest=40, tail_frames=2, end_back=4)
 
 
-def machine_sql(speech: str, o: MachineOptions) -> str:
-    """The frame machine as a recursive query over ``ev``: all users advance by one frame in each step."""
+def machine_sql(speech: str, o: MachineOptions, frames: str = EV) -> str:
+    """The frame machine as a recursive query over ``ev`` (user_id, i, ...): all users advance by one frame in each step."""
     delay = o.vote_frames + o.look_back
-    return f"""RECURSIVE {EV},
+    return f"""RECURSIVE {frames},
 fr AS (SELECT user_id, i, {speech} AS sp, i = max(i) OVER (PARTITION BY user_id) AS last FROM ev),
 m AS (SELECT user_id, -1::BIGINT AS i, []::INT[] AS votes, false AS voted, false AS speaking, 0::BIGINT AS floor, 0::BIGINT AS silent, -1::BIGINT AS start, NULL::BIGINT AS a, NULL::BIGINT AS b FROM (SELECT DISTINCT user_id FROM ev)
 UNION ALL
@@ -388,13 +388,23 @@ def stable_prefixes(spark, sf_dir):
     return partials.stable_prefix(encode(rows, t, "raw_text"), t).select("utterance_id", F.md5("stable").alias("stable"))
 
 
-@query()
+#: Levels of the frames of each stream, the ten milliseconds of silence at its end included; a frame is five blocks of 80 samples.
+STREAM_FRAMES = """vs AS (SELECT CAST(vec_id // 64 AS VARCHAR) AS user_id, vec_id, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS place, [pow(greatest(-1, least(1, x * CASE WHEN vec_id % 37 < 15 THEN 0.05 ELSE 1 END)), 2) for x in embedding] AS sq FROM embeddings),
+bl AS (SELECT user_id, place * 20 + b AS b, list_sum([sq[1 + (b * 80 + t) % 64] for t in range(0, 80)]) AS e FROM (SELECT *, unnest(range(0, 20)) AS b FROM vs)),
+nb AS (SELECT user_id, count(*) + 2 AS n FROM bl GROUP BY 1),
+fs AS (SELECT user_id, unnest(range(0, 1 + (n - 5) // 2)) AS i FROM nb),
+ev AS (SELECT fs.user_id, i, 10 * log10(coalesce(sum(e), 0) + 1e-6) AS level FROM fs LEFT JOIN bl ON bl.user_id = fs.user_id AND b BETWEEN 2 * i AND 2 * i + 4 GROUP BY 1, 2)"""
+
+
+@query("WITH " + machine_sql("level > 0", MachineOptions(), STREAM_FRAMES).replace("user_id AS audio_id, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS seq", "user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS utterance_id"))
 def replayed_streams(spark, sf_dir):
-    """Chunk streams of 64 embeddings each through detection and recognition, with stand-ins for the models; the model counts its calls."""
+    """Utterances of chunk streams, 64 embeddings each of 100 ms, through detection and recognition with stand-ins for the models."""
 
     def load():
-        return {"scorer": lambda feats, levels, state: (np.where(levels > np.median(levels), 0.0, 1.0), None), "model": lambda window, prefix, calls: ("w" * (len(window) // 800 + (calls or 0)), (calls or 0) + 1)}
+        return {"scorer": lambda feats, levels, state: (np.where(levels > 0, 0.0, 1.0), None), "model": lambda window, prefix, calls: ("w" * (len(window) // 800 + (calls or 0)), (calls or 0) + 1)}
 
-    rows = embeddings(spark, sf_dir).withColumn("stream_id", F.floor(F.col("vec_id") / 64).cast("string"))
-    chunks = rows.select("stream_id", F.col("vec_id").alias("chunk_id"), ((F.col("vec_id") % 64) * 4).alias("start_ms"), F.lit(None).cast("bigint").alias("end_ms"), F.col("samples").cast("array<float>").alias("pcm"), (F.col("vec_id") % 64 == 63).alias("is_final"), F.lit(None).cast("timestamp").alias("pushed_at"))
-    return replay(chunks, load)
+    pcm = F.flatten(F.array_repeat(F.transform("samples", lambda x: x * F.when(F.col("vec_id") % 37 < 15, 0.05).otherwise(1.0)), 25)).cast("array<float>")
+    place = F.col("vec_id") % 64
+    rows = embeddings(spark, sf_dir).withColumn("last", F.max("vec_id").over(Window.partitionBy(F.floor(F.col("vec_id") / 64))))
+    chunks = rows.select(F.floor(F.col("vec_id") / 64).cast("string").alias("stream_id"), F.col("vec_id").alias("chunk_id"), (place * 100).alias("start_ms"), pcm.alias("pcm"), (F.col("vec_id") == F.col("last")).alias("is_final"))
+    return replay(chunks, load).where("event_type = 'speech_end'").select("stream_id", "utterance_id", "start_ms", "end_ms")

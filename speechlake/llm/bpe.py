@@ -1,8 +1,8 @@
 """Exact BPE encoding by backtracking, and decoding by an offset table.
 
-An Aho-Corasick automaton over all tokens finds the tokens that start at each symbol of a piece.  The encoder walks from the
-longest on and keeps two tokens side by side only if a pair-compatibility check says that merging would keep them apart;
-where nothing fits it steps back, and a place where it failed once is never tried again, since the tokens before a place are
+An Aho-Corasick automaton over all tokens finds the longest token from each place on; a table leads to the shorter ones that
+begin like it.  The encoder keeps two tokens side by side only if a pair-compatibility check says that merging would keep them
+apart; where nothing fits it steps back, and a place where it failed once is never tried again, since the tokens before a place are
 always the same.  That gives what merging by rank gives, in time linear in the piece.  Decoding gathers each id's bytes from
 one buffer with an offset per id.
 
@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -62,17 +64,28 @@ def _ranges(ranges) -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b, *_ in ranges)
 
 
-_ASCII_PIECES = regex.compile(PIECE.format(letters="a-z", numbers="0-9", space=r"\t-\r ")).findall
 _LETTERS, _NUMBERS = rf"[\p{{L}}--[{_ranges(LATE_LETTERS)}]]", rf"[\p{{N}}--[{_ranges(LATE_NUMBERS)}]]"
 _ALL_PIECES = regex.compile(PIECE.format(letters=_LETTERS, numbers=_NUMBERS, space=SPACE), regex.V1).findall
+_NARROW = {name: "".join(re.escape(chr(c)) for c in range(256) if regex.fullmatch(f"[{own}]", chr(c), regex.V1)) for name, own in (("letters", _LETTERS), ("numbers", _NUMBERS), ("space", SPACE))}
+_ASCII_PIECES = re.compile(PIECE.format(letters="a-z", numbers="0-9", space=r"\t-\r ")).findall
+_NARROW_PIECES = re.compile(PIECE.format(**_NARROW)).findall
 _MARKS = regex.compile(f"([{_ranges(LATE_MARKS)}])")
 _CAPITALS = {c: chr(to + c - a) for a, b, to in LATE_CAPITALS for c in range(a, b + 1)}
 _ANY_CAPITAL = regex.compile(f"[{_ranges(LATE_CAPITALS)}]")
 
 
+def narrow(text: str) -> bool:
+    """Whether all characters are below U+0100; such a text is in composed normal form, and ``re`` knows its classes."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def normalised(text: str) -> str:
     """The composed normal form in small letters, as the library makes them."""
-    if text.isascii():
+    if text.isascii() or narrow(text):
         return text.lower()
     parts = _MARKS.split(text) if _MARKS.search(text) else [text]
     text = "".join([unicodedata.normalize("NFC", p) for p in parts])
@@ -128,8 +141,13 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.automaton = ahocorasick.Automaton()
+        known = dict(vocabulary.symbols)
+        #: A token's length in symbols, and the longest token that is a proper beginning of it (-1: none).
+        self.sizes, self.shorter = [0] * len(vocabulary.rank), [-1] * len(vocabulary.rank)
         for symbols, i in vocabulary.symbols:
-            self.automaton.add_word(symbols, (i, len(symbols)))
+            self.automaton.add_word(symbols, i)
+            self.sizes[i] = len(symbols)
+            self.shorter[i] = next((known[symbols[:k]] for k in range(len(symbols) - 1, 0, -1) if symbols[:k] in known), -1)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.marks = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
@@ -139,7 +157,8 @@ class Encoder:
             def __missing__(self, piece: str) -> bytes:
                 if len(self) >= PIECES:
                     self.clear()
-                ids = np.array(encode_piece(piece), "<u4").tobytes()
+                ids = encode_piece(piece)
+                ids = struct.pack(f"<{len(ids)}I", *ids)
                 if len(piece) < 256:
                     self[piece] = ids
                 return ids
@@ -164,40 +183,52 @@ class Encoder:
             else:
                 return True
 
+    def fits(self, pair: tuple[int, int]) -> bool:
+        """``compatible``, remembered."""
+        known = self.pairs.get(pair)
+        if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            known = self.pairs[pair] = self.compatible(*pair)
+        return known
+
     def encode_piece(self, piece: str) -> list[int]:
+        """The tokens of a piece: longest matches one after the other, as long as each pair is compatible.
+
+        Where one isn't, the next shorter token that begins like it is tried; where there is none the encoder steps back, and never
+        comes to that place again.
+        """
         symbols = piece.encode("utf-8", "replace").decode("latin-1")
         symbols = symbols[:-1] + chr(256 + ord(symbols[-1]))
-        n = len(symbols)
-        ahead: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for last, (i, length) in self.automaton.iter(symbols):
-            ahead[last - length + 1].append((i, last + 1))
-        failed, out, at, before, pairs = bytearray(n + 1), [], 0, -1, self.pairs
-        while at < n:
-            while ahead[at]:
-                token, end = ahead[at].pop()  # the longest that is left
-                if failed[end]:
-                    continue
-                if before >= 0:
-                    pair = (before, token)
-                    fits = pairs.get(pair)
-                    if fits is None:
-                        if len(pairs) >= PAIRS:
-                            pairs.clear()
-                        fits = pairs[pair] = self.compatible(before, token)
-                    if not fits:
-                        continue
-                out.append((token, at))
-                at, before = end, token
-                break
+        n, sizes, shorter, pairs, failed = len(symbols), self.sizes, self.shorter, self.pairs, None
+        out, at = [], 0
+        while True:
+            for last, token in self.automaton.iter_long(symbols, at):
+                if failed is not None and failed[last + 1] or out and not (pairs.get((out[-1], token)) or self.fits((out[-1], token))):
+                    break
+                out.append(token)
+                at = last + 1
             else:
+                if at != n:
+                    raise ValueError(f"no token for what begins at byte {at} of {piece!r}")
+                return out
+            failed = bytearray(n + 1) if failed is None else failed
+            while True:
+                token = shorter[token]
+                while token >= 0 and (failed[at + sizes[token]] or out and not self.fits((out[-1], token))):
+                    token = shorter[token]
+                if token >= 0:
+                    out.append(token)
+                    at += sizes[token]
+                    break
                 failed[at] = 1
-                _, at = out.pop()
-                before = out[-1][0] if out else -1
-        return [token for token, _ in out]
+                token = out.pop()
+                at -= sizes[token]
 
     def _plain(self, text: str) -> bytes:
         text = normalised(text)
-        return b"".join(map(self.known.__getitem__, (_ASCII_PIECES if text.isascii() else _ALL_PIECES)(text)))
+        pieces = _ASCII_PIECES if text.isascii() else _NARROW_PIECES if narrow(text) else _ALL_PIECES
+        return b"".join(map(self.known.__getitem__, pieces(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.  A special token's string in the text is that token."""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import WordHashes, mixed, settle, slices, utf8
+from speechlake.llm.common import WordHashes, discard, mixed, settle, slices, utf8
 from speechlake.llm.components import connected_components
 
 #: Ratio of the sizes in a band of tiles: a little over 1 / 0.9, so that linked sets are at most one band apart.
@@ -326,26 +326,29 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, tile_
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = settle(docs.mapInArrow(_set_rows(words, percent), SETS).withColumn("row", F.monotonically_increasing_id()), "sets")
-    some = sets.where("n_shingles > 0 and doc_id is not null")
-    by_set = ["n_shingles", "set_low", "set_high"]
+    by_set, real = ["n_shingles", "set_low", "set_high"], "n_shingles > 0 and doc_id is not null"
+    some, slim = sets.where(real), settle(sets.select("doc_id", *by_set), "slim")
     classes = settle(some.groupBy(*by_set).agg(F.min("doc_id").alias("class_id"), F.min_by("row", "doc_id").alias("row")), "classes")
     firsts = settle(classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.max("n_shingles").alias("size"), F.count("*").alias("sets")), "firsts")
     chosen = some.where(F.size("keys") > 0).join(classes.select("row").hint("shuffle_hash"), "row", "left_semi")
     chosen = settle(chosen.select("doc_id", F.col("n_shingles").alias("size"), "bitmap", "keys", "more"), "chosen")
+    discard(sets)  # keys are most of what is stored, so they go once they have been used
 
     keyed = chosen.select("doc_id", "more", F.explode("keys").alias("key"))
     keyed = keyed.select("key", "doc_id", F.element_at("more", (F.col("key").bitwiseAND(3) + 1).cast("int")).alias("more"))
     members = settle(rarest(keyed, firsts.where("sets > 1").select("doc_id")), "members")
-    met = settle(comparison_lists(members), "lists").join(chosen.select("doc_id", "size", "bitmap").hint("shuffle_hash"), "doc_id")
+    bitmaps = settle(chosen.select("doc_id", "size", "bitmap"), "bitmaps")
+    discard(chosen)
+    met = settle(comparison_lists(members), "lists").join(bitmaps.hint("shuffle_hash"), "doc_id")
     met = met.select("list", "doc_id", "size", "bitmap").repartition("list").sortWithinPartitions("list", "doc_id")
     near = met.mapInArrow(_forest_rows(percent), "doc_id long, head long")
     blocks = connected_components(near, "doc_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
     plan = tile_plan(settle(blocks.join(firsts.select("doc_id", "size"), "doc_id"), "blocks"), percent, tile_shingles)
     payload = docs.where("doc_id is not null").join(plan.hint("shuffle_hash"), "doc_id").mapInArrow(_payload_rows(words), PAYLOAD)
     links = settle(payload.groupBy("bucket", "one", "other").applyInArrow(_compare(percent), "a long, b long"), "links")
-    copies = some.join(classes.drop("row"), by_set).select("doc_id", "class_id")
+    copies = slim.where(real).join(classes.drop("row"), by_set).select("doc_id", "class_id")
     joined = connected_components(links.union(copies.where("doc_id <> class_id")), "a", "b")
-    out = sets.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = slim.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

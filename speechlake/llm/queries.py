@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechlake.llm import jaccard_join, matroska, secret_scan, substring_dedup, warc
+from speechlake.llm import jaccard_join, matroska, resampling, secret_scan, substring_dedup, warc
 from speechlake.llm.bpe import round_trip
 from speechlake.llm.common import table
 from speechlake.llm.fuzzy_hash import fingerprint_pairs
@@ -72,6 +72,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_matroska": op2_matroska,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fuzzy_hash": op8_fuzzy_hash,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
+    "op11_resampling": op11_resampling,
     "ledger_history": ledger_history,
 }
 
@@ -91,5 +96,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": secret_scan.oracle_sql(),
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op11_resampling": resampling.ORACLE_SQL,
     "ledger_history": secret_scan.history_sql(),
 }

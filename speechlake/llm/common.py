@@ -141,17 +141,20 @@ def slices(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
 
 
 class WordHashes:
-    """The words of some texts: ``hashes`` of all words in order, ``first`` the index of each text's first word."""
+    """The words of some texts: ``hashes`` of all words in order, ``first`` the index of each text's first word.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, spans: bool = False):
+    ``separators`` flags the bytes that stand between words.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, spans: bool = False, separators: np.ndarray = _IS_SEPARATOR):
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         found, starts_all, ends_all, at = [], [], [], 0
         while at < n:
-            to = self._cut(data, edge, at, n)
+            to = self._cut(data, edge, at, n, separators)
             part = data[at:to]
-            apart = _IS_SEPARATOR[part]
+            apart = separators[part]
             inside = ~apart
             before = np.empty(len(part), bool)
             before[0] = True
@@ -174,11 +177,11 @@ class WordHashes:
             self.starts, self.ends = starts, np.concatenate(ends_all) if ends_all else np.zeros(0, np.int64)
 
     @staticmethod
-    def _cut(data: np.ndarray, edge: np.ndarray, at: int, n: int) -> int:
+    def _cut(data: np.ndarray, edge: np.ndarray, at: int, n: int, separators: np.ndarray) -> int:
         """The end of the piece that begins at ``at``: a place between words, after PIECE_BYTES or soon after."""
         to = at + PIECE_BYTES
         while to < n:
-            ahead = np.flatnonzero(edge[to : min(to + 4096, n)] | _IS_SEPARATOR[data[to : to + 4096]])
+            ahead = np.flatnonzero(edge[to : min(to + 4096, n)] | separators[data[to : to + 4096]])
             if len(ahead):
                 return to + int(ahead[0])
             to += 4096

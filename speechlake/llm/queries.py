@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechlake.llm import jaccard_join, matroska, resampling, secret_scan, substring_dedup, warc
+from speechlake.llm import decontamination, jaccard_join, matroska, resampling, secret_scan, substring_dedup, warc
 from speechlake.llm.bpe import round_trip
 from speechlake.llm.common import table
 from speechlake.llm.fuzzy_hash import fingerprint_pairs
@@ -76,6 +76,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_matroska": op2_matroska,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
     "op11_resampling": op11_resampling,
+    "op12_decontamination": op12_decontamination,
     "ledger_history": ledger_history,
 }
 
@@ -97,5 +102,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op11_resampling": resampling.ORACLE_SQL,
+    "op12_decontamination": decontamination.ORACLE_SQL,
     "ledger_history": secret_scan.history_sql(),
 }

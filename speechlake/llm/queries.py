@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechlake.llm import decontamination, jaccard_join, matroska, resampling, secret_scan, substring_dedup, warc
+from speechlake.llm import conversation_repair, decontamination, jaccard_join, matroska, resampling, secret_scan, substring_dedup, warc
 from speechlake.llm.bpe import round_trip
 from speechlake.llm.common import table
 from speechlake.llm.fuzzy_hash import fingerprint_pairs
@@ -80,6 +80,10 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_matroska": op2_matroska,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_resampling": op11_resampling,
     "op12_decontamination": op12_decontamination,
+    "op13_conversation_repair": op13_conversation_repair,
     "ledger_history": ledger_history,
 }
 
@@ -103,5 +108,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc": warc.ORACLE_SQL,
     "op11_resampling": resampling.ORACLE_SQL,
     "op12_decontamination": decontamination.ORACLE_SQL,
+    "op13_conversation_repair": conversation_repair.oracle_sql(),
     "ledger_history": secret_scan.history_sql(),
 }

@@ -19,6 +19,7 @@ from speechlake.operators.features import stack_frames
 from speechlake.operators.vad_machine import frame_state
 from speechlake.options import EnergyVadOptions, SegmentOptions
 from speechlake.streaming.jobs import late_rows, windowed
+from speechlake.streaming.ordered import stored_arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -657,3 +658,14 @@ def token_lookups(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), F.array("p_name").alias("tokens"))
     known, unknown = tokens_to_ids(items, vocab)
     return known.select("item_id", F.lit(True).alias("known")).union(unknown.select("item_id", F.lit(False))).groupBy("item_id").agg(F.max("known").alias("known"))
+
+
+@query(f"""WITH {EV}, a AS (SELECT user_id AS stream_id, i AS chunk_id, start_ms, (start_ms + (i * 7919 + user_id * 104729) % 172800000) // 43200000 AS batch FROM ev),
+n AS (SELECT batch, max(max(start_ms)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000 AS watermark FROM a GROUP BY batch),
+l AS (SELECT a.*, start_ms < greatest(0, coalesce(watermark, 0)) AS late FROM a JOIN n USING (batch))
+SELECT stream_id, chunk_id, batch, late, CASE WHEN NOT late THEN row_number() OVER (PARTITION BY stream_id, late ORDER BY start_ms, chunk_id) - 1 END AS place FROM l""")
+def reordered_chunks(spark, sf_dir):
+    """Each event as a chunk that arrives up to two days late, in batches of twelve hours, behind a reorder buffer of a day."""
+    rows = event_rows(spark, sf_dir).select(F.col("user_id").alias("stream_id"), F.col("i").alias("chunk_id"), "start_ms")
+    arrival = F.col("start_ms") + (F.col("chunk_id") * 7919 + F.col("stream_id") * 104_729) % 172_800_000
+    return stored_arrivals(rows.withColumn("batch", F.floor(arrival / 43_200_000)), 86_400_000).drop("start_ms")

@@ -33,7 +33,7 @@ def _push(session: Session, stream_id: str | None, c) -> list[dict]:
     return [x | {"stream_id": stream_id} for x in session.push(int(c.chunk_id), int(c.start_ms), pcm, bool(c.is_final))]
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
+def event_frame(rows: list[dict]) -> pd.DataFrame:
     df = pd.DataFrame(rows, columns=_columns())
     return df.astype({c: "Int64" for c in ("result_id", "utterance_id", "trigger_chunk_id", "start_ms", "end_ms")})
 
@@ -55,7 +55,7 @@ def replay(chunks: DataFrame, load: Loader, options: StreamOptions = StreamOptio
                 if session is None or stream_id != now:
                     session, now = Session(options=options, **load()), stream_id
                 out += _push(session, stream_id, c)
-            yield _frame(out)
+            yield event_frame(out)
 
     rows = chunks.select("stream_id", "chunk_id", "start_ms", "pcm", "is_final")
     return rows.repartition("stream_id").sortWithinPartitions("stream_id", "start_ms", "chunk_id").mapInPandas(run, EVENTS)
@@ -82,10 +82,10 @@ def stream_events(chunks: DataFrame, load: Loader, options: StreamOptions = Stre
         session = Session.load(state.get, **given) if state.exists else Session(**given)
         if state.hasTimedOut:
             state.remove()
-            yield _frame([x | {"stream_id": key[0]} for x in session.timed_out()])
+            yield event_frame([x | {"stream_id": key[0]} for x in session.timed_out()])
             return
         pdf = pd.concat(frames).sort_values(["start_ms", "chunk_id"], kind="stable")
-        yield _frame([x for c in pdf.itertuples() for x in _push(session, key[0], c)])
+        yield event_frame([x for c in pdf.itertuples() for x in _push(session, key[0], c)])
         state.update(session.save())
         wait = ended_ms if session.finished else timeout_ms
         if wait:

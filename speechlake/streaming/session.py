@@ -107,15 +107,25 @@ class Session:
 
     # state in columns
 
-    def save(self) -> tuple:
-        """The values of SAVED."""
+    @property
+    def step(self) -> int:
+        """Samples that are decoded at once."""
+        return round(self.options.step_seconds * self.options.sample_rate)
+
+    @property
+    def longest(self) -> int:
+        """Samples of the recognition window at most."""
+        return round(self.options.window_seconds * self.options.sample_rate)
+
+    def save(self, with_window: bool = True) -> tuple:
+        """The values of SAVED; without the window for a caller that keeps its steps apart."""
         marks = {k: getattr(self, k) for k in ("speaking", "utterances", "results", "finished", "failed", "end_ms")}
         if self.finished:
             return (json.dumps(marks), *[None] * 8)
         u, c = self.utterance, self.carry
         own = u and {k: v for k, v in vars(u).items() if k not in ("buffer", "window", "memory")}
         raw = lambda x: x.astype("<f4").tobytes()
-        arrays = [raw(x) for x in (c.samples, c.frames, c.levels, self.pre_roll, *((u.buffer, u.window) if u else (_none(), _none())))]
+        arrays = [raw(x) for x in (c.samples, c.frames, c.levels, self.pre_roll, *((u.buffer, u.window if with_window else _none()) if u else (_none(), _none())))]
         kept = [None if x is None else pickle.dumps(x, 5) for x in (self.memory, u.memory if u else None)]
         return (json.dumps(marks | {"started": c.started, "machine": asdict(self.machine), "utterance": own}), *arrays, *kept)
 
@@ -229,11 +239,10 @@ class Session:
         if self.utterance is None:  # audio without a start opens an utterance at the chunk
             self.utterance = Utterance(start_ms=start_ms)
             self.utterances += 1
-        u, o, out = self.utterance, self.options, []
+        u, out = self.utterance, []
         u.buffer = np.concatenate((u.buffer, pcm))
-        step = round(o.step_seconds * o.sample_rate)
-        while len(u.buffer) >= step:
-            part, u.buffer = u.buffer[:step], u.buffer[step:]
+        while len(u.buffer) >= self.step:
+            part, u.buffer = u.buffer[: self.step], u.buffer[self.step :]
             out += self._decode(part, chunk_id)
         return out
 
@@ -245,10 +254,9 @@ class Session:
     def _decode(self, part: np.ndarray, chunk_id: int) -> list[dict]:
         u, o = self.utterance, self.options
         u.total += len(part)
-        longest = round(o.window_seconds * o.sample_rate)
         u.window = np.concatenate((u.window, part))
-        u.trimmed += max(0, len(u.window) - longest)
-        u.window = u.window[-longest:]
+        u.trimmed += max(0, len(u.window) - self.longest)
+        u.window = u.window[-self.longest :]
         prefix = "" if u.chunk < o.unfixed_chunks else self._cut_back(u.raw, o.unfixed_tokens)
         self._worker = "asr"
         text, u.memory = self.model(u.window, prefix, u.memory)

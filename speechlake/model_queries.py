@@ -16,6 +16,7 @@ from speechlake.operators.features import features
 from speechlake.operators.inference import split_long_audio, transcribe_segments
 from speechlake.operators.tokens import byte_characters, collected, decode, encode, piece_counts
 from speechlake.operators.vad_machine import frame_state, score_frames, vad_segments
+from speechlake.operators.vad_slices import sliced_segments
 from speechlake.options import MachineOptions
 from speechlake.queries import EV, HOURS, ORACLE_SQL, PADDED, QUERIES, embeddings, event_rows, fixed, fixed_sql, frame_rows, merged_rows, query, segment_rows, table
 from speechlake.sources.audio_files import resample
@@ -135,6 +136,12 @@ def machine_segments(spark, sf_dir):
     return vad_segments(frame_rows(spark, sf_dir), F.col("db") < 100, SMALL)
 
 
+@query("WITH " + machine_sql("value < 100", SMALL))
+def machine_segments_by_slices(spark, sf_dir):
+    """The same with slices of 30 frames, each on its own."""
+    return sliced_segments(frame_rows(spark, sf_dir), F.col("db") < 100, SMALL, slice_frames=30)
+
+
 def running_mean():
     """A scorer with a memory: the mean of all that it has seen of a recording."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from speechlake.functions import arrays
 from speechlake.operators import partials, transcripts
+from speechlake.operators.feature_slices import sliced_features
 from speechlake.operators.features import features
 from speechlake.operators.inference import split_long_audio, transcribe_segments
 from speechlake.operators.tokens import byte_characters, collected, decode, encode, piece_counts
@@ -106,6 +107,25 @@ def mel_spectrograms(spark, sf_dir):
     return _feature_rows(spark, sf_dir, "mel_spectrogram")
 
 
+def _sliced_feature_rows(spark, sf_dir, front_end):
+    """Features of the same recordings, which come in pieces of about 700 samples and are dealt to slices of 1,100."""
+    pieces = F.explode(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / 700)))
+    rows = recordings(spark, sf_dir, 32).select("audio_id", "samples", pieces.alias("piece"))
+    rows = rows.select("audio_id", (F.col("piece") * 700).alias("offset"), F.slice("samples", (F.col("piece") * 700 + 1).cast("int"), F.lit(700)).alias("samples"))
+    rows = sliced_features(rows, front_end, slice_samples=1100)
+    return rows.select("audio_id", "frame_idx", F.size("feat").alias("width"), fixed(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), 1).alias("total"))
+
+
+@query(ORACLE_SQL["log_mel_features"])
+def log_mel_features_by_slices(spark, sf_dir):
+    return _sliced_feature_rows(spark, sf_dir, "log_mel")
+
+
+@query(ORACLE_SQL["detector_features"])
+def detector_features_by_slices(spark, sf_dir):
+    return _sliced_feature_rows(spark, sf_dir, "stacked_fbank")
+
+
 # --- the frame machine and scorers --------------------------------------------------------------------------------------
 
 SMALL = MachineOptions(vote_frames=4, to_speech=3, to_silence=2, look_back=2, end_silence=6, longest=40, tail_frames=2, end_back=4)

@@ -62,38 +62,56 @@ def hamming(n: int) -> np.ndarray:
     return 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
 
 
+def log_mel_of_frames(frames: np.ndarray) -> np.ndarray:
+    """(frames, 128) log10 mel power of frames of 400 samples."""
+    power = np.abs(np.fft.rfft(frames.astype(np.float32) * hann(400).astype(np.float32), axis=1)) ** 2
+    return np.log10(np.maximum(power @ mel_filters("slaney").T, 1e-10)).astype(np.float32)
+
+
 def log_mel_raw(x: np.ndarray) -> np.ndarray:
     """(frames, 128) log10 mel power, before the recording's maximum is applied."""
     if not len(x):
         return np.zeros((0, 128), np.float32)
-    frames = frame_signal(reflect(x.astype(np.float32), 200), 400, 160)[:-1] * hann(400).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    return np.log10(np.maximum(power @ mel_filters("slaney").T, 1e-10)).astype(np.float32)
+    return log_mel_of_frames(frame_signal(reflect(x.astype(np.float32), 200), 400, 160)[:-1])
 
 
 def log_mel(x: np.ndarray) -> np.ndarray:
     raw = log_mel_raw(x)
-    return (np.maximum(raw, raw.max() - 8.0) + 4.0) / 4.0 if len(raw) else raw
+    return with_maximum(raw, raw.max()) if len(raw) else raw
+
+
+def with_maximum(raw: np.ndarray, top: float) -> np.ndarray:
+    """Log-mel values no more than 8 under the recording's maximum, scaled."""
+    return (np.maximum(raw, np.float32(top) - 8.0) + 4.0) / 4.0
+
+
+def mel_of_frames(frames: np.ndarray, rate: int = 24_000, n_fft: int = 1024, n_mels: int = 128, low: float = 0, high: float = 12_000) -> np.ndarray:
+    """(frames, n_mels) natural log of mel magnitudes of frames of ``n_fft`` samples."""
+    spectrum = np.sqrt(np.abs(np.fft.rfft(frames * hann(n_fft), axis=1)) ** 2 + 1e-9)
+    return np.log(np.maximum(spectrum @ mel_filters("slaney", rate, n_fft, n_mels, low, high).T, 1e-5)).astype(np.float32)
 
 
 def mel_spectrogram(x: np.ndarray, rate: int = 24_000, n_fft: int = 1024, hop: int = 256, n_mels: int = 128, low: float = 0, high: float = 12_000) -> np.ndarray:
     """(frames, n_mels) natural log of mel magnitudes."""
     if not len(x):
         return np.zeros((0, n_mels), np.float32)
-    frames = frame_signal(reflect(x.astype(np.float32), (n_fft - hop) // 2), n_fft, hop) * hann(n_fft)
-    spectrum = np.sqrt(np.abs(np.fft.rfft(frames, axis=1)) ** 2 + 1e-9)
-    return np.log(np.maximum(spectrum @ mel_filters("slaney", rate, n_fft, n_mels, low, high).T, 1e-5)).astype(np.float32)
+    return mel_of_frames(frame_signal(reflect(x.astype(np.float32), (n_fft - hop) // 2), n_fft, hop), rate, n_fft, n_mels, low, high)
 
 
-def fbank(x: np.ndarray) -> np.ndarray:
-    """(frames, 80) of the detector: mean removed, pre-emphasis, Hamming, 512-point power spectrum, natural log."""
-    frames = frame_signal(x.astype(np.float64) * 32768.0, 400, 160)
+def fbank_of_frames(frames: np.ndarray) -> np.ndarray:
+    """(frames, 80) of frames of 400 samples: mean removed, pre-emphasis, Hamming, 512-point power spectrum, natural log."""
+    frames = frames.astype(np.float64) * 32768.0
     frames = frames - frames.mean(1, keepdims=True)
     frames = frames - 0.97 * np.concatenate((frames[:, :1], frames[:, :-1]), 1)
     power = np.abs(np.fft.rfft(frames * hamming(400), 512, axis=1))[:, :256] ** 2
     return np.log(np.maximum(power @ mel_filters("kaldi", n_fft=512, n_mels=80, low=20.0).T, FLOAT_EPS)).astype(np.float32)
 
 
+def fbank(x: np.ndarray) -> np.ndarray:
+    """(frames, 80) of the detector."""
+    return fbank_of_frames(frame_signal(x, 400, 160))
+
+
 def stacked(feats: np.ndarray, width: int = 5) -> np.ndarray:
     """Each frame beside its neighbours, indices clamped at both ends."""
     if not len(feats):
@@ -108,7 +126,7 @@ FRONT_ENDS = {"log_mel": log_mel, "mel_spectrogram": mel_spectrogram, "fbank": f
 def features(audio: DataFrame, front_end: str, key: str = "audio_id", on_error: str = "raise") -> DataFrame:
     """(key, frame_idx, feat) of each recording (key, samples); a null or empty recording has no frames.
 
-    A recording is one row and is framed as a whole; cut long ones first (``split_long_audio`` or ``chunk_audio``).  With
+    A recording is one row and is framed as a whole; for one in pieces see ``sliced_features``.  With
     ``on_error="row"`` there is a column error too, and a recording whose features fail, or aren't numbers, is one row with
     ``features: message`` there.
     """

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from speechlake.model_queries import SMALL
 from speechlake.operators import vad_slices
+from speechlake.operators.feature_slices import FRONT_ENDS, audio_slices, sliced_features
+from speechlake.operators.features import features
 from speechlake.operators.vad_machine import segments_of, vad_segments
 from speechlake.operators.vad_slices import frame_slices, sliced_segments
 from speechlake.options import MachineOptions
@@ -56,3 +58,34 @@ def test_edges(spark):
     nulls = spark.createDataFrame([(1, i, None if i % 3 else True, 5) for i in range(200)], "audio_id long, frame_idx long, s boolean, slice long")
     assert sliced_segments(nulls, F.col("s"), SMALL, slice_frames=20).collect() == vad_segments(nulls, F.col("s"), SMALL).collect()
     assert vad_slices.SLICE_FRAMES > 40
+
+
+@pytest.mark.parametrize("size", [4096, 1101])
+@pytest.mark.parametrize("front_end", list(FRONT_ENDS))
+def test_features_of_cut_and_whole_recordings(spark, front_end, size):
+    r = np.random.default_rng(3)
+    lengths = [0, 1, 100, 399, 400, 401, 4096, 4097, 8192 + 39, 8192 + 161, 3 * 4096 + 300, 20_000, 5 * 4096]
+    whole = {k: (r.standard_normal(n) * np.linspace(0.01, 0.5, n)).astype(np.float32) for k, n in enumerate(lengths)} | {None: r.standard_normal(9000).astype(np.float32)}
+    pieces, slice_samples = [], size
+    for k, x in whole.items():
+        cuts = sorted({0, len(x), *r.integers(0, len(x) + 1, 6).tolist()})
+        pieces += [(k, a, x[a:b].tolist(), 1) for a, b in zip(cuts, cuts[1:], strict=False)] or [(k, 0, None, 1)]
+    r.shuffle(pieces)
+    df = spark.createDataFrame(pieces, "audio_id long, offset long, samples array<float>, slice int")
+    got = {(x.audio_id, x.frame_idx): x.feat for x in sliced_features(df, front_end, slice_samples=slice_samples).collect()}
+    audio = spark.createDataFrame([(k, x.tolist()) for k, x in whole.items()], "audio_id long, samples array<float>")
+    want = {(x.audio_id, x.frame_idx): x.feat for x in features(audio, front_end).collect()}
+    assert got.keys() == want.keys() and len(want) > 300
+    assert max(np.abs(np.array(got[k]) - np.array(want[k])).max() for k in want) < 1e-4
+    end = FRONT_ENDS[front_end]
+    rows = audio_slices(df, end.left, end.right, slice_samples).select(F.max(F.size("samples")).alias("n"), F.count("*").alias("rows")).first()
+    assert rows.n <= slice_samples + end.left + end.right and rows.rows == sum(-(-n // slice_samples) for n in [*lengths, 9000])
+
+
+def test_pieces_that_do_not_follow(spark):
+    df = spark.createDataFrame([(1, 0, [0.0] * 3000), (1, 3500, [0.0] * 3000)], "audio_id long, offset long, samples array<float>")
+    with pytest.raises(Exception, match="follow"):
+        sliced_features(df, "fbank", slice_samples=2000).collect()
+    assert sliced_features(df.where("audio_id = 2"), "log_mel", slice_samples=2000).collect() == []
+    with pytest.raises(ValueError):
+        sliced_features(df, "log_mel", slice_samples=400)

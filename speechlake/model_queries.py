@@ -5,6 +5,8 @@ As in ``queries``, the driver's tables stand in for audio.  Scorers and models a
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +17,7 @@ from speechlake.operators import partials, transcripts
 from speechlake.operators.feature_slices import sliced_features
 from speechlake.operators.features import features
 from speechlake.operators.inference import split_long_audio, transcribe_segments
+from speechlake.operators.kept import shared_folder
 from speechlake.operators.tokens import byte_characters, collected, decode, encode, piece_counts
 from speechlake.operators.vad_machine import frame_state, score_frames, vad_segments
 from speechlake.operators.vad_slices import sliced_segments
@@ -22,6 +25,7 @@ from speechlake.options import MachineOptions
 from speechlake.queries import EV, HOURS, ORACLE_SQL, PADDED, QUERIES, embeddings, event_rows, fixed, fixed_sql, frame_rows, merged_rows, query, segment_rows, table
 from speechlake.sources.audio_files import resample
 from speechlake.sources.tables import parse_cmvn, parse_merges, read_tokenizer_file
+from speechlake.sources.wav_ranges import read_wav_ranges, write_wav
 from speechlake.streaming.jobs import late_rows, replay
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -45,6 +49,18 @@ def recordings(spark: SparkSession, sf_dir: str, vectors: int) -> DataFrame:
     return rows.groupBy("audio_id").agg(F.flatten(F.transform(parts, lambda x: x["samples"])).alias("samples"))
 
 
+@query("""SELECT vec_id // 32 AS audio_id, 16000 AS sample_rate, 16 AS bits, sum(len(embedding)) AS n, CAST(sum(list_sum([CAST(round_even(CAST(x AS DOUBLE) * 32768, 0) AS BIGINT) for x in embedding])) AS BIGINT) AS total,
+CAST(ceil(sum(len(embedding)) / 300.0) AS BIGINT) AS pieces FROM embeddings GROUP BY 1""")
+def wav_files_by_ranges(spark, sf_dir):
+    """Recordings written as WAV files to the shared folder and read back by ranges of bytes, in pieces of 300 samples."""
+    folder = f"{shared_folder(spark)}/wav-{uuid.uuid4().hex}"
+    write_wav(recordings(spark, sf_dir, 32).withColumn("sample_rate", F.lit(16_000)), folder)
+    total = F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + F.round(x.cast("double") * 32768, 0).cast("long"))
+    rows = read_wav_ranges(spark, folder, range_bytes=44 + 2400, piece_bytes=600)
+    rows = rows.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("audio_id"), "sample_rate", "bits", F.size("samples").alias("n"), total.alias("total"), (F.col("offset") % 300 == 0).alias("whole"))
+    return rows.groupBy("audio_id", "sample_rate", "bits").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count_if("whole").alias("pieces"))
+
+
 def _feature_rows(spark, sf_dir, front_end):
     rows = features(recordings(spark, sf_dir, 32), front_end)
     return rows.select("audio_id", "frame_idx", F.size("feat").alias("width"), fixed(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), 1).alias("total"))

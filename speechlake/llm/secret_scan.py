@@ -116,6 +116,42 @@ def secret_report(docs: DataFrame, rules=RULES) -> DataFrame:
     return rows.select(F.col("path").alias("doc_id"), *counts, F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def disjoint_spans(findings: DataFrame, rules=RULES) -> DataFrame:
+    """(blob_id, starts, ends): sorted arrays of the spans that the rules' current findings cover, overlapping ones as one."""
+    current = F.lit(False)
+    for r in rules:
+        current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
+    by = Window.partitionBy("blob_id").orderBy("start", "end")
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = findings.where(current).withColumn("apart", (F.col("start") >= F.coalesce(before, F.lit(0))).cast("int"))
+    rows = rows.withColumn("run", F.sum("apart").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("blob_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    runs = runs.groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    return runs.select("blob_id", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends"))
+
+
+#: Code points of the blocks that a text is cut into before its spans are taken out, so that no step counts from the text's start.
+BLOCK = 1024
+
+
+def without_spans(text: Column, starts: Column, ends: Column, mark: str) -> Column:
+    """``text`` with each of the sorted, disjoint spans replaced by ``mark``; linear in the text and in the spans."""
+    blocks = F.col("text_blocks")
+    block = lambda at: F.element_at(blocks, (at / BLOCK).cast("int") + 1)
+    within = lambda at: F.pmod(at, F.lit(BLOCK)).cast("int")
+
+    def cut(x):
+        a, b = x["a"], x["b"]
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+        same = F.substring(block(a), within(a) + 1, (b - a).cast("int"))
+        over = F.concat(F.substring(block(a), within(a) + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substring(block(b - 1), F.lit(1), within(b - 1) + 1))
+        return F.when(b <= a, "").when(first == last, same).otherwise(over)
+
+    zero, end = F.array(F.lit(0).cast("long")), F.array(F.length(text).cast("long"))
+    gaps = F.arrays_zip(F.concat(zero, ends).alias("a"), F.concat(starts, end).alias("b"))
+    return F.array_join(F.transform(gaps, cut), mark)
+
+
 def redacted(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``mark`` and ``n_chars`` set anew; other columns and texts stay as they are.
 
@@ -123,20 +159,14 @@ def redacted(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
     """
     columns = docs.columns
     _, _, findings = scan_history(docs.select(F.col("doc_id").cast("long").alias("path"), "text"), rules=rules)
-    spans = settle(spans_by_blob(findings, rules), "spans")
-    rows = docs.withColumn("blob_id", F.sha2(F.coalesce("text", F.lit("")), 256)).join(spans.hint("shuffle_hash").withColumnRenamed("spans", "found_spans"), "blob_id", "left")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
-    cut = lambda at, n: F.substring(F.col("text"), (at + 1).cast("int"), n.cast("int"))
-
-    def step(a, x):
-        more = F.when(x["start"] >= a["at"], F.concat(cut(a["at"], x["start"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["text"], more).alias("text"))
-
-    clean = F.aggregate("found_spans", start, step, lambda a: F.concat(a["text"], cut(a["at"], F.length("text"))))
-    rows = rows.withColumn("text", F.when(F.col("found_spans").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("found_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+    spans = settle(disjoint_spans(findings, rules), "spans")
+    whole = F.struct(*[F.col(c) for c in columns]).alias("row")
+    rows = docs.select(whole, F.col("text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob_id")).join(spans.hint("shuffle_hash"), "blob_id", "left")
+    found = F.col("starts").isNotNull()
+    rows = rows.withColumn("text_blocks", F.when(found, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    rows = rows.withColumn("clean", F.when(found, without_spans(F.col("text"), F.col("starts"), F.col("ends"), mark)))
+    new = {"text": F.coalesce("clean", "row.text"), "n_chars": F.when(found, F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in columns else None}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in columns])
 
 
 #: The rules of a second scan: one of the base rules was made stricter since the first.

@@ -176,6 +176,38 @@ def written(print_: tuple[int, str, str]) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _compared(ids: list, texts: list[str], edited: list[str], own: list, after: list) -> pa.RecordBatch:
+    """Result rows of texts, their edited forms, their fingerprints and those of the next ones."""
+    encoded = [t.encode("utf-8", "surrogatepass") for t in edited]
+    theirs = fingerprints(encoded)
+    columns = [
+        pa.array(ids, pa.int64()),
+        pa.array(map(len, texts), pa.int64()),
+        pa.array([hashlib.sha256(t).hexdigest() for t in encoded], pa.string()),
+        pa.array(map(written, own), pa.string()),
+        pa.array(map(written, theirs), pa.string()),
+        pa.array(likeness(own, theirs), pa.float64()),
+        pa.array(likeness(own, after), pa.float64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+
+def _beside_first(shared):
+    """Rows without an id: the first document follows each of them; where there is none, each follows itself."""
+
+    def rows(batches):
+        first = shared.value
+        encode = lambda t: t.encode("utf-8", "surrogatepass")
+        following = None if first is None else fingerprints([encode(first)])[0]
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            own = fingerprints(list(map(encode, texts)))
+            edited = [t[: len(t) - len(t) // 4] + (t if first is None else first)[: len(t) // 4] for t in texts]
+            yield _compared([None] * len(texts), texts, edited, own, own if first is None else [following] * len(texts))
+
+    return rows
+
+
 def _rows(batches):
     """Rows come sorted within each range; the last of a range only serves as the next of the one before."""
     held, held_print = None, None
@@ -192,21 +224,7 @@ def _rows(batches):
                 here.append(k)
                 edited.append(text[: len(text) - n] + following[:n])
         if here:
-            encoded = [t.encode("utf-8", "surrogatepass") for t in edited]
-            theirs = fingerprints(encoded)
-            own, after = [prints[k] for k in here], [prints[k + 1] for k in here]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([rows[k][1] for k in here], pa.int64()),
-                    pa.array([len(rows[k][3]) for k in here], pa.int64()),
-                    pa.array([hashlib.sha256(t).hexdigest() for t in encoded], pa.string()),
-                    pa.array(map(written, own), pa.string()),
-                    pa.array(map(written, theirs), pa.string()),
-                    pa.array(likeness(own, theirs), pa.float64()),
-                    pa.array(likeness(own, after), pa.float64()),
-                ],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
+            yield _compared([rows[k][1] for k in here], [rows[k][3] for k in here], edited, [prints[k] for k in here], [prints[k + 1] for k in here])
         if rows:
             held, held_print = rows[-1], prints[-1]
 
@@ -245,8 +263,14 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprints of each row of ``docs`` (doc_id, text) and of its edited text, as SCHEMA says.
 
     The edited text has its last floor(n / 4) code points replaced by the first as many of the next document in ascending
-    doc_id, after the last the first.  A null text is empty; rows with a null doc_id are left out; rows with one doc_id follow each
-    other by text; a single document follows itself.  Other columns are ignored.
+    doc_id, after the last the first.  A null text is empty; rows with one doc_id follow each other by text; a single document follows
+    itself.  A row with a null doc_id has no place in that order: the first document follows it, or it follows itself if there is none.
+    Other columns are ignored.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return with_following(docs).mapInArrow(_rows, SCHEMA)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    some = docs.where("doc_id is not null")
+    least = some.agg(F.min("doc_id")).first()[0]
+    first = None if least is None else some.where(F.col("doc_id") == least).agg(F.min("text")).first()[0]
+    shared = docs.sparkSession.sparkContext.broadcast(first)  # one document
+    rest = docs.where("doc_id is null").mapInArrow(_beside_first(shared), SCHEMA)
+    return with_following(some).mapInArrow(_rows, SCHEMA).union(rest)

@@ -13,10 +13,12 @@
 4. The members of a key are compared by hashed parity bitmaps: differing bits bound the differing shingles from below, so pairs
    that can't reach the threshold are dropped, and a spanning forest of the others is kept.  Keys with the same members are
    compared once; the members of a large key are dealt to chunks, and each pair of chunks is a list of its own.
-5. Each component of these forests is cut into tiles of neighbouring sizes, and pairs of tiles whose size bands are compatible
-   are compared: bit counts bound the overlap from above, and only pairs that can still reach the threshold and aren't connected
-   yet are intersected exactly.  A tile pair returns a spanning forest of its links, never all pairs.  Tiles are planned on
-   ids and sizes; the sets themselves are shuffled once, to where they are compared.
+5. A component of these forests (a block) is compared in one tile if it is small.  The sets of a large one are dealt to tiles, one copy
+   of each, and a few hubs - the sets with most copies and those with most possible links - go to every tile; what is linked so is one group.  Only sets outside
+   a block's largest group are compared with all others: their tiles meet the group's tiles and each other where size bands are
+   compatible.  In a tile bit counts bound the overlap from above, and only pairs that can still reach the threshold and aren't
+   connected yet are intersected exactly.  A tile returns a spanning forest of its links, never all pairs.  Tiles are planned
+   on ids and sizes; the sets themselves are shuffled to where they are compared.
 6. Components of these links, over all classes, are the result.
 """
 
@@ -38,6 +40,8 @@ from speechlake.llm.components import connected_components
 SPREAD = 1.005
 #: Shingles that a tile of the exact comparison holds at most (8 bytes each); a larger set is a tile of its own.
 TILE_SHINGLES = 400_000
+#: Sets of a large block, of each of two kinds, that every one of its sets is compared with first.
+HUBS = 4
 #: Members of a key that are compared in one place, about; twice as many or more are dealt to chunks of that size.
 CHUNK = 2048
 
@@ -328,8 +332,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, tile_
     sets = settle(docs.mapInArrow(_set_rows(words, percent), SETS).withColumn("row", F.monotonically_increasing_id()), "sets")
     by_set, real = ["n_shingles", "set_low", "set_high"], "n_shingles > 0 and doc_id is not null"
     some, slim = sets.where(real), settle(sets.select("doc_id", *by_set), "slim")
-    classes = settle(some.groupBy(*by_set).agg(F.min("doc_id").alias("class_id"), F.min_by("row", "doc_id").alias("row")), "classes")
-    firsts = settle(classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.max("n_shingles").alias("size"), F.count("*").alias("sets")), "firsts")
+    classes = settle(some.groupBy(*by_set).agg(F.min("doc_id").alias("class_id"), F.min_by("row", "doc_id").alias("row"), F.count("*").alias("copies")), "classes")
+    firsts = settle(classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.max("n_shingles").alias("size"), F.count("*").alias("sets"), F.sum("copies").alias("copies")), "firsts")
     chosen = some.where(F.size("keys") > 0).join(classes.select("row").hint("shuffle_hash"), "row", "left_semi")
     chosen = settle(chosen.select("doc_id", F.col("n_shingles").alias("size"), "bitmap", "keys", "more"), "chosen")
     discard(sets)  # keys are most of what is stored, so they go once they have been used
@@ -341,43 +345,97 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, tile_
     discard(chosen)
     met = settle(comparison_lists(members), "lists").join(bitmaps.hint("shuffle_hash"), "doc_id")
     met = met.select("list", "doc_id", "size", "bitmap").repartition("list").sortWithinPartitions("list", "doc_id")
-    near = met.mapInArrow(_forest_rows(percent), "doc_id long, head long")
+    near = settle(met.mapInArrow(_forest_rows(percent), "doc_id long, head long"), "near")
     blocks = connected_components(near, "doc_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-    plan = tile_plan(settle(blocks.join(firsts.select("doc_id", "size"), "doc_id"), "blocks"), percent, tile_shingles)
-    payload = docs.where("doc_id is not null").join(plan.hint("shuffle_hash"), "doc_id").mapInArrow(_payload_rows(words), PAYLOAD)
-    links = settle(payload.groupBy("bucket", "one", "other").applyInArrow(_compare(percent), "a long, b long"), "links")
-    copies = slim.where(real).join(classes.drop("row"), by_set).select("doc_id", "class_id")
+    sized = settle(blocks.join(firsts.select("doc_id", "size", "copies"), "doc_id"), "blocks")
+
+    def compared(plan: DataFrame) -> DataFrame:
+        payload = docs.where("doc_id is not null").join(plan.hint("shuffle_hash"), "doc_id").mapInArrow(_payload_rows(words), PAYLOAD)
+        return settle(payload.groupBy("bucket", "one", "other").applyInArrow(_compare(percent), "a long, b long"), "links")
+
+    total = settle(sized.groupBy("block").agg(F.sum("size").alias("total"), F.count("*").alias("n")).where("n > 1"), "totals")
+    large = sized.join(total.where(F.col("total") > tile_shingles), "block")
+    links = compared(settle(small_plan(sized, total, tile_shingles).union(hub_plan(large, near, tile_shingles)), "plan"))
+    if not total.where(F.col("total") > tile_shingles).isEmpty():
+        plan = settle(rest_plan(settle(grouped(large, links), "grouped"), percent, tile_shingles), "plan")
+        if not plan.isEmpty():
+            links = links.union(compared(plan))
+    copies = slim.where(real).join(classes.drop("row", "copies"), by_set).select("doc_id", "class_id")
     joined = connected_components(links.union(copies.where("doc_id <> class_id")), "a", "b")
     out = slim.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def tile_plan(sized: DataFrame, percent: int, tile_shingles: int) -> DataFrame:
-    """(doc_id, block, tiles) from (doc_id, block, size): every (bucket, tile, one, other) in which a set is to be compared.
+def _place(bucket, tile, one, other):
+    return F.struct(bucket.cast("long").alias("bucket"), tile.cast("long").alias("tile"), one.cast("long").alias("one"), other.cast("long").alias("other"))
 
-    A block of ``tile_shingles`` at most is one tile, and such blocks are dealt to buckets of about that size.  A larger
-    block is a bucket of its own; its tiles are (size band, slice of the band by a hash of the id), and a tile meets itself and
-    all tiles of its own and the neighbouring bands.
-    """
-    sized = sized.withColumn("band", F.floor(F.log("size") / math.log(100 / percent * SPREAD)))
-    total = settle(sized.groupBy("block").agg(F.sum("size").alias("total"), F.count("*").alias("n")).where("n > 1"), "totals")
+
+def small_plan(sized: DataFrame, total: DataFrame, tile_shingles: int) -> DataFrame:
+    """(doc_id, block, tiles) of the blocks of ``tile_shingles`` at most: each is one tile, dealt to buckets of about that size."""
     small = total.where(F.col("total") <= tile_shingles)
     buckets = int((small.agg(F.sum("total")).first()[0] or 0) // tile_shingles) + 1
-    zero = F.lit(0).cast("long")
-    place = lambda bucket, tile, one, other: F.struct(bucket.alias("bucket"), tile.alias("tile"), one.alias("one"), other.alias("other"))
-    few = sized.join(small, "block").select("doc_id", "block", F.array(place(F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("long"), zero, zero, zero)).alias("tiles"))
-
-    many = sized.join(total.where(F.col("total") > tile_shingles), "block")
-    plan = settle(many.groupBy("block", "band").agg(F.ceil(F.sum("size") / tile_shingles).cast("long").alias("slices")), "tiles")
-    side = lambda by, name: plan.select("block", (F.col("band") + by).alias("band"), F.col("slices").alias(name))
-    beside = plan.join(side(-1, "above"), ["block", "band"], "left").join(side(1, "below"), ["block", "band"], "left").na.fill(0)
-    dealt = many.join(settle(beside, "beside"), ["block", "band"]).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")))
+    zero = F.lit(0)
+    return sized.join(small.select("block"), "block").select("doc_id", "block", F.array(_place(F.pmod(F.xxhash64("block"), F.lit(buckets)), zero, zero, zero)).cast(TILES).alias("tiles"))
+
+
+def hub_plan(large: DataFrame, near: DataFrame, tile_shingles: int) -> DataFrame:
+    """(doc_id, block, tiles) of large blocks (doc_id, block, size, copies, total): each set goes to one tile, the hubs of its block to all.
+
+    Hubs are the sets that most documents have, and those with most edges in ``near``.
+    """
+    degree = near.groupBy(F.col("head").alias("doc_id")).agg(F.count("*").alias("degree"))
+    by = lambda c: F.struct(F.coalesce(c, F.lit(0)).alias("most"), F.xxhash64(F.lit("hub"), "doc_id").alias("h"), "doc_id")
+    ranked = large.join(degree, "doc_id", "left").select("block", F.pmod(F.xxhash64("doc_id"), F.lit(1024)).alias("part"), by("copies").alias("first"), by("degree").alias("second"))
+    # the best of each part of a block, then of the block, so that no group holds more than the parts
+    parts = ranked.groupBy("block", "part").agg(F.max("first").alias("first"), F.max("second").alias("second"))
+    top = lambda c: F.slice(F.sort_array(F.collect_list(c), False), 1, HUBS)["doc_id"]
+    hubs = parts.groupBy("block").agg(F.array_union(top("first"), top("second")).alias("hubs"))
+    slices = F.ceil(F.col("total") / tile_shingles).cast("long")
+    dealt = large.join(hubs, "block").select("doc_id", "block", slices.alias("slices"), F.array_contains("hubs", F.col("doc_id")).alias("hub"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("slices"))
+    zero = F.lit(0)
+    tiles = F.transform(F.when(F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).otherwise(F.array(own)), lambda x: _place(F.col("block"), zero, -1 - x, -1 - x))
+    return dealt.select("doc_id", "block", tiles.cast(TILES).alias("tiles"))
+
+
+def grouped(large: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, block, size, base): whether a set of a large block is in the block's largest group of linked sets."""
+    own = links.join(large.select(F.col("doc_id").alias("a")).hint("shuffle_hash"), "a", "left_semi")
+    joined = connected_components(own, "a", "b")
+    rows = large.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "block", "size", F.coalesce("component", "doc_id").alias("of"))
+    sizes = rows.groupBy("block", "of").agg(F.sum("size").alias("weight"))
+    largest = sizes.groupBy("block").agg(F.max_by("of", F.struct("weight", "of")).alias("base_of"))
+    return rows.join(largest, "block").select("doc_id", "block", "size", (F.col("of") == F.col("base_of")).alias("base"))
+
+
+def rest_plan(rows: DataFrame, percent: int, tile_shingles: int) -> DataFrame:
+    """(doc_id, block, tiles) that compare the sets outside a block's base with all of the block, from (doc_id, block, size, base).
+
+    The base is cut into tiles (size band, slice of the band by a hash of the id), the rest into slices.  A set of the rest goes to the
+    base's tiles of its own and the neighbouring bands, a set of the base meets the rest's slices once each where the rest has sets in
+    these bands, and slices of the rest meet each other.  Sets of the base, which are linked with one another, never meet.
+    """
+    rows = rows.withColumn("band", F.floor(F.log("size") / math.log(100 / percent * SPREAD)))
+    base_size, rest_size = F.sum(F.when(F.col("base"), F.col("size"))), F.sum(F.when(~F.col("base"), F.col("size")))
+    slices = lambda total: F.ceil(F.coalesce(total, F.lit(0)) / tile_shingles).cast("long")
+    bands = settle(rows.groupBy("block", "band").agg(slices(base_size).alias("bases"), F.coalesce(rest_size, F.lit(0)).alias("rest")), "bands")
+    plan = bands.join(bands.groupBy("block").agg(slices(F.sum("rest")).alias("rests")), "block")
+    for by, side in ((-1, "above"), (1, "below")):
+        plan = plan.join(bands.select("block", (F.col("band") + by).alias("band"), *[F.col(n).alias(f"{n}_{side}") for n in ("bases", "rest")]), ["block", "band"], "left")
+    dealt = rows.join(settle(plan.na.fill(0), "beside"), ["block", "band"])
     code = lambda band, part: band * F.lit(1 << 32) + part
-    tiles = lambda by, n: F.transform(F.slice(F.sequence(F.lit(0).cast("long"), n), 1, n.cast("int")), lambda x: code(F.col("band") + by, x))
-    others = F.concat(tiles(0, F.col("slices")), tiles(1, F.col("above")), tiles(-1, F.col("below")))
-    own = code(F.col("band"), F.col("slice"))
-    places = F.transform(others, lambda x: place(F.col("block"), own, F.least(own, x), F.greatest(own, x) + 1))
-    return few.union(dealt.select("doc_id", "block", places.cast(TILES).alias("tiles")))
+    numbers = lambda n: F.slice(F.sequence(F.lit(0).cast("long"), n), 1, n.cast("int"))
+    of_band = lambda by, n: F.transform(numbers(n), lambda x: code(F.col("band") + by, x))
+    bases = F.concat(of_band(0, F.col("bases")), of_band(1, F.col("bases_above")), of_band(-1, F.col("bases_below")))
+    near = F.col("rest") + F.col("rest_above") + F.col("rest_below") > 0
+    rests = numbers(F.col("rests"))
+    own_base, own_rest = code(F.col("band"), F.pmod(F.xxhash64("doc_id"), F.col("bases"))), F.pmod(F.xxhash64("doc_id"), F.col("rests"))
+    # a pair of a base's tile and a rest's slice is told from a pair of two slices by the last bit of ``one``
+    met = F.transform(rests, lambda x: _place(F.col("block"), F.lit(0), own_base * 2 + 1, x))
+    visited = F.transform(bases, lambda x: _place(F.col("block"), F.lit(1), x * 2 + 1, own_rest))
+    among = F.transform(rests, lambda x: _place(F.col("block"), own_rest, F.least(own_rest, x) * 2, F.greatest(own_rest, x)))
+    places = F.when(F.col("base") & near, met).when(~F.col("base"), F.concat(visited, among)).otherwise(F.array().cast(TILES))
+    return dealt.select("doc_id", "block", places.cast(TILES).alias("tiles")).where(F.size("tiles") > 0)
 
 
 #: DuckDB SQL for the rows of ``jaccard_components`` with three words and 90 percent, over all pairs that share a shingle.

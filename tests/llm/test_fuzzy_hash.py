@@ -105,6 +105,22 @@ def test_pairs(spark):
     assert np.mean([x.near_edited for x in long]) > 0.6 > 0.2 > np.mean([x.near_next for x in long])
 
 
+def test_rows_without_an_id(spark):
+    rows = [(None, "some words and more " * 40), (None, None), (None, "x"), (9, "later " * 9), (3, "first text " * 50), (3, "second"), (None, "first text " * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [x for x in fingerprint_pairs(df).collect() if x.doc_id is None]
+    assert len(got) == 4 and len(fingerprint_pairs(df).collect()) == 7
+    for _, t in rows[:3] + rows[6:]:
+        t = t or ""
+        n = len(t) // 4
+        edited = t[: len(t) - n] + rows[4][1][:n]
+        x = next(x for x in got if x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest())
+        own = fingerprints([t.encode()])
+        assert x.fingerprint == written(own[0]) and x.near_next == likeness(own, fingerprints([rows[4][1].encode()]))[0]
+    alone = fingerprint_pairs(df.where("doc_id is null")).collect()
+    assert len(alone) == 4 and all(x.near_next == 1.0 for x in alone)
+
+
 def test_ranges_and_edge_rows(spark, monkeypatch):
     import speechlake.llm.fuzzy_hash as m
 
@@ -113,7 +129,7 @@ def test_ranges_and_edge_rows(spark, monkeypatch):
     one = sorted(map(str, fingerprint_pairs(df).collect()))
     monkeypatch.setattr(m, "RANGE_DOCS", 9)
     many = fingerprint_pairs(df)
-    assert sorted(map(str, many.collect())) == one and len(one) == 101
+    assert sorted(map(str, many.collect())) == one and len(one) == 102
     assert fingerprint_pairs(df.limit(0)).collect() == []
     single = fingerprint_pairs(df.where("doc_id = 3")).collect()
     assert len(single) == 1 and single[0].near_next == 1.0

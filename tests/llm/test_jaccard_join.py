@@ -1,8 +1,10 @@
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from speechlake.llm.jaccard_join import bands_of, comparison_lists, jaccard_components, most_apart, rarest, set_keys
 
@@ -188,6 +190,62 @@ def test_template(spark):
     assert sum(x.doc_id != x.component_id for x in got) == 12
 
 
+def near_copies(n, words, seed=3):
+    """Copies of one template with words changed: most linked with many others, some with few, and every 40th with none."""
+    r = random.Random(seed)
+    template = [f"t{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        own = list(template)
+        for at in r.sample(range(words), r.choice([0, 1, 1, 2]) if i % 40 else words // 90):
+            own[at] = f"{r.randrange(10**9)}"
+        rows.append((3 * i, " ".join(own[r.randrange(3) :])))
+    return rows
+
+
+def planned_copies(monkeypatch):
+    """Copies of sets that the plans of the tiles ask for, and sets in them."""
+    from speechlake.llm import jaccard_join as m
+
+    counts = []
+
+    def counted(plan):
+        def run(*args):
+            out = plan(*args)
+            row = out.agg(F.sum(F.size("tiles")).alias("copies"), F.max(F.size("tiles")).alias("most"), F.count("*").alias("sets")).first()
+            counts.append((plan.__name__, row["copies"] or 0, row["most"] or 0, row["sets"]))
+            return out
+
+        return run
+
+    for name in ("small_plan", "hub_plan", "rest_plan"):
+        monkeypatch.setattr(m, name, counted(getattr(m, name)))
+    return counts
+
+
+@pytest.mark.parametrize(("tile", "hubs"), [(1500, 0), (1500, 4)])
+def test_a_large_block_of_near_copies(spark, monkeypatch, tile, hubs):
+    """Without hubs many sets are left outside the base and compared with all of the block."""
+    monkeypatch.setattr("speechlake.llm.jaccard_join.HUBS", hubs)
+    counts = planned_copies(monkeypatch)
+    rows = near_copies(400, 120)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), tile_shingles=tile).collect()
+    want = brute(rows)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+    assert len({c for _, c in want.values()}) < 60
+    assert [c[0] for c in counts] == ["small_plan", "hub_plan", "rest_plan"] and (counts[2][3] > 100 or hubs)
+
+
+def test_copies_of_a_large_block(spark, monkeypatch):
+    """Thousands of near copies: few copies of each set, whatever the number of tiles."""
+    counts = planned_copies(monkeypatch)
+    rows = near_copies(6000, 120)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), tile_shingles=12_000).collect()
+    sets = len({t for _, t in rows})
+    assert len(got) == 6000 and max(Counter(x.component_id for x in got).values()) > 5000
+    assert sum(c[1] for c in counts) < 5 * sets
+
+
 def test_words_of_a_thue_morse_kind_differ(spark):
     """Words over which a polynomial modulo a power of two takes the same value."""
     rows = []

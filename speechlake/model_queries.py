@@ -21,7 +21,7 @@ from speechlake.operators.kept import shared_folder
 from speechlake.operators.tokens import byte_characters, collected, decode, encode, piece_counts
 from speechlake.operators.vad_machine import frame_state, score_frames, vad_segments
 from speechlake.operators.vad_slices import sliced_segments
-from speechlake.options import MachineOptions
+from speechlake.options import MachineOptions, StreamOptions
 from speechlake.queries import EV, HOURS, ORACLE_SQL, PADDED, QUERIES, embeddings, event_rows, fixed, fixed_sql, frame_rows, merged_rows, query, segment_rows, table
 from speechlake.sources.audio_files import resample
 from speechlake.sources.tables import parse_cmvn, parse_merges, read_tokenizer_file
@@ -439,15 +439,55 @@ fs AS (SELECT user_id, unnest(range(0, 1 + (n - 5) // 2)) AS i FROM nb),
 ev AS (SELECT fs.user_id, i, 10 * log10(coalesce(sum(e), 0) + 1e-6) AS level FROM fs LEFT JOIN bl ON bl.user_id = fs.user_id AND b BETWEEN 2 * i AND 2 * i + 4 GROUP BY 1, 2)"""
 
 
-@query("WITH " + machine_sql("level > 0", MachineOptions(), STREAM_FRAMES).replace("user_id AS audio_id, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS seq", "user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS utterance_id"))
-def replayed_streams(spark, sf_dir):
-    """Utterances of chunk streams, 64 embeddings each of 100 ms, through detection and recognition with stand-ins for the models."""
-
-    def load():
-        return {"scorer": lambda feats, levels, state: (np.where(levels > 0, 0.0, 1.0), None), "model": lambda window, prefix, calls: ("w" * (len(window) // 800 + (calls or 0)), (calls or 0) + 1)}
-
+#: All events of the streams by the rules of sessions, in lengths, as the model only writes w: chunks are of 1,600 samples, the one that
+#: ends a stream of 160; frames come out two frames late; a decode takes 8,000 samples, a window holds 32,000.
+STREAM_EVENTS = f"""{machine_sql("level > 0", MachineOptions(), STREAM_FRAMES).rpartition(chr(10) + "SELECT user_id AS audio_id")[0]},
+ch AS (SELECT CAST(vec_id // 64 AS VARCHAR) AS user_id, count(*) AS chunks, max(vec_id) AS last_id, min(vec_id) AS first_id FROM embeddings GROUP BY 1),
+op AS (SELECT user_id, i AS f, start * 10 AS a, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS u FROM (SELECT *, lag(speaking) OVER (PARTITION BY user_id ORDER BY i) AS before FROM m) WHERE speaking AND NOT before),
+cl AS (SELECT user_id, i AS f, b, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS u FROM m WHERE b IS NOT NULL),
+ut0 AS (SELECT op.user_id, op.u, a, coalesce(b, chunks * 100 + 10) AS b, chunks, first_id, last_id, least((op.f + 4) // 10 + 1, chunks + 1) AS co, least(coalesce((cl.f + 4) // 10 + 1, chunks + 1), chunks + 1) AS cc
+  FROM op JOIN ch ON ch.user_id = op.user_id LEFT JOIN cl ON cl.user_id = op.user_id AND cl.u = op.u),
+ut AS (SELECT *, least(3, co - coalesce(lag(cc) OVER (PARTITION BY user_id ORDER BY u), 1)) AS pre FROM ut0),
+heard AS (SELECT *, unnest(range(co, cc + 1)) AS c FROM ut),
+fed AS (SELECT *, 1600 * (pre + least(c, chunks) - co + 1) + CASE WHEN c > chunks THEN 160 ELSE 0 END AS n FROM heard),
+st0 AS (SELECT user_id, u, unnest(range(coalesce(lag(n // 8000) OVER (PARTITION BY user_id, u ORDER BY c), 0), n // 8000)) AS k, c, NULL AS part FROM fed),
+ends AS (SELECT user_id, u, cc AS c, n // 8000 AS k, least(n % 8000, (b - a) * 16 - n // 8000 * 8000) AS part FROM fed WHERE c = cc),
+st AS (SELECT user_id, u, k, c, (k + 1) * 8000 AS total FROM st0 UNION ALL SELECT user_id, u, k, c, k * 8000 + part FROM ends WHERE part > 0),
+tx AS (SELECT user_id, u, -1::BIGINT AS k, 0::BIGINT AS c, 0::BIGINT AS total, 0::BIGINT AS n, 0::BIGINT AS conf, 0::BIGINT AS pend, 0::BIGINT AS delta, false AS worth FROM ut
+UNION ALL
+SELECT user_id, u, k, c, total, t, CASE WHEN t < conf THEN 0 ELSE conf + least(pend, t - conf) END, CASE WHEN t = 0 THEN 0 WHEN t < conf THEN t ELSE t - conf - least(pend, t - conf) END,
+  CASE WHEN t < conf THEN 0 ELSE least(pend, t - conf) END, t < conf OR least(pend, t - conf) > 0 OR t <> conf + pend
+FROM (SELECT tx.user_id, tx.u, st.k, st.c, st.total, tx.conf, tx.pend, CASE WHEN st.k < 2 THEN 0 ELSE greatest(tx.n - 5, 0) END + least(st.total, 32000) // 800 + st.k AS t FROM tx JOIN st ON st.user_id = tx.user_id AND st.u = tx.u AND st.k = tx.k + 1)),
+fin AS (SELECT user_id, u, arg_max(n, k) AS n, arg_max(conf, k) AS conf FROM tx GROUP BY 1, 2),
+ev2 AS (SELECT user_id, u, 0 AS place, 0 AS k, 'speech_start' AS event_type, co AS c, a AS start_ms, NULL AS end_ms, 0 AS t, 0 AS d, 0 AS conf, 0 AS pend FROM ut
+UNION ALL SELECT tx.user_id, tx.u, 1, k, 'partial', c, a, a + total // 16, tx.conf + pend, delta, tx.conf, pend FROM tx JOIN ut ON ut.user_id = tx.user_id AND ut.u = tx.u WHERE k >= 0 AND worth
+UNION ALL SELECT ut.user_id, ut.u, 2, 0, 'final', cc, a, b, n, greatest(n - conf, 0), n, 0 FROM ut JOIN fin ON fin.user_id = ut.user_id AND fin.u = ut.u
+UNION ALL SELECT user_id, u, 3, 0, 'speech_end', cc, a, b, 0, 0, 0, 0 FROM ut
+UNION ALL SELECT user_id, -1, 4, 0, 'pipeline_done', chunks, NULL, chunks * 100 + 10, 0, 0, 0, 0 FROM ch)
+SELECT ev2.user_id AS stream_id, row_number() OVER (PARTITION BY ev2.user_id ORDER BY place = 4, u, place, k) - 1 AS result_id, event_type, u AS utterance_id, least(first_id + c - 1, last_id) AS trigger_chunk_id, start_ms, end_ms,
+  repeat('w', t) AS text, repeat('w', d) AS confirmed_delta, repeat('w', conf) AS confirmed_text, repeat('w', pend) AS pending_text FROM ev2 JOIN ch ON ch.user_id = ev2.user_id"""
+
+
+def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk streams, 64 embeddings each of 100 ms; of every 37 embeddings 15 are quiet."""
     pcm = F.flatten(F.array_repeat(F.transform("samples", lambda x: x * F.when(F.col("vec_id") % 37 < 15, 0.05).otherwise(1.0)), 25)).cast("array<float>")
     place = F.col("vec_id") % 64
     rows = embeddings(spark, sf_dir).withColumn("last", F.max("vec_id").over(Window.partitionBy(F.floor(F.col("vec_id") / 64))))
-    chunks = rows.select(F.floor(F.col("vec_id") / 64).cast("string").alias("stream_id"), F.col("vec_id").alias("chunk_id"), (place * 100).alias("start_ms"), pcm.alias("pcm"), (F.col("vec_id") == F.col("last")).alias("is_final"))
-    return replay(chunks, load).where("event_type = 'speech_end'").select("stream_id", "utterance_id", "start_ms", "end_ms")
+    return rows.select(F.floor(F.col("vec_id") / 64).cast("string").alias("stream_id"), F.col("vec_id").alias("chunk_id"), (place * 100).alias("start_ms"), pcm.alias("pcm"), (F.col("vec_id") == F.col("last")).alias("is_final"))
+
+
+def stream_models():
+    """Stand-ins: frames over 0 dB are speech; a text has a letter per 50 ms of the window, and one more at each call."""
+    return {"scorer": lambda feats, levels, state: (np.where(levels > 0, 0.0, 1.0), None), "model": lambda window, prefix, calls: ("w" * (len(window) // 800 + (calls or 0)), (calls or 0) + 1)}
+
+
+@query("WITH " + STREAM_EVENTS)
+def streamed_texts(spark, sf_dir):
+    """Every event of chunk streams: starts, partial and final texts with what is confirmed and pending, ends."""
+    return replay(stream_chunks(spark, sf_dir), stream_models, StreamOptions(window_seconds=2.0)).drop("error")
+
+
+@query("WITH " + machine_sql("level > 0", MachineOptions(), STREAM_FRAMES).replace("user_id AS audio_id, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS seq", "user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS utterance_id"))
+def replayed_streams(spark, sf_dir):
+    """Utterances of chunk streams through detection and recognition with stand-ins for the models."""
+    return replay(stream_chunks(spark, sf_dir), stream_models).where("event_type = 'speech_end'").select("stream_id", "utterance_id", "start_ms", "end_ms")

@@ -27,6 +27,7 @@ from speechlake.sources.audio_files import resample
 from speechlake.sources.tables import parse_cmvn, parse_merges, read_tokenizer_file
 from speechlake.sources.wav_ranges import read_wav_ranges, write_wav
 from speechlake.streaming.jobs import late_rows, replay
+from speechlake.streaming.together import replay_together
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -487,6 +488,17 @@ def streamed_texts(spark, sf_dir):
     return replay(stream_chunks(spark, sf_dir), stream_models, StreamOptions(window_seconds=2.0)).drop("error")
 
 
+@query("WITH " + STREAM_EVENTS)
+def streams_together(spark, sf_dir):
+    """The same events with the windows of many streams in each call of the model."""
+
+    def load():
+        one = stream_models()
+        return {"scorer": one["scorer"], "batch_model": lambda windows, prefixes, states: [one["model"](*x) for x in zip(windows, prefixes, states, strict=True)]}
+
+    return replay_together(stream_chunks(spark, sf_dir), load, StreamOptions(window_seconds=2.0), cohort=4).drop("error")
+
+
 @query("WITH " + machine_sql("level > 0", MachineOptions(), STREAM_FRAMES).replace("user_id AS audio_id, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS seq", "user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS utterance_id"))
 def replayed_streams(spark, sf_dir):
     """Utterances of chunk streams through detection and recognition with stand-ins for the models."""

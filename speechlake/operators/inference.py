@@ -25,7 +25,8 @@ def transcribe_segments(df: DataFrame, make_model: Callable[[], Callable[[pd.Dat
     """Adds raw_text, elapsed_ms and error to each row.
 
     The model is made once in a worker; it gets rows and returns raw_text and elapsed_ms for them in order.  With
-    ``on_error="row"`` rows are tried one by one, and one that fails has ``worker: message`` in error instead of ending the job.
+    ``on_error="row"`` the rows of a call that fails are tried one by one, and one that fails then has ``worker: message`` in error
+    instead of ending the job.
     """
     if on_error not in ("raise", "row"):
         raise ValueError("on_error must be raise or row")
@@ -35,10 +36,13 @@ def transcribe_segments(df: DataFrame, make_model: Callable[[], Callable[[pd.Dat
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for pdf in batches:
-            if on_error == "raise":
+            try:
                 got = model(pdf)
                 yield pdf.assign(raw_text=got["raw_text"].to_numpy(), elapsed_ms=got["elapsed_ms"].to_numpy(), error=None)
                 continue
+            except Exception:
+                if on_error == "raise":
+                    raise
             texts, times, errors = [], [], []
             for i in range(len(pdf)):
                 try:

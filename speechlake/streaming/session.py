@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -27,6 +27,8 @@ FRAME, HOP = 400, 160
 Scorer = Callable[[np.ndarray, np.ndarray, Any], tuple[np.ndarray, Any]]
 #: Gets the window's samples, the text prefix and its state (None at the start of an utterance), and returns the text that follows and its new state.
 Model = Callable[[np.ndarray, str, Any], tuple[str, Any]]
+#: Steps of a session: calls of the model are yielded, their results sent, events returned.
+Calls = Generator[tuple[np.ndarray, str, Any], tuple[str, Any], Any]
 #: The columns of a saved session; an ended one has only the first.
 SAVED = "session string, samples binary, frames binary, levels binary, pre_roll binary, buffer binary, window binary, scorer binary, model binary"
 
@@ -146,33 +148,55 @@ class Session:
         self._rows.append(row | values)
         return self._rows[-1]
 
-    def _guarded(self, chunk_id: int, work: Callable[[], object]) -> list[dict]:
+    def _guarded(self, chunk_id: int, work: Calls) -> Calls:
         """The events told during ``work``; if it fails, one error row ends them and the stream."""
         self._rows, self._worker = [], "session"
         try:
-            work()
+            yield from work
         except Exception as e:
             self._event("error", chunk_id, error=f"{self._worker}: {e!r}")
             self.finished = self.failed = True
         return self._rows
 
-    def push(self, chunk_id: int, start_ms: int, pcm: np.ndarray, is_final: bool = False) -> list[dict]:
-        """Events of one chunk.  The final chunk closes everything; a chunk after it is an error row.
-
-        A scorer or model that raises gives one error row, named vad or asr, and ends the stream: later chunks give nothing.
-        """
+    def advance(self, chunk_id: int, start_ms: int, pcm: np.ndarray, is_final: bool = False) -> Calls:
+        """``push`` in steps: yields each call of the model as (window, prefix, state), is sent its result, and returns the events."""
         if self.failed:
             return []
         if self.finished:
             self._rows = []
             return [self._event("error", chunk_id, error="vad: audio after the end of the stream")]
 
-        def work() -> None:
-            self._chunk(chunk_id, start_ms, np.clip(np.asarray(pcm, np.float32), -1, 1), False)
+        def work() -> Calls:
+            yield from self._chunk(chunk_id, start_ms, np.clip(np.asarray(pcm, np.float32), -1, 1), False)
             if is_final:
-                self._finish(chunk_id)
+                yield from self._finish(chunk_id)
+
+        return (yield from self._guarded(chunk_id, work()))
+
+    def _driven(self, steps: Calls) -> list[dict]:
+        """Runs steps with the session's own model."""
+        result = None
+        while True:
+            try:
+                call = next(steps) if result is None else steps.send(result)
+            except StopIteration as end:
+                return end.value
+            while True:
+                try:
+                    result = self.model(*call)
+                    break
+                except Exception as e:
+                    try:
+                        call = steps.throw(e)
+                    except StopIteration as end:
+                        return end.value
+
+    def push(self, chunk_id: int, start_ms: int, pcm: np.ndarray, is_final: bool = False) -> list[dict]:
+        """Events of one chunk.  The final chunk closes everything; a chunk after it is an error row.
 
-        return self._guarded(chunk_id, work)
+        A scorer or model that raises gives one error row, named vad or asr, and ends the stream: later chunks give nothing.
+        """
+        return self._driven(self.advance(chunk_id, start_ms, pcm, is_final))
 
     def _detected(self, pcm: np.ndarray, final: bool) -> list[tuple[int, int]]:
         feats, levels = self.carry.feed(pcm, final)
@@ -186,8 +210,8 @@ class Session:
                 self.machine.feed(x, final and i == len(speech) - 1, self.machine_options)
         return self.machine.take_events()
 
-    def _chunk(self, chunk_id: int, start_ms: int, pcm: np.ndarray, final: bool) -> list[dict]:
-        o, out, fed, was = self.options, [], False, self.speaking
+    def _chunk(self, chunk_id: int, start_ms: int, pcm: np.ndarray, final: bool) -> Calls:
+        o, fed, was = self.options, False, self.speaking
         chunk_end = start_ms + round(len(pcm) * 1000 / o.sample_rate)
         self.end_ms = max(self.end_ms, chunk_end)
         begin = lambda at: self._open(at, np.concatenate((self.pre_roll, pcm)), chunk_id)
@@ -196,62 +220,61 @@ class Session:
                 if self.speaking and o.restart == "ignore":
                     continue
                 if self.speaking:
-                    out += self._close(start, chunk_id)
-                out += begin(start)
+                    yield from self._close(start, chunk_id)
+                yield from begin(start)
                 fed = self.speaking = True
                 continue
             end = end if end >= max(start, 0) else max(start, chunk_end)
             if self.speaking or was:
                 if not fed:
-                    out += self._hear(pcm, chunk_id, start_ms)
+                    yield from self._hear(pcm, chunk_id, start_ms)
             elif start >= 0:
-                out += begin(start)
+                yield from begin(start)
             else:
                 continue
             fed, self.speaking, was = True, False, False
-            out += self._close(end, chunk_id)
+            yield from self._close(end, chunk_id)
         if self.speaking and not fed:
-            out += self._hear(pcm, chunk_id, start_ms)
+            yield from self._hear(pcm, chunk_id, start_ms)
         keep = round(o.pre_roll_ms * o.sample_rate / 1000)
         self.pre_roll = _none() if self.speaking else np.concatenate((self.pre_roll, pcm))[-keep:] if keep else _none()
-        return out
 
-    def _finish(self, chunk_id: int) -> list[dict]:
-        out = self._chunk(chunk_id, self.end_ms, np.zeros(HOP, np.float32), True)
+    def _finish(self, chunk_id: int) -> Calls:
+        yield from self._chunk(chunk_id, self.end_ms, np.zeros(HOP, np.float32), True)
         if self.speaking:
-            out += self._close(self.end_ms, chunk_id)
+            yield from self._close(self.end_ms, chunk_id)
             self.speaking = False
         self.finished = True
-        return [*out, self._event("pipeline_done", chunk_id, end_ms=self.end_ms)]
+        self._event("pipeline_done", chunk_id, end_ms=self.end_ms)
 
     def timed_out(self) -> list[dict]:
         """Closes a stream that no longer sends anything."""
-        return [] if self.finished else self._guarded(-1, lambda: self._finish(-1))
+        return [] if self.finished else self._driven(self._guarded(-1, self._finish(-1)))
 
     # utterances
 
-    def _open(self, start: int, pcm: np.ndarray, chunk_id: int) -> list[dict]:
+    def _open(self, start: int, pcm: np.ndarray, chunk_id: int) -> Calls:
         self.utterance = Utterance(start_ms=start)
         self.utterances += 1
-        return [self._event("speech_start", chunk_id, start_ms=start), *self._hear(pcm, chunk_id, start)]
+        self._event("speech_start", chunk_id, start_ms=start)
+        yield from self._hear(pcm, chunk_id, start)
 
-    def _hear(self, pcm: np.ndarray, chunk_id: int, start_ms: int) -> list[dict]:
+    def _hear(self, pcm: np.ndarray, chunk_id: int, start_ms: int) -> Calls:
         if self.utterance is None:  # audio without a start opens an utterance at the chunk
             self.utterance = Utterance(start_ms=start_ms)
             self.utterances += 1
-        u, out = self.utterance, []
+        u = self.utterance
         u.buffer = np.concatenate((u.buffer, pcm))
         while len(u.buffer) >= self.step:
             part, u.buffer = u.buffer[: self.step], u.buffer[self.step :]
-            out += self._decode(part, chunk_id)
-        return out
+            yield from self._decode(part, chunk_id)
 
     def _cut_back(self, raw: str, back: int) -> str:
         if self.tokenizer is not None:
             return self.tokenizer.rollback(self.tokenizer.encode(raw), back)
         return raw[: len(raw) - back] if back < len(raw) else ""
 
-    def _decode(self, part: np.ndarray, chunk_id: int) -> list[dict]:
+    def _decode(self, part: np.ndarray, chunk_id: int) -> Calls:
         u, o = self.utterance, self.options
         u.total += len(part)
         u.window = np.concatenate((u.window, part))
@@ -259,13 +282,13 @@ class Session:
         u.window = u.window[-self.longest :]
         prefix = "" if u.chunk < o.unfixed_chunks else self._cut_back(u.raw, o.unfixed_tokens)
         self._worker = "asr"
-        text, u.memory = self.model(u.window, prefix, u.memory)
+        text, u.memory = yield u.window, prefix, u.memory
         self._worker = "session"
         u.raw = prefix + text
         u.chunk += 1
-        return self._tell(self._cut_back(u.raw, 0), False, chunk_id)
+        self._tell(self._cut_back(u.raw, 0), False, chunk_id)
 
-    def _tell(self, text: str, final: bool, chunk_id: int) -> list[dict]:
+    def _tell(self, text: str, final: bool, chunk_id: int) -> None:
         u, o = self.utterance, self.options
         revised, delta = False, ""
         if not text:
@@ -286,16 +309,14 @@ class Session:
         now = u.confirmed + u.pending
         worth = delta or revised or now != u.told if o.emit == "changed" else bool(u.pending)
         u.told = now
-        if final or not worth:
-            return []
-        end = u.start_ms + round(u.total * 1000 / o.sample_rate)
-        return [self._event("partial", chunk_id, start_ms=u.start_ms, end_ms=end, text=now, confirmed_delta=delta, confirmed_text=u.confirmed, pending_text=u.pending)]
+        if not final and worth:
+            end = u.start_ms + round(u.total * 1000 / o.sample_rate)
+            self._event("partial", chunk_id, start_ms=u.start_ms, end_ms=end, text=now, confirmed_delta=delta, confirmed_text=u.confirmed, pending_text=u.pending)
 
-    def _close(self, end: int, chunk_id: int) -> list[dict]:
+    def _close(self, end: int, chunk_id: int) -> Calls:
         u, o = self.utterance, self.options
         if u is None:
-            return []
-        out = []
+            return
         if end >= u.start_ms:
             target = round((end - u.start_ms) * o.sample_rate / 1000)
             if target < u.total:
@@ -304,11 +325,10 @@ class Session:
                 u.buffer = u.buffer[: target - u.total]
         if len(u.buffer):
             part, u.buffer = u.buffer, _none()
-            out += self._decode(part, chunk_id)
+            yield from self._decode(part, chunk_id)
         before = u.confirmed
         self._tell(u.raw, True, chunk_id)
         delta = u.confirmed[len(before) :] if u.confirmed.startswith(before) else ""
-        out.append(self._event("final", chunk_id, start_ms=u.start_ms, end_ms=end, text=u.confirmed, confirmed_delta=delta, confirmed_text=u.confirmed))
-        out.append(self._event("speech_end", chunk_id, start_ms=u.start_ms, end_ms=end))
+        self._event("final", chunk_id, start_ms=u.start_ms, end_ms=end, text=u.confirmed, confirmed_delta=delta, confirmed_text=u.confirmed)
+        self._event("speech_end", chunk_id, start_ms=u.start_ms, end_ms=end)
         self.utterance = None
-        return out

@@ -24,6 +24,7 @@ from speechlake.operators.vad_slices import sliced_segments
 from speechlake.options import MachineOptions, StreamOptions
 from speechlake.queries import EV, HOURS, ORACLE_SQL, PADDED, QUERIES, embeddings, event_rows, fixed, fixed_sql, frame_rows, merged_rows, query, segment_rows, table
 from speechlake.sources.audio_files import resample
+from speechlake.sources.event_sink import read_events, write_batch
 from speechlake.sources.tables import parse_cmvn, parse_merges, read_tokenizer_file
 from speechlake.sources.wav_ranges import read_wav_ranges, write_wav
 from speechlake.streaming.jobs import late_rows, replay
@@ -503,3 +504,15 @@ def streams_together(spark, sf_dir):
 def replayed_streams(spark, sf_dir):
     """Utterances of chunk streams through detection and recognition with stand-ins for the models."""
     return replay(stream_chunks(spark, sf_dir), stream_models).where("event_type = 'speech_end'").select("stream_id", "utterance_id", "start_ms", "end_ms")
+
+
+@query(f"WITH {EV} SELECT user_id AS stream_id, i AS result_id, event_type, CASE WHEN i % 10 < 6 THEN i % 10 // 3 WHEN i % 10 = 9 THEN 3 END AS batch_id FROM ev WHERE i % 10 < 6 OR i % 10 = 9")
+def events_written_again(spark, sf_dir):
+    """Events through the sink: two batches written twice, one that was never committed, and one by another run that repeats rows."""
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    rows = event_rows(spark, sf_dir).select(F.col("user_id").alias("stream_id"), F.col("i").alias("result_id"), "event_type", (F.col("i") % 10).alias("d"))
+    for batch in (0, 1, 0):
+        write_batch(rows.where(F.floor(F.col("d") / 3) == batch).drop("d"), batch, folder)
+    rows.where("d > 5 and d < 9").drop("d").write.parquet(f"{folder}/rows/batch_id=2")  # it stopped before its commit
+    write_batch(rows.where("d = 9 or d < 2").drop("d"), 3, folder)
+    return read_events(spark, folder, "stream_id bigint, result_id bigint, event_type string")

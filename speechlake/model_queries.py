@@ -23,7 +23,7 @@ from speechlake.operators.vad_machine import frame_state, score_frames, vad_segm
 from speechlake.operators.vad_slices import sliced_segments
 from speechlake.options import MachineOptions, StreamOptions
 from speechlake.queries import EV, HOURS, ORACLE_SQL, PADDED, QUERIES, embeddings, event_rows, fixed, fixed_sql, frame_rows, merged_rows, query, segment_rows, table
-from speechlake.sources.audio_files import resample
+from speechlake.sources.audio_files import resample, resample_pieces
 from speechlake.sources.event_sink import read_events, write_batch
 from speechlake.sources.tables import parse_cmvn, parse_merges, read_tokenizer_file
 from speechlake.sources.wav_ranges import read_wav_ranges, write_wav
@@ -245,6 +245,19 @@ def resampled_lengths(spark, sf_dir):
     return resample(recordings(spark, sf_dir, 32).withColumn("sample_rate", F.lit(22_050))).select("audio_id", F.size("samples").alias("n"))
 
 
+@query("WITH r AS (SELECT vec_id // 32 AS audio_id, count(*) * 64 AS n FROM embeddings GROUP BY 1) SELECT audio_id, CAST(round_even(n * 16000.0 / 22050.0, 0) AS BIGINT) AS n, true AS same FROM r")
+def resampled_pieces(spark, sf_dir):
+    """Recordings in pieces of 300 samples through a filter that keeps its tail; ``same``: what comes out is what the whole gives."""
+    rows = recordings(spark, sf_dir, 32).withColumn("sample_rate", F.lit(22_050))
+    cut = rows.select("audio_id", "sample_rate", "samples", F.explode(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / 300))).alias("k"))
+    cut = cut.select("audio_id", "sample_rate", (F.col("k") * 300).alias("offset"), F.slice("samples", (F.col("k") * 300 + 1).cast("int"), F.lit(300)).alias("samples"))
+    parts = F.array_sort(F.collect_list(F.struct("offset", "samples")))
+    got = resample_pieces(cut, key="audio_id").groupBy("audio_id").agg(F.flatten(F.transform(parts, lambda x: x["samples"])).alias("got"))
+    both = got.join(resample(rows).select("audio_id", "samples"), "audio_id")
+    far = F.array_max(F.zip_with("got", "samples", lambda a, b: F.abs(F.coalesce(a - b, F.lit(9.0)))))
+    return both.select("audio_id", F.size("got").cast("long").alias("n"), (far < 1e-6).alias("same"))
+
+
 def tone(hz, rate, n):
     """Samples of a sine of amplitude 0.5."""
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.sin(i * hz * (2 * np.pi) / rate) * 0.5).cast("float"))

@@ -62,3 +62,4 @@ class StreamOptions:
     revision: str = "clear"  # or keep_stable
     emit: str = "changed"  # or pending
     restart: str = "ignore"  # or close_and_reopen
+    source_rate: int | None = None  # of the chunks, where it isn't sample_rate

@@ -105,6 +105,83 @@ def resampled(x: np.ndarray, rate: int, target: int) -> np.ndarray:
     return out
 
 
+class Resampler:
+    """``resampled`` over a signal that comes in parts: what it gives, put together, is the whole signal's result at any cut.
+
+    State is three things: how many samples came, how many went, and the last samples that the filter still reaches.
+    """
+
+    def __init__(self, rate: int, target: int, seen: int = 0, made: int = 0, tail: np.ndarray | None = None):
+        if rate <= 0 or target <= 0:
+            raise ValueError(f"sample rates {rate} and {target}")
+        g = gcd(rate, target)
+        self.rate, self.target, self.up, self.down = rate, target, target // g, rate // g
+        self.weights = _weights(self.up, self.down)
+        self.seen, self.made, self.tail = seen, made, np.zeros(self.weights.shape[1]) if tail is None else tail
+
+    def feed(self, pcm: np.ndarray, final: bool = False) -> np.ndarray:
+        """The samples that are complete with ``pcm``; ``final``: all that are left."""
+        if self.rate == self.target:
+            return pcm.astype(np.float32)
+        taps = self.weights.shape[1]
+        half, x = taps // 2, np.concatenate((self.tail, pcm.astype(np.float64), np.zeros(taps if final else 0)))
+        base = self.seen - len(self.tail)
+        self.seen += len(pcm)
+        count = int(round(self.seen * self.target / self.rate)) if final else max(self.made, -(-(self.seen - half) * self.up // self.down))
+        out = np.empty(max(0, count - self.made), np.float32)
+        for a in range(0, len(out), BLOCK):
+            j = np.arange(self.made + a, self.made + min(a + BLOCK, len(out)))
+            spans = np.lib.stride_tricks.sliding_window_view(x, taps)
+            out[a : a + len(j)] = np.einsum("ij,ij->i", spans[j * self.down // self.up - half + 1 - base], self.weights[j % self.up])
+        self.made += len(out)
+        self.tail = x[max(0, min(self.made * self.down // self.up - half + 1 - base, len(x))) :]
+        return out
+
+
+def resample_pieces(pieces: DataFrame, target: int = 16_000, key: str = "path", offset: str = "offset") -> DataFrame:
+    """(key, sample_rate, offset, samples) at ``target`` of recordings in pieces (key, sample_rate, ``offset``, samples) that follow one another.
+
+    A recording's pieces pass by in order in one task, which holds one piece and the filter's tail; each gives a piece with what is
+    complete by then, the last one also what is left, so pieces together are ``resample`` of the whole.  One without a rate raises.
+    """
+    kind = pieces.schema[key].dataType.simpleString()
+    names = [key, "sample_rate", "offset", "samples"]
+
+    def rows(batches):
+        held, made = None, None  # the last piece waits, as it may be its recording's end
+
+        def told(piece, final):
+            nonlocal made
+            own, rate, at, x = piece
+            if made is None:
+                made = Resampler(rate, target)
+            if at != made.seen:
+                raise ValueError("pieces that don't follow one another")
+            first, passed = made.made if rate != target else made.seen, made.seen
+            out = made.feed(x, final)
+            made.seen = passed + len(x)
+            values = [pa.array([own], like), pa.array([target], pa.int32()), pa.array([first], pa.int64()), pa.array([out], pa.list_(pa.float32()))]
+            made = None if final else made
+            return pa.RecordBatch.from_arrays(values, names)
+
+        like = None
+        for batch in batches:
+            like = batch.schema.field(0).type
+            keys, rates, offsets = (batch.column(i).to_pylist() for i in range(3))
+            for i in range(batch.num_rows):
+                x = batch.column(3)[i]
+                piece = (keys[i], rates[i], offsets[i], x.values.to_numpy(zero_copy_only=False) if x.is_valid and len(x) else np.zeros(0, np.float32))
+                if held is not None:
+                    yield told(held, held[0] != piece[0])
+                held = piece
+        if held is not None:
+            yield told(held, True)
+
+    rows_in = pieces.select(F.col(key), F.col("sample_rate").cast("int"), F.col(offset).cast("long").alias("offset"), F.col("samples").cast("array<float>").alias("samples"))
+    ordered = rows_in.repartition(key).sortWithinPartitions(key, "offset", F.size("samples"))
+    return ordered.mapInArrow(rows, f"{key} {kind}, sample_rate int, offset long, samples array<float>")
+
+
 def resample(audio: DataFrame, target: int = 16_000, on_error: str = "raise") -> DataFrame:
     """Rows (..., sample_rate, samples) at ``target``; rows that are already stay untouched, rows without samples or rate too.
 

@@ -21,6 +21,7 @@ from speechlake.operators.features import fbank, frame_signal
 from speechlake.operators.tokens import Tokenizer
 from speechlake.operators.vad_machine import Machine
 from speechlake.options import MachineOptions, StreamOptions
+from speechlake.sources.audio_files import Resampler
 
 FRAME, HOP = 400, 160
 #: Gets (frames, 400) stacked features, their levels in dB and its state (None at the start of a stream), and returns silence scores and its new state.
@@ -93,6 +94,7 @@ class Session:
     carry: Carry = field(default_factory=Carry)
     machine: Machine = field(default_factory=Machine)
     utterance: Utterance | None = None
+    resampler: Resampler | None = None
     pre_roll: np.ndarray = field(default_factory=_none)
     speaking: bool = False
     utterances: int = 0
@@ -107,6 +109,11 @@ class Session:
     _rows: list[dict] = field(default_factory=list)
     _worker: str = "session"
 
+    def __post_init__(self):
+        o = self.options
+        if self.resampler is None and o.source_rate not in (None, o.sample_rate):
+            self.resampler = Resampler(o.source_rate, o.sample_rate)
+
     # state in columns
 
     @property
@@ -124,19 +131,22 @@ class Session:
         marks = {k: getattr(self, k) for k in ("speaking", "utterances", "results", "finished", "failed", "end_ms")}
         if self.finished:
             return (json.dumps(marks), *[None] * 8)
-        u, c = self.utterance, self.carry
+        u, c, r = self.utterance, self.carry, self.resampler
         own = u and {k: v for k, v in vars(u).items() if k not in ("buffer", "window", "memory")}
         raw = lambda x: x.astype("<f4").tobytes()
         arrays = [raw(x) for x in (c.samples, c.frames, c.levels, self.pre_roll, *((u.buffer, u.window if with_window else _none()) if u else (_none(), _none())))]
         kept = [None if x is None else pickle.dumps(x, 5) for x in (self.memory, u.memory if u else None)]
-        return (json.dumps(marks | {"started": c.started, "machine": asdict(self.machine), "utterance": own}), *arrays, *kept)
+        return (json.dumps(marks | {"started": c.started, "machine": asdict(self.machine), "utterance": own, "resampler": r and [r.seen, r.made, r.tail.tolist()]}), *arrays, *kept)
 
     @classmethod
     def load(cls, saved: tuple, **given) -> Session:
         x, arrays = json.loads(saved[0]), [np.frombuffer(b, "<f4").copy() if b is not None else _none() for b in saved[1:7]]
         samples, frames, levels, pre_roll, buffer, window = arrays
         memory, own_memory = (None if b is None else pickle.loads(bytes(b)) for b in saved[7:])
-        started, machine, own = x.pop("started", False), x.pop("machine", {}), x.pop("utterance", None)
+        started, machine, own, rates = x.pop("started", False), x.pop("machine", {}), x.pop("utterance", None), x.pop("resampler", None)
+        if rates:
+            o = given["options"]
+            given["resampler"] = Resampler(o.source_rate, o.sample_rate, *rates[:2], np.array(rates[2], np.float64))
         utterance = own and Utterance(**own, buffer=buffer, window=window, memory=own_memory)
         return cls(**given, **x, carry=Carry(samples, frames.reshape(-1, 80), levels, started), machine=Machine(**machine), utterance=utterance, pre_roll=pre_roll, memory=memory)
 
@@ -212,7 +222,9 @@ class Session:
 
     def _chunk(self, chunk_id: int, start_ms: int, pcm: np.ndarray, final: bool) -> Calls:
         o, fed, was = self.options, False, self.speaking
-        chunk_end = start_ms + round(len(pcm) * 1000 / o.sample_rate)
+        chunk_end = start_ms + round(len(pcm) * 1000 / (o.source_rate or o.sample_rate))
+        if self.resampler is not None:
+            pcm = self.resampler.feed(pcm, final)
         self.end_ms = max(self.end_ms, chunk_end)
         begin = lambda at: self._open(at, np.concatenate((self.pre_roll, pcm)), chunk_id)
         for start, end in self._detected(pcm, final):
@@ -240,7 +252,8 @@ class Session:
         self.pre_roll = _none() if self.speaking else np.concatenate((self.pre_roll, pcm))[-keep:] if keep else _none()
 
     def _finish(self, chunk_id: int) -> Calls:
-        yield from self._chunk(chunk_id, self.end_ms, np.zeros(HOP, np.float32), True)
+        o = self.options
+        yield from self._chunk(chunk_id, self.end_ms, np.zeros(HOP * (o.source_rate or o.sample_rate) // o.sample_rate, np.float32), True)
         if self.speaking:
             yield from self._close(self.end_ms, chunk_id)
             self.speaking = False

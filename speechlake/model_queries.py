@@ -16,7 +16,7 @@ from speechlake.functions import arrays
 from speechlake.operators import partials, transcripts
 from speechlake.operators.feature_slices import sliced_features
 from speechlake.operators.features import features
-from speechlake.operators.inference import split_long_audio, transcribe_segments
+from speechlake.operators.inference import split_long_audio, split_long_pieces, transcribe_segments
 from speechlake.operators.kept import shared_folder
 from speechlake.operators.tokens import byte_characters, collected, decode, encode, piece_counts
 from speechlake.operators.vad_machine import frame_state, score_frames, vad_segments
@@ -240,6 +240,14 @@ def long_audio_pieces(spark, sf_dir):
     return split_long_audio(rows, 1.0, 0.5, 0.2).select("audio_id", "piece", "offset", F.size("samples").alias("n"))
 
 
+@query(ORACLE_SQL["long_audio_pieces"])
+def long_audio_pieces_from_pieces(spark, sf_dir):
+    """The same cuts of recordings that come in pieces of 333 samples."""
+    rows = recordings(spark, sf_dir, 64).select("audio_id", "samples", F.explode(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / 333))).alias("k"))
+    rows = rows.select("audio_id", F.lit(1000).alias("sample_rate"), (F.col("k") * 333).alias("offset"), F.slice("samples", (F.col("k") * 333 + 1).cast("int"), F.lit(333)).alias("samples"))
+    return split_long_pieces(rows, 1.0, 0.5, 0.2).select("audio_id", "piece", "offset", F.size("samples").alias("n"))
+
+
 @query("WITH r AS (SELECT vec_id // 32 AS audio_id, count(*) * 64 AS n FROM embeddings GROUP BY 1) SELECT audio_id, CAST(round_even(n * 16000.0 / 22050.0, 0) AS INT) AS n FROM r")
 def resampled_lengths(spark, sf_dir):
     return resample(recordings(spark, sf_dir, 32).withColumn("sample_rate", F.lit(22_050))).select("audio_id", F.size("samples").alias("n"))

@@ -59,20 +59,26 @@ def transcribe_segments(df: DataFrame, make_model: Callable[[], Callable[[pd.Dat
     return df.mapInPandas(rows, out)
 
 
+def quiet_cut(x: np.ndarray, longest: int, around: int, width: int) -> int:
+    """Where audio of more than ``longest`` samples is cut first: at the quietest sample of the quietest ``width`` samples near the limit."""
+    left, right = max(0, longest - around), min(len(x), longest + around)
+    if right - left <= width:
+        return min(max(longest, 1), len(x))
+    level = np.abs(x[left:right].astype(np.float64))
+    total = np.concatenate(([0.0], np.cumsum(level)))
+    first = int(np.argmin(total[width:] - total[:-width]))
+    return min(max(left + first + int(np.argmin(level[first : first + width])), 1), len(x))
+
+
+def _lengths(rate: int, longest_s: float, around_s: float, quiet_s: float) -> tuple[int, int, int]:
+    return int(longest_s * rate), int(around_s * rate), max(4, int(quiet_s * rate))
+
+
 def quiet_cuts(x: np.ndarray, rate: int, longest_s: float = LONGEST_SECONDS, around_s: float = 5.0, quiet_s: float = 0.1) -> list[int]:
-    """Where long audio is cut: at the quietest sample of the quietest stretch near each limit; 0 and the end included."""
-    longest, around, width = int(longest_s * rate), int(around_s * rate), max(4, int(quiet_s * rate))
-    cuts = [0]
-    while len(x) - cuts[-1] > longest:
-        limit = cuts[-1] + longest
-        left, right = max(cuts[-1], limit - around), min(len(x), limit + around)
-        at = limit
-        if right - left > width:
-            level = np.abs(x[left:right].astype(np.float64))
-            total = np.concatenate(([0.0], np.cumsum(level)))
-            first = int(np.argmin(total[width:] - total[:-width]))
-            at = left + first + int(np.argmin(level[first : first + width]))
-        cuts.append(min(max(at, cuts[-1] + 1), len(x)))
+    """Where long audio is cut: at quiet samples near each limit; 0 and the end included."""
+    lengths, cuts = _lengths(rate, longest_s, around_s, quiet_s), [0]
+    while len(x) - cuts[-1] > lengths[0]:
+        cuts.append(cuts[-1] + quiet_cut(x[cuts[-1] : cuts[-1] + lengths[0] + lengths[1]], *lengths))
     return [*cuts, len(x)]
 
 
@@ -110,3 +116,53 @@ def split_long_audio(audio: DataFrame, longest_s: float = LONGEST_SECONDS, short
 
     schema = f"{key} {kind}, piece long, offset long, samples array<float>" + (", error string" if with_error else "")
     return audio.select(key, "sample_rate", F.col("samples").cast("array<float>").alias("samples")).mapInArrow(rows, schema)
+
+
+def split_long_pieces(pieces: DataFrame, longest_s: float = LONGEST_SECONDS, shortest_s: float = SHORTEST_SECONDS, around_s: float = 5.0, key: str = "audio_id", offset: str = "offset") -> DataFrame:
+    """The rows of ``split_long_audio`` from recordings that come in pieces (key, sample_rate, ``offset``, samples) which follow one another.
+
+    A recording's pieces pass by in order in one task.  It holds what came since the last cut, and cuts as soon as what a cut looks
+    at is there, so never more than a row that it gives and one that it gets, however long the recording is.
+    """
+    kind = pieces.schema[key].dataType.simpleString()
+
+    def rows(batches):
+        now, like = None, None
+
+        def told(final: bool):
+            """Cuts what can be cut; at the end of the recording, all."""
+            lengths = _lengths(now["rate"], longest_s, around_s, 0.1)
+            while now["n"] > lengths[0] and (final or now["n"] >= lengths[0] + lengths[1]):
+                x = np.concatenate(now["held"])
+                at = quiet_cut(x[: lengths[0] + lengths[1]], *lengths)
+                yield given(x[:at])
+                now.update(held=[x[at:]], n=len(x) - at, piece=now["piece"] + 1, at=now["at"] + at)
+            if final:
+                yield given(np.concatenate([*now["held"], np.zeros(0, np.float32)]))
+
+        def given(x):
+            values = [pa.array([now["key"]], like), pa.array([now["piece"]], pa.int64()), pa.array([now["at"]], pa.int64())]
+            return pa.RecordBatch.from_arrays([*values, pa.array([np.pad(x, (0, max(0, int(shortest_s * now["rate"]) - len(x))))], pa.list_(pa.float32()))], [key, "piece", "offset", "samples"])
+
+        for batch in batches:
+            like = batch.schema.field(0).type
+            keys, rates, offsets = (batch.column(i).to_pylist() for i in range(3))
+            for i in range(batch.num_rows):
+                x = batch.column(3)[i]
+                x = x.values.to_numpy(zero_copy_only=False) if x.is_valid and len(x) else np.zeros(0, np.float32)
+                if now is None or keys[i] != now["key"]:
+                    if now is not None:
+                        yield from told(True)
+                    if not rates[i] or rates[i] < 0:
+                        raise ValueError(f"sample rate {rates[i]}")
+                    now = {"key": keys[i], "rate": rates[i], "held": [], "n": 0, "piece": 0, "at": 0}
+                if offsets[i] != now["at"] + now["n"]:
+                    raise ValueError("pieces that don't follow one another")
+                now["held"].append(x)
+                now["n"] += len(x)
+                yield from told(False)
+        if now is not None:
+            yield from told(True)
+
+    rows_in = pieces.select(F.col(key), F.col("sample_rate").cast("int"), F.col(offset).cast("long").alias("offset"), F.col("samples").cast("array<float>").alias("samples"))
+    return rows_in.repartition(key).sortWithinPartitions(key, "offset", F.size("samples")).mapInArrow(rows, f"{key} {kind}, piece long, offset long, samples array<float>")

@@ -8,6 +8,7 @@ from speechlake.operators.feature_slices import FRONT_ENDS, audio_slices, sliced
 from speechlake.operators.features import features
 from speechlake.operators.vad_machine import segments_of, vad_segments
 from speechlake.operators.vad_slices import frame_slices, sliced_segments
+from speechlake.operators.inference import split_long_audio, split_long_pieces
 from speechlake.options import MachineOptions
 
 
@@ -89,3 +90,23 @@ def test_pieces_that_do_not_follow(spark):
     assert sliced_features(df.where("audio_id = 2"), "log_mel", slice_samples=2000).collect() == []
     with pytest.raises(ValueError):
         sliced_features(df, "log_mel", slice_samples=400)
+
+
+@pytest.mark.parametrize("longest", [1.0, 0.35])
+def test_cuts_of_cut_and_whole_recordings(spark, longest):
+    r = np.random.default_rng(7)
+    whole = {k: (r.standard_normal(n) * np.abs(np.sin(np.arange(n) / 300))).astype(np.float32) for k, n in enumerate([0, 1, 300, 999, 1000, 1001, 1200, 5000, 20_000])}
+    whole[9] = np.zeros(7000, np.float32)
+    pieces = []
+    for k, x in whole.items():
+        cuts = sorted({0, len(x), *r.integers(0, len(x) + 1, 9).tolist()})
+        pieces += [(k, 1000, a, x[a:b].tolist(), 1) for a, b in zip(cuts, cuts[1:], strict=False)] or [(k, 1000, 0, None, 1)]
+    r.shuffle(pieces)
+    df = spark.createDataFrame([(int(a), int(b), int(c), d, int(e)) for a, b, c, d, e in pieces], "audio_id long, sample_rate int, offset long, samples array<float>, piece int")
+    audio = spark.createDataFrame([(k, 1000, x.tolist()) for k, x in whole.items()], "audio_id long, sample_rate int, samples array<float>")
+    rows = lambda df: sorted((x.audio_id, x.piece, x.offset, x.samples) for x in df.collect())
+    want = rows(split_long_audio(audio, longest, 0.5, 0.2))
+    assert rows(split_long_pieces(df, longest, 0.5, 0.2)) == want and len(want) > 30
+    with pytest.raises(Exception, match="follow"):
+        split_long_pieces(df.where("offset > 0 and audio_id = 8"), longest).collect()
+    assert split_long_pieces(df.limit(0)).collect() == []

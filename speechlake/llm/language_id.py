@@ -1,7 +1,7 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Counts of (language, bucket) are gathered by Spark from labelled texts; the log-probability matrix, languages x buckets, is
-broadcast.  Scoring is a sparse matrix product in numpy: each n-gram of a text picks its row of the matrix, and rows are
+broadcast - in passes over slices of the languages where they are many, of which the best is kept.  Scoring is a sparse matrix product in numpy: each n-gram of a text picks its row of the matrix, and rows are
 summed per text.  An n-gram is a run of lower-cased code points, so equal texts always get equal predictions.
 """
 
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from speechlake.llm.common import settle
+
 #: Buckets that n-grams are hashed to.
 BUCKETS = 1 << 15
 #: Lengths of n-grams, 3 at most.
@@ -25,8 +27,10 @@ SMOOTHING = 0.2
 SAMPLE = 20_000
 #: Labelled texts of each language that it learns from at least, about; of a language with fewer, all.
 LEAST = 1_000
-#: Languages that one vectorised step scores at most.  All are learned; each takes BUCKETS doubles of the broadcast.
+#: Languages that one vectorised step scores at most.
 SLICE = 64
+#: Languages whose matrix is broadcast at once, 64 MB at most; with more, texts are scored in several passes.
+AT_ONCE = 256
 #: Code points that one vectorised step takes at most; a longer text is cut, and the pieces' sums are added.
 PIECE = 1 << 17
 UNKNOWN = "und"
@@ -76,8 +80,13 @@ class Model:
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the most likely language of each text, and its posterior."""
+        best, _, rest = self.likely(texts)
+        return best, 1 / rest
+
+    def likely(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the most likely language of each text, its log score, and the sum over all languages of what they have of it."""
         if not texts:
-            return np.zeros(0, int), np.zeros(0)
+            return np.zeros(0, int), np.zeros(0), np.zeros(0)
         total = np.repeat(self.priors[None, :], len(texts), 0)
         for pieces in pieces_of(texts):
             index = np.array([i for i, _, _ in pieces])
@@ -86,8 +95,35 @@ class Model:
                 edges[0::2], edges[1::2] = starts, starts + sizes
                 for k in range(0, len(self.languages), SLICE):
                     np.add.at(total[:, k : k + SLICE], index, np.add.reduceat(self.matrix[:, k : k + SLICE][buckets], edges, 0)[0::2])
-        top = total.max(1, keepdims=True)
-        return total.argmax(1), 1 / np.exp(total - top).sum(1)
+        top = total.max(1)
+        return total.argmax(1), top, np.exp(total - top[:, None]).sum(1)
+
+
+@dataclass(frozen=True)
+class Slices:
+    """A model of more languages than are broadcast at once: ``counted`` (lang, bucket, n) stays a table."""
+
+    languages: tuple[str, ...]
+    priors: np.ndarray
+    counted: DataFrame
+
+    def models(self):
+        """Models of ``AT_ONCE`` languages each, one after the other; priors are those among all."""
+        for a in range(0, len(self.languages), AT_ONCE):
+            own = self.languages[a : a + AT_ONCE]
+            yield Model(own, self.priors[a : a + AT_ONCE], log_matrix(self.counted.where(F.col("lang").between(own[0], own[-1])), own))
+
+
+def log_matrix(counted: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
+    """Log probabilities, buckets x languages, from rows (lang, bucket, n)."""
+    rows = counted.select("lang", "bucket", "n").toArrow()
+    at = {lang: i for i, lang in enumerate(languages)}
+    counts = np.zeros((BUCKETS, len(languages)))
+    counts[rows.column("bucket").to_numpy(), [at[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
+    totals = counts.sum(0) + SMOOTHING * BUCKETS
+    np.log(counts + SMOOTHING, out=counts)
+    counts -= np.log(totals)
+    return counts
 
 
 def _counts(batches):
@@ -104,7 +140,7 @@ def _counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(total[found])], ["lang", "bucket", "n"])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | Slices | None:
     """A model from rows of (doc_id, text, lang) with nothing null; None where there are no rows.
 
     Every language is learned.  About ``sample`` texts are used, picked by a hash of the id, and as many more as give each
@@ -118,14 +154,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, share long"))
     picked = labelled.join(shares, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(whole)) < F.col("share"))
     counted = picked.select("text", "lang").mapInArrow(_counts, "lang string, bucket long, n long")
-    counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     languages = tuple(sorted(priors))
-    at = {lang: i for i, lang in enumerate(languages)}
-    counts = np.zeros((BUCKETS, len(languages)))
-    counts[counted["bucket"].to_numpy(), [at[x] for x in counted["lang"]]] = counted["n"].to_numpy()
-    matrix = np.log(counts + SMOOTHING) - np.log(counts.sum(0) + SMOOTHING * BUCKETS)
     prior = np.log(np.array([priors[x] for x in languages], float)) - np.log(n)
-    return Model(languages, prior, matrix)
+    if len(languages) > AT_ONCE:
+        return Slices(languages, prior, settle(counted, "counted"))
+    return Model(languages, prior, log_matrix(counted, languages))
 
 
 def predictor(df: DataFrame, model: Model | None):
@@ -145,12 +179,47 @@ def predictor(df: DataFrame, model: Model | None):
     return predict
 
 
+def in_passes(df: DataFrame, slices: Slices, columns: list[Column]) -> DataFrame:
+    """``columns`` of ``df`` and the struct p of ``predictor``: texts (column ``text``) are scored slice by slice, and the best is kept."""
+    rows = settle(df.select(F.struct(*columns).alias("kept"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found, kind = None, "row long, lang string, top double, rest double"
+    for model in slices.models():
+        shared = df.sparkSession.sparkContext.broadcast(model)
+
+        def score(batches, shared=shared):
+            model = shared.value
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                good = [i for i, t in enumerate(texts) if has_letter(t)]
+                best, top, rest = model.likely([texts[i] for i in good])
+                langs = pa.array([model.languages[k] for k in best], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(good, pa.int64())), langs, pa.array(top, pa.float64()), pa.array(rest, pa.float64())], ["row", "lang", "top", "rest"])
+
+        part = settle(rows.select("row", "text").mapInArrow(score, kind), "pass")
+        shared.destroy()
+        found = part if found is None else found.union(part)
+    each = F.struct("top", "lang", "rest")
+    best = found.groupBy("row").agg(F.max("top").alias("top"), F.collect_list(each).alias("all"))  # one of each pass
+    lang = F.array_min(F.transform(F.filter("all", lambda x: x["top"] == F.col("top")), lambda x: x["lang"]))  # the first in order
+    total = F.aggregate("all", F.lit(0.0), lambda a, x: a + x["rest"] * F.exp(x["top"] - F.col("top")))
+    best = best.select("row", F.struct(lang.alias("lang_pred"), (1 / total).alias("score")).alias("p"))
+    none = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return rows.join(best, "row", "left").select("kept.*", F.coalesce("p", none).alias("p"))
+
+
+def with_prediction(df: DataFrame, model: Model | Slices | None, columns: list[Column]) -> DataFrame:
+    """``columns`` of ``df`` and p, the struct of lang_pred and score of its column ``text``."""
+    if isinstance(model, Slices):
+        return in_passes(df, model, columns)
+    return df.select(*columns, predictor(df, model)(F.col("text").cast("string")).alias("p"))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text, modulo 4, is 2 (null id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model | Slices | None:
     """The model learned from rows of ``docs`` with an id, a text and a language that aren't held out."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return fit(own.where("doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id"))), sample)
@@ -158,8 +227,8 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of ``docs``: doc_id, text, lang.  Other columns are ignored."""
-    predict = predictor(docs, fitted(docs, sample))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), predict(F.col("text").cast("string")).alias("p"))
+    doc_id = F.col("doc_id").cast("long")
+    rows = with_prediction(docs, fitted(docs, sample), [doc_id.alias("doc_id"), held_out(doc_id).alias("held_out")])
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
@@ -171,6 +240,5 @@ def identified(docs: DataFrame, least_score: float = 0.0, sample: int = SAMPLE)
     model = fitted(docs, sample)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    columns = [F.col(c) for c in docs.columns]
-    predict = predictor(docs, model)
-    return docs.select(F.struct(*columns).alias("row"), predict(F.col("text").cast("string")).alias("p")).where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least_score)).select("row.*")
+    rows = with_prediction(docs, model, [F.struct(*[F.col(c) for c in docs.columns]).alias("row")])
+    return rows.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least_score)).select("row.*")

@@ -91,3 +91,24 @@ def test_all_languages_are_learned(spark):
             assert abs(np.exp(model.priors[k]) - sum(x[2] == lang for x in rows) / len(rows)) < 1e-9
         got = {x.doc_id: x.lang_pred for x in predictions(df, sample).where("doc_id < 1010").collect()}
         assert all(got[i] == lang for i, _, lang in data if i in got)
+
+
+def test_passes_over_slices_predict_the_same(spark, monkeypatch):
+    """More languages than are broadcast at once are scored in passes, with equal results and one slice in memory."""
+    import speechlake.llm.language_id as m
+
+    own = {f"l{k:02d}": "".join(map(chr, range(0x4E00 + 7 * k, 0x4E14 + 7 * k))) for k in range(40)}
+    r = random.Random(2)
+    data = [(4 * i + j, "".join(r.choices(text, k=12)), lang, 1) for i, (lang, text) in enumerate(own.items()) for j in range(4)]
+    data += [(900, None, "l01", 1), (901, "12", "l02", 1), (902, own["l03"] + own["l30"], None, 1), (None, "x y", None, 1), (None, "x y", None, 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, row int")
+    want = sorted(predictions(df).collect(), key=str)
+    kept = sorted(map(str, identified(df, 0.6).collect()))
+    sizes = []
+    real = m.log_matrix
+    monkeypatch.setattr(m, "log_matrix", lambda counted, languages: sizes.append(len(languages)) or real(counted, languages))
+    monkeypatch.setattr(m, "AT_ONCE", 9)
+    got = sorted(predictions(df).collect(), key=str)
+    assert [(x.doc_id, x.held_out, x.lang_pred) for x in got] == [(x.doc_id, x.held_out, x.lang_pred) for x in want]
+    assert max(abs(x.score - y.score) for x, y in zip(got, want, strict=True)) < 1e-12 and sizes == [9, 9, 9, 9, 4]
+    assert sorted(map(str, identified(df, 0.6).collect())) == kept and 0 < len(kept) < len(data)

@@ -18,14 +18,14 @@ from speechlake.operators.feature_slices import sliced_features
 from speechlake.operators.features import features
 from speechlake.operators.inference import split_long_audio, split_long_pieces, transcribe_segments
 from speechlake.operators.kept import shared_folder
-from speechlake.operators.tokens import byte_characters, collected, decode, encode, piece_counts
+from speechlake.operators.tokens import byte_characters, collected, decode, encode, order_special_tokens, piece_counts
 from speechlake.operators.vad_machine import frame_state, score_frames, vad_segments
 from speechlake.operators.vad_slices import sliced_segments
 from speechlake.options import MachineOptions, StreamOptions
 from speechlake.queries import EV, HOURS, ORACLE_SQL, PADDED, QUERIES, embeddings, event_rows, fixed, fixed_sql, frame_rows, merged_rows, query, segment_rows, table
 from speechlake.sources.audio_files import resample, resample_pieces
 from speechlake.sources.event_sink import read_events, write_batch
-from speechlake.sources.tables import parse_cmvn, parse_merges, read_tokenizer_file
+from speechlake.sources.tables import parse_cmvn, parse_merges, read_tokenizer_file, write_segments
 from speechlake.sources.wav_ranges import read_wav_ranges, write_wav
 from speechlake.streaming.jobs import late_rows, replay
 from speechlake.streaming.together import replay_together
@@ -417,6 +417,32 @@ def token_round_trips(spark, sf_dir):
     return rows.select("doc_id", F.length("decoded").cast("long").alias("n_chars"), (F.col("decoded") == F.col("text")).alias("same"))
 
 
+#: A word that stands for a special token, and a longer one that begins with it.
+SPECIAL = ("<|s|>", "<|s|> of")
+
+
+@query(f"""WITH t AS (SELECT doc_id, replace(text, ' the ', ' {SPECIAL[0]} ') AS t FROM documents),
+n AS (SELECT doc_id, (length(t) - length(replace(t, '{SPECIAL[1]}', ''))) // {len(SPECIAL[1])} AS longer, (length(t) - length(replace(t, '{SPECIAL[0]}', ''))) // {len(SPECIAL[0])} AS n FROM t)
+SELECT doc_id, coalesce(longer, 0) AS longer, coalesce(n - longer, 0) AS shorter FROM n""")
+def special_tokens_matched(spark, sf_dir):
+    """Special tokens in texts: where one begins another, the longest that fits is taken."""
+    vocab, merges, added = read_tokenizer_file(spark, f"file://{tokenizer_path()}")
+    added = added.unionByName(spark.createDataFrame([(SPECIAL[0], 100_001), (SPECIAL[1], 100_002)], "token string, id long"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" the "), F.lit(f" {SPECIAL[0]} ")).alias("text"))
+    ids = encode(rows, collected(vocab, merges, order_special_tokens(added)))
+    count = lambda i: F.size(F.filter("ids", lambda x: x == i)).cast("long")
+    return ids.select("doc_id", count(100_002).alias("longer"), count(100_001).alias("shorter"))
+
+
+@query(f"WITH {PADDED} SELECT audio_id, seq, start_ms, end_ms, CAST(audio_id % 4 AS INT) AS part FROM merged")
+def segments_written(spark, sf_dir):
+    """Merged segments written to directories by a value and read back."""
+    folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    rows = merged_rows(spark, sf_dir).select("audio_id", "seq", "start_ms", "end_ms", (F.col("audio_id") % 4).cast("int").alias("part"))
+    write_segments(rows, folder, ["part"])
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def tokens_sql(source: str) -> str:
     """A recursive query up to ``toks``: (doc_id, part, place, k, token, id), with every piece merged by rank."""
     alphabet = ", ".join("'" + c.replace("'", "''") + "'" for c in byte_characters())

@@ -660,6 +660,20 @@ def token_lookups(spark, sf_dir):
     return known.select("item_id", F.lit(True).alias("known")).union(unknown.select("item_id", F.lit(False))).groupBy("item_id").agg(F.max("known").alias("known"))
 
 
+@query("""SELECT o_orderkey AS item_id, count(p_name) AS n, md5(coalesce(string_agg(p_name, '|' ORDER BY l_linenumber, l_partkey), '')) AS tokens FROM orders
+LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 3 <> 0 AND p_partkey % 7 <> 0 GROUP BY 1""")
+def tokens_of_ids(spark, sf_dir):
+    """Each order's parts as ids, looked up again: every third is unknown and skipped, every seventh special and left out."""
+    from speechlake.operators.tokens import ids_to_tokens
+
+    parts, lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("token")), table(spark, sf_dir, "lineitem")
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    ids = lines.groupBy(F.col("l_orderkey").alias("item_id")).agg(F.transform(ordered, lambda x: x["l_partkey"]).alias("ids"))
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id")).join(ids, "item_id", "left")
+    rows = ids_to_tokens(items, parts.where("id % 3 <> 0"), parts.where("id % 7 = 0"))
+    return rows.select("item_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", "|")).alias("tokens"))
+
+
 @query(f"""WITH {EV}, a AS (SELECT user_id AS stream_id, i AS chunk_id, start_ms, (start_ms + (i * 7919 + user_id * 104729) % 172800000) // 43200000 AS batch FROM ev),
 n AS (SELECT batch, max(max(start_ms)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000 AS watermark FROM a GROUP BY batch),
 l AS (SELECT a.*, start_ms < greatest(0, coalesce(watermark, 0)) AS late FROM a JOIN n USING (batch))

@@ -65,15 +65,16 @@ def _limits(*ms: int) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if any(ms) else GroupStateTimeout.NoTimeout
 
 
-def stream_events(chunks: DataFrame, load: Loader, options: StreamOptions = StreamOptions(), timeout_ms: int = 0, ended_ms: int = 3_600_000) -> DataFrame:
+def stream_events(chunks: DataFrame, load: Loader, options: StreamOptions = StreamOptions(), timeout_ms: int = 0, ended_ms: int = 0) -> DataFrame:
     """The same rows from a stream of chunks, with a session's state kept per stream.
 
-    Chunks of one stream must arrive in order of start_ms from batch to batch; within a batch they are sorted.  The end marker
+    Chunks of one stream must arrive in order of start_ms from batch to batch (else see ``ordered_events``); within a batch they are sorted.  The end marker
     closes a stream; with ``timeout_ms`` one that sends nothing for so long is closed too, and its state dropped.  Of a closed
-    stream only a mark stays, for ``ended_ms`` after its last chunk: till then what it still sends is an error row, later a new stream.
+    stream only a mark stays, with ``ended_ms`` for so long after its last chunk, else with the checkpoint: till then what it still sends is
+    an error row, later a new stream.
 
-    While a time limit runs Spark always plans another batch, so a query with one doesn't end by itself; for a run over what is
-    there (``availableNow``) set both to 0: marks then stay with the checkpoint.
+    While a time limit runs Spark always plans another batch, so a query with one doesn't end by itself; a run over what is there
+    (``availableNow``) ends only without.
     """
     load = once(load)
 
@@ -97,7 +98,7 @@ def stream_events(chunks: DataFrame, load: Loader, options: StreamOptions = Stre
 ROUTED = "stream_id string, chunk_id bigint, start_ms bigint, n_samples bigint, late string"
 
 
-def routed_chunks(chunks: DataFrame, delay_ms: int | None = None, ended_ms: int = 3_600_000) -> DataFrame:
+def routed_chunks(chunks: DataFrame, delay_ms: int | None = None, ended_ms: int = 0) -> DataFrame:
     """(stream_id, chunk_id, start_ms, n_samples, late) of a stream of chunks (stream_id, chunk_id, start_ms, n_samples, is_final).
 
     ``late`` is null for a chunk in time, ``ended`` for one that starts after its stream's end marker, and ``behind`` for one that

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import WordHashes, settle, slices, utf8
+from speechlake.llm.common import WordHashes, discard, settle, slices, utf8
 
 WINDOW = 10
 #: Bytes of text in a segment, about; a longer document is a segment of its own.
@@ -309,6 +309,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     windows, classes = item_windows(items, window)
     index = build_index(docs, windows.select(F.explode("terms").alias("term")).distinct())
     found = settle(phrase_matches(index, windows, window, block), "found")
+    discard(index)
     named = settle(named_items(found.where(F.size("classes") > 0), classes), "named")
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     own = lambda df, n, sha: df.select("doc_id", "n_words", length.alias("n_hit"), n.alias("n_items"), F.coalesce(sha, F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")

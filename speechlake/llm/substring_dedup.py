@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import WordHashes, settle, slices, utf8
+from speechlake.llm.common import WordHashes, discard, settle, slices, utf8
 
 MIN_WORDS = 50
 SEED_WORDS = 25
@@ -148,17 +148,21 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
 
     seeds = settle(some.mapInArrow(_seed_rows(min_words, seed_words), "seed long, doc_id long, text_key long"), "seeds")
     shared = lambda df: settle(df.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "shared")
-    met = settle(seeds.join(shared(seeds.select("seed")), "seed"), "met")  # settled, or the planner would shuffle all seeds for the next join first
-    met = settle(met.join(firsts, row, "left_semi"), "met")
+    several = settle(seeds.join(shared(seeds.select("seed")), "seed"), "met")  # settled, or the planner would shuffle all seeds for the next join first
+    discard(seeds)
+    met = settle(several.join(firsts, row, "left_semi"), "met")
+    discard(several)
     wanted = met.join(shared(met), "seed").groupBy(*row).agg(F.collect_set("seed").alias("seeds"))
 
     windows = some.join(wanted.hint("shuffle_hash"), row).mapInArrow(_window_rows(min_words, seed_words), "seed long, window long, doc_id long, text_key long, start long")
     windows = settle(windows, "windows")
     key = ["seed", "window"]
     least = windows.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    discard(met)
     hits = windows.join(settle(least.drop("last_id"), "least"), key).where("doc_id > first_id")
     gone = hits.groupBy(*row).agg(F.collect_set("start").alias("starts"), F.lit(False).alias("is_copy"))
     gone = settle(gone.union(copies.select(*row, F.array().cast("array<long>"), F.lit(True))), "gone")
+    discard(texts, classes, windows)
     out = docs.join(gone.hint("shuffle_hash"), row, "left").select("doc_id", "text", "starts", "is_copy")
     return out.mapInArrow(_kept_rows(min_words), "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats string, kept string")
 

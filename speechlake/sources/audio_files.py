@@ -122,6 +122,8 @@ class Resampler:
     def feed(self, pcm: np.ndarray, final: bool = False) -> np.ndarray:
         """The samples that are complete with ``pcm``; ``final``: all that are left."""
         if self.rate == self.target:
+            self.seen += len(pcm)
+            self.made = self.seen
             return pcm.astype(np.float32)
         taps = self.weights.shape[1]
         half, x = taps // 2, np.concatenate((self.tail, pcm.astype(np.float64), np.zeros(taps if final else 0)))
@@ -157,9 +159,8 @@ def resample_pieces(pieces: DataFrame, target: int = 16_000, key: str = "path",
                 made = Resampler(rate, target)
             if at != made.seen:
                 raise ValueError("pieces that don't follow one another")
-            first, passed = made.made if rate != target else made.seen, made.seen
+            first = made.made
             out = made.feed(x, final)
-            made.seen = passed + len(x)
             values = [pa.array([own], like), pa.array([target], pa.int32()), pa.array([first], pa.int64()), pa.array([out], pa.list_(pa.float32()))]
             made = None if final else made
             return pa.RecordBatch.from_arrays(values, names)

@@ -131,7 +131,7 @@ class OrderedSessions(StatefulProcessor):
                 at = (event_ms, start_ms, chunk_id, 0)
                 while self.waiting.containsKey(at):
                     at = (*at[:3], at[3] + 1)
-                self.waiting.updateValue(at, (pcm.tobytes(), c.is_final is True or bool(c.is_final == True)))  # noqa: E712
+                self.waiting.updateValue(at, (pcm.tobytes(), bool(c.is_final) if pd.notna(c.is_final) else False))
                 marks["newest"] = event_ms if marks["newest"] is None else max(marks["newest"], event_ms)
         out: list[dict] = []
         if marks["newest"] is not None:

@@ -83,26 +83,23 @@ def subkey(key: str, kind: str) -> str:
 
 def permuted(elements: Column, radices: Column, key: str, kind: str) -> Column:
     """Keyed permutation of ``elements`` (array<long>, each below its radix), within the same radices."""
-    n = F.size(elements)
-    half = F.greatest(F.lit(1), F.floor(n / 2).cast("int"))
 
     def shifted(part: Column, other: Column, r: Column, own: Column) -> Column:
         said = F.concat_ws("|", F.lit(subkey(key, kind)), r, F.size(part), F.concat_ws(",", F.transform(other, lambda x: x.cast("string"))))
-        moved = lambda x, i: F.pmod(x + F.conv(F.substring(F.sha2(F.concat_ws("|", said, i), 256), 1, 14), 16, 10).cast("long"), F.element_at(own, i + 1))
-        return F.transform(part, moved)
+        moved = lambda said, x, i: F.pmod(x + F.conv(F.substring(F.sha2(F.concat_ws("|", said, i), 256), 1, 14), 16, 10).cast("long"), F.element_at(own, i + 1))
+        return bound(said, lambda said: F.transform(part, lambda x, i: moved(said, x, i)))
 
-    def network(s: Column) -> Column:
-        own = lambda name: s[name]
+    def halves(s: Column) -> Column:
+        """Halves change places after each round; there is an even number of rounds, so they end where they were."""
+        n = F.size(s["e"])
+        half = F.greatest(F.lit(1), F.floor(n / 2).cast("int"))
+        cut = lambda a: (F.slice(a, 1, half), F.slice(a, half + 1, n))
+        names = ("l", "r", "rl", "rr")
+        struct = lambda *parts: F.struct(*(x.alias(name) for x, name in zip(parts, names)))
+        step = lambda a, r: struct(a["r"], shifted(a["l"], a["r"], r, a["rl"]), a["rr"], a["rl"])
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), struct(*cut(s["e"]), *cut(s["own"])), step, lambda a: F.concat(a["l"], a["r"]))
 
-        def step(a: Column, r: Column) -> Column:
-            left = F.when(r % 2 == 0, shifted(a["l"], a["r"], r, own("rl"))).otherwise(a["l"])
-            right = F.when(r % 2 == 1, shifted(a["r"], a["l"], r, own("rr"))).otherwise(a["r"])
-            return F.struct(left.alias("l"), right.alias("r"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(s["l"].alias("l"), s["r"].alias("r")), step, lambda a: F.concat(a["l"], a["r"]))
-
-    cut = lambda a, first: F.slice(a, 1, half) if first else F.slice(a, half + 1, n)
-    return bound(F.struct(cut(elements, True).alias("l"), cut(elements, False).alias("r"), cut(radices, True).alias("rl"), cut(radices, False).alias("rr")), network)
+    return bound(F.struct(elements.alias("e"), radices.alias("own")), halves)
 
 
 def _digits(s: Column) -> Column:
@@ -127,8 +124,12 @@ def _luhn(digits: Column, check_follows: bool) -> Column:
 
 def _refilled(shape: Column, fill: Column) -> Column:
     """``shape`` with its letters and digits replaced by the characters of ``fill`` in turn."""
-    step = lambda a, c: F.struct((a["i"] + c.rlike("[A-Za-z0-9]").cast("int")).alias("i"), F.concat(a["out"], F.when(c.rlike("[A-Za-z0-9]"), F.substring(fill, a["i"] + 1, F.lit(1))).otherwise(c)).alias("out"))
-    return F.aggregate(F.split(shape, ""), F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), step, lambda a: a["out"])
+
+    def filled(fill: Column) -> Column:
+        step = lambda a, c: F.struct((a["i"] + c.rlike("[A-Za-z0-9]").cast("int")).alias("i"), F.concat(a["out"], F.when(c.rlike("[A-Za-z0-9]"), F.substring(fill, a["i"] + 1, F.lit(1))).otherwise(c)).alias("out"))
+        return F.aggregate(F.split(shape, ""), F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), step, lambda a: a["out"])
+
+    return bound(fill, filled)
 
 
 def _bare(m: Column) -> Column:
@@ -184,11 +185,14 @@ def _class(c: Column) -> Column:
 
 def _letters(s: Column, key: str, kind: str) -> Column:
     """A string of letters and digits permuted character by character within digits, small and capital letters."""
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    elements = F.transform(chars, lambda c: (F.position(c, _class(c)) - 1).cast("long"))
-    radices = F.transform(chars, lambda c: F.length(_class(c)).cast("long"))
-    new = permuted(elements, radices, key, kind)
-    return F.array_join(F.zip_with(new, chars, lambda x, c: F.substring(_class(c), (x + 1).cast("int"), F.lit(1))), "")
+
+    def made(chars: Column) -> Column:
+        elements = F.transform(chars, lambda c: (F.position(c, _class(c)) - 1).cast("long"))
+        radices = F.transform(chars, lambda c: F.length(_class(c)).cast("long"))
+        new = permuted(elements, radices, key, kind)
+        return F.array_join(F.zip_with(new, chars, lambda x, c: F.substring(_class(c), (x + 1).cast("int"), F.lit(1))), "")
+
+    return bound(F.filter(F.split(s, ""), lambda c: c != ""), made)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -226,16 +230,19 @@ def _date(m: Column, key: str) -> Column:
         year, month, day = F.when(year_first, p[0]).otherwise(p[2]), F.when(year_first, p[1]).when(day_first, p[1]).otherwise(p[0]), F.when(year_first, p[2]).when(day_first, p[0]).otherwise(p[1])
         number = F.date_diff(F.try_to_date(F.concat_ws("-", year, month, day), "y-M-d"), F.lit(FIRST_DAY).cast("date")).cast("long")
 
-        def back(x: Column) -> Column:
-            new = F.date_add(F.lit(FIRST_DAY).cast("date"), (x[0] * CYCLE[1] + x[1]).cast("int"))
+        def back(new: Column) -> Column:
             wide = lambda v, old: F.when(F.length(old) == 2, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
             sign = F.substring(F.regexp_replace(m, "[0-9]", ""), 1, 1)
             y, mo, d = F.lpad(F.year(new).cast("string"), 4, "0"), F.month(new), F.day(new)
             return F.when(year_first, F.concat(y, sign, wide(mo, p[1]), sign, wide(d, p[2]))).when(day_first, F.concat(wide(d, p[0]), sign, wide(mo, p[1]), sign, y)).otherwise(F.concat(wide(mo, p[0]), sign, wide(d, p[1]), sign, y))
 
-        inside = (number >= 0) & (number < CYCLE[0] * CYCLE[1])
-        elements = F.array(F.floor(number / CYCLE[1]).cast("long"), number % CYCLE[1])
-        return F.when(inside, bound(permuted(elements, F.array(_long(CYCLE[0]), _long(CYCLE[1])), key, "date"), back))
+        def moved(number: Column) -> Column:
+            elements = F.array(F.floor(number / CYCLE[1]).cast("long"), number % CYCLE[1])
+            day = lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x[0] * CYCLE[1] + x[1]).cast("int"))
+            new = bound(permuted(elements, F.array(_long(CYCLE[0]), _long(CYCLE[1])), key, "date"), day)
+            return F.when((number >= 0) & (number < CYCLE[0] * CYCLE[1]), bound(new, back))
+
+        return bound(number, moved)
 
     return bound(F.split(m, "[-/.]"), made)
 
@@ -266,19 +273,20 @@ def _runs(m: Column, key: str) -> Column:
         def iban(i: Column) -> Column:
             """The most groups from ``i`` on that are an IBAN."""
             def good(n: Column) -> Column:
-                return joined(i, n).rlike("^" + SHAPES["iban"] + "[^A-Za-z0-9]*$") & bound(_bare(joined(i, n)), _iban_valid)
+                return bound(joined(i, n), lambda x: x.rlike("^" + SHAPES["iban"] + "[^A-Za-z0-9]*$") & bound(_bare(x), _iban_valid))
 
             sizes = F.filter(F.sequence(F.least(F.lit(9), F.size(groups) - i), F.lit(1), F.lit(-1)), good)
             return F.when(groups[i].rlike("^[A-Z]{2}[0-9]{2}"), F.try_element_at(sizes, F.lit(1)))
 
         def card(i: Column) -> Column:
             """The groups from ``i`` on that are a card: in one of GROUPINGS, or all that are left if nothing else is in them."""
-            sizes = [F.when(joined(i, F.lit(n)).rlike(shape) & _luhn_valid(joined(i, F.lit(n))), F.lit(n)) for n, shape in GROUPINGS]
+            sizes = [bound(joined(i, F.lit(n)), lambda x: F.when(x.rlike(shape) & _luhn_valid(x), F.lit(n))) for n, shape in GROUPINGS]
             every = lambda x: x.rlike("^" + SHAPES["card"] + "[^A-Za-z0-9]*$") & ~x.rlike("|".join(SHAPES[k] for k in OTHERS)) & ~x.rlike(YEARS) & _luhn_valid(x)
             left = F.when(F.size(groups) - i <= 19, F.when(bound(joined(i, F.size(groups) - i), every), F.size(groups) - i))
             return F.when(groups[i].rlike("^[0-9]"), F.coalesce(*sizes, left))
 
-        at = lambda i: F.coalesce(F.when(iban(i).isNotNull(), F.struct(i.alias("at"), iban(i).alias("n"), F.lit(True).alias("iban"))), F.struct(i.alias("at"), F.coalesce(card(i), F.lit(0)).alias("n"), F.lit(False).alias("iban")))
+        span = lambda i, n, is_iban: F.struct(i.alias("at"), n.alias("n"), F.lit(is_iban).alias("iban"))
+        at = lambda i: F.coalesce(bound(iban(i), lambda n: F.when(n.isNotNull(), span(i, n, True))), span(i, F.coalesce(card(i), F.lit(0)), False))
         found = F.filter(F.transform(groups, lambda _, i: at(i)), lambda x: x["n"] > 0)
         step = lambda a, x: F.when(F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) <= x["at"], F.concat(a, F.array(F.struct(x["at"].alias("at"), (x["at"] + x["n"]).alias("end"), x["iban"].alias("iban"))))).otherwise(a)
         spans = F.aggregate(found, F.array().cast("array<struct<at:int,end:int,iban:boolean>>"), step)

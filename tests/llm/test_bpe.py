@@ -88,3 +88,14 @@ def test_round_trip(spark, both):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert {(x.doc_id, len(x.ids)) for x in encoded(df, PATH).collect()} == {(i, n) for i, n, *_ in want}
     assert round_trip(df.limit(0), PATH).collect() == []
+
+
+def test_very_long_texts(spark, both):
+    _, theirs = both
+    r = random.Random(21)
+    rows = [(1, " ".join("".join(r.choices("etaoinshrdlu", k=r.randint(1, 12))) for _ in range(150_000))), (2, "x" * 300_000), (3, "é" * 100_000 + " end"), (4, "short")]
+    got = {x.doc_id: x for x in round_trip(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    for i, t in rows:
+        ids = theirs.encode(t, add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()

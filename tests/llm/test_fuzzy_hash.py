@@ -133,3 +133,16 @@ def test_ranges_and_edge_rows(spark, monkeypatch):
     assert fingerprint_pairs(df.limit(0)).collect() == []
     single = fingerprint_pairs(df.where("doc_id = 3")).collect()
     assert len(single) == 1 and single[0].near_next == 1.0
+
+
+def test_very_long_texts(spark):
+    r = random.Random(8)
+    text = "".join(r.choices("abcdefgh é", k=2_000_000))
+    rows = [(1, text), (2, "short"), (3, text[:900_000] + "some words put in" + text[900_000:]), (4, "z" * 3_000_000)]
+    got = {x.doc_id: x for x in fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = {i: fingerprints([t.encode()]) for i, t in rows}
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        n = len(t) // 4
+        edited = t[: len(t) - n] + after[:n]
+        assert (got[i].n_chars, got[i].edited_sha256, got[i].fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), written(own[i][0]))
+    assert likeness(own[1], own[3])[0] > 0.9

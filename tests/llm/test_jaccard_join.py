@@ -254,3 +254,14 @@ def test_words_of_a_thue_morse_kind_differ(spark):
         rows += [word, word.translate(str.maketrans("ab", "ba"))]
     got = jaccard_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     assert all(x.component_id == x.doc_id and x.n_shingles == 1 for x in got)
+
+
+def test_very_long_texts(spark):
+    """Texts of some megabytes beside short ones: near copies link, one with a tenth of its words changed doesn't."""
+    words = [f"w{(i * 7919) % 1_000_003}" for i in range(400_000)]
+    near, far = list(words), list(words)
+    near[1000::4000] = ["other"] * len(near[1000::4000])
+    far[::10] = ["other"] * len(far[::10])
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words[:50])), (5, " ".join(words)), (6, "x" * 2_000_000)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id if x.n_shingles else x.doc_id) for x in got} == brute(rows)

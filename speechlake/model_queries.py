@@ -64,7 +64,7 @@ def wav_files_by_ranges(spark, sf_dir):
 
 
 def _feature_rows(spark, sf_dir, front_end):
-    rows = features(recordings(spark, sf_dir, 32), front_end)
+    rows = features(recordings(spark, sf_dir, 32), front_end, kind="double")
     return rows.select("audio_id", "frame_idx", F.size("feat").alias("width"), fixed(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), 1).alias("total"))
 
 
@@ -107,7 +107,8 @@ e AS (SELECT audio_id, f, j, ln(greatest(sum(p * w), 1.1920928955078125e-07)) AS
 fs AS (SELECT audio_id, f, sum(e) AS total FROM e GROUP BY 1, 2), fm AS (SELECT *, max(f) OVER (PARTITION BY audio_id) AS last FROM fs)
 SELECT a.audio_id, a.f AS frame_idx, 400 AS width, {fixed_sql("sum(b.total)", 1)} AS total FROM fm a, (SELECT unnest(range(-2, 3)) AS d) JOIN fm b ON b.audio_id = a.audio_id AND b.f = greatest(0, least(a.last, a.f + d)) GROUP BY 1, 2""")
 def detector_features(spark, sf_dir):
-    return _feature_rows(spark, sf_dir, "stacked_fbank")
+    """The detector's features; the SQL counts a frame where a recording lacks less than a hop of one."""
+    return _feature_rows(spark, sf_dir, "stacked_fbank_short")
 
 
 @query(f"""WITH {spectrum_sql("n // 160", reflected_sql(200), HANN(400), 400, 400, 201, 160)}, {slaney_sql(16_000, 400)},

@@ -131,7 +131,7 @@ def _sliced_feature_rows(spark, sf_dir, front_end):
     pieces = F.explode(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / 700)))
     rows = recordings(spark, sf_dir, 32).select("audio_id", "samples", pieces.alias("piece"))
     rows = rows.select("audio_id", (F.col("piece") * 700).alias("offset"), F.slice("samples", (F.col("piece") * 700 + 1).cast("int"), F.lit(700)).alias("samples"))
-    rows = sliced_features(rows, front_end, slice_samples=1100)
+    rows = sliced_features(rows, front_end, slice_samples=1100, kind="double")
     return rows.select("audio_id", "frame_idx", F.size("feat").alias("width"), fixed(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), 1).alias("total"))
 
 
@@ -142,7 +142,7 @@ def log_mel_features_by_slices(spark, sf_dir):
 
 @query(ORACLE_SQL["detector_features"])
 def detector_features_by_slices(spark, sf_dir):
-    return _sliced_feature_rows(spark, sf_dir, "stacked_fbank")
+    return _sliced_feature_rows(spark, sf_dir, "stacked_fbank_short")
 
 
 # --- the frame machine and scorers --------------------------------------------------------------------------------------

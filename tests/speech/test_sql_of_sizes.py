@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 
 from speechlake.model_queries import ORACLE_SQL, QUERIES
+from speechlake.operators.feature_slices import sliced_features
 from speechlake.operators.features import fbank, fbank_short, features
 from tests.speech.test_queries import rows
 
@@ -38,3 +39,14 @@ def test_features_in_doubles(spark):
         rows = features(df, "fbank", kind=kind).orderBy("frame_idx")
         assert rows.schema["feat"].dataType.simpleString() == f"array<{kind}>"
         assert np.abs(np.array([r.feat for r in rows.collect()]) - fbank(x, np.float64)).max() < near
+
+
+def test_slices_of_a_last_recording_shorter_than_a_frame(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "detector_features_by_slices", embeddings=vectors(36))
+    x = vectors(64).embedding.explode().to_numpy(np.float64)
+    for front_end in ("log_mel", "mel_spectrogram", "stacked_fbank"):
+        of = lambda rows: np.array([r.feat for r in rows.orderBy("frame_idx").collect()])
+        cut = spark.createDataFrame([("a", i, x[i : i + 700].tolist()) for i in range(0, len(x), 700)], "audio_id string, offset long, samples array<double>")
+        whole = spark.createDataFrame([("a", x.tolist())], "audio_id string, samples array<double>")
+        got, want = (of(f) for f in (sliced_features(cut, front_end, slice_samples=2200, kind="double"), features(whole, front_end, kind="double")))
+        assert got.shape == want.shape and np.abs(got - want).max() < 1e-10

@@ -18,11 +18,11 @@ def normalize_pcm(samples: Column, int16: bool = False) -> Column:
     return F.transform(samples, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double") / (32768.0 if int16 else 1.0))).cast("float"))
 
 
-def downmix(samples: Column, channels: Column) -> Column:
-    """Plain mean over the channels of interleaved samples."""
+def downmix(samples: Column, channels: Column, kind: str = "float") -> Column:
+    """Plain mean over the channels of interleaved samples, as floats; ``kind`` ``double`` keeps the digits of doubles."""
     frames = F.sequence(F.lit(0), (F.size(samples) / channels).cast("int") - 1)
-    mean = lambda i: (F.aggregate(F.slice(samples, i * channels + 1, channels), F.lit(0.0), lambda a, x: a + x) / channels).cast("float")
-    return F.when(channels == 1, samples).when(F.size(samples) < channels, F.array().cast("array<float>")).otherwise(F.transform(frames, mean))
+    mean = lambda i: (F.aggregate(F.slice(samples, i * channels + 1, channels), F.lit(0.0), lambda a, x: a + x) / channels).cast(kind)
+    return F.when(channels == 1, samples).when(F.size(samples) < channels, F.array().cast(f"array<{kind}>")).otherwise(F.transform(frames, mean))
 
 
 def limit_seconds(samples: Column, rate: Column, seconds: float) -> Column:

@@ -227,7 +227,7 @@ def normalized_pcm(spark, sf_dir):
 
 @query(f"SELECT vec_id, 32 AS n, {fixed_sql('list_sum([CAST(x AS DOUBLE) for x in embedding]) / 2', 4)} AS total FROM embeddings")
 def downmixed(spark, sf_dir):
-    mono = audio.downmix(F.col("samples").cast("array<float>"), F.lit(2))
+    mono = audio.downmix(F.col("samples"), F.lit(2), "double")
     return embeddings(spark, sf_dir).select("vec_id", F.size(mono).alias("n"), fixed(F.aggregate(mono, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 

@@ -50,3 +50,12 @@ def test_slices_of_a_last_recording_shorter_than_a_frame(spark, tmp_path):
         whole = spark.createDataFrame([("a", x.tolist())], "audio_id string, samples array<double>")
         got, want = (of(f) for f in (sliced_features(cut, front_end, slice_samples=2200, kind="double"), features(whole, front_end, kind="double")))
         assert got.shape == want.shape and np.abs(got - want).max() < 1e-10
+
+
+def test_a_mean_that_floats_round_to_another_digit(spark, tmp_path):
+    df = vectors(1)
+    x = np.zeros(64, np.float32)
+    x[:2] = 1.0014, 0.0001  # the mean as a double is under 0.50075, its nearest float over it
+    df.embedding = [x]
+    same_as_sql(spark, tmp_path, "downmixed", embeddings=df)
+    same_as_sql(spark, tmp_path, "downmixed", embeddings=vectors(2000))

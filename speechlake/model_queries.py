@@ -17,7 +17,7 @@ from speechlake.operators import partials, transcripts
 from speechlake.operators.feature_slices import sliced_features
 from speechlake.operators.features import features
 from speechlake.operators.inference import split_long_audio, split_long_pieces, transcribe_segments
-from speechlake.operators.kept import shared_folder
+from speechlake.operators.kept import kept, shared_folder
 from speechlake.operators.tokens import byte_characters, collected, decode, encode, order_special_tokens, piece_counts
 from speechlake.operators.vad_machine import frame_state, score_frames, vad_segments
 from speechlake.operators.vad_slices import sliced_segments
@@ -331,7 +331,7 @@ def ordered_output(spark, sf_dir):
     """Segments in the order of their inputs; ``place`` is told by where the rows came out: their partition, and their place in it."""
     inputs = event_rows(spark, sf_dir).select(F.col("user_id").alias("audio_id"), (-F.col("user_id")).alias("position")).distinct()
     out = transcripts.in_input_order(merged_rows(spark, sf_dir), inputs).select("position", "audio_id", "seq", "start_ms", F.monotonically_increasing_id().alias("at"))
-    out = out.withColumn("part", F.shiftright("at", 33))
+    out = kept(out.withColumn("part", F.shiftright("at", 33)))  # sorted once: another sort may cut its partitions elsewhere
     sizes = out.groupBy("part").agg(F.count("*").alias("n"))  # one row for each partition
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("part").orderBy("at")) + F.col("before")

@@ -59,3 +59,21 @@ def test_a_mean_that_floats_round_to_another_digit(spark, tmp_path):
     df.embedding = [x]
     same_as_sql(spark, tmp_path, "downmixed", embeddings=df)
     same_as_sql(spark, tmp_path, "downmixed", embeddings=vectors(2000))
+
+
+def test_order_where_partitions_are_put_together_anew(spark, tmp_path):
+    """Rows with all columns and rows with their places only are of other sizes, so adaptive execution cuts them elsewhere."""
+    r = np.random.default_rng(4)
+    n = 20_000
+    at = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(r.integers(0, 30 * 86_400_000, n)), "ms")
+    kinds = r.choice(["click", "view", "error", "signup", "purchase"], n)
+    events = pd.DataFrame({"event_id": np.arange(n), "ts": at.astype("datetime64[us]"), "user_id": r.integers(0, 300, n), "event_type": kinds, "value": r.random(n) * 500, "props": "{}"})
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        same_as_sql(spark, tmp_path, "ordered_output", events=events)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

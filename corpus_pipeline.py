@@ -22,8 +22,11 @@ WORDS, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which a language is recognised; one goes if its text is null or has no letter."""
-    return identified(docs)
+    """Keeps the documents in which a language is recognised, with that as their lang; one goes if its text is null or has no letter.
+
+    Where nothing is labelled, none can be recognised: documents with a letter stay, without a lang.
+    """
+    return identified(docs, relabel=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +57,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids) for each row."""
-    return encoded(docs, tokenizer_path())
+    """(doc_id, source, lang, n_tokens, ids) for each row; lang is what the first stage recognised."""
+    return encoded(docs, tokenizer_path(), ("source", "lang"))
 
 
 STAGES = [

@@ -294,8 +294,11 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids) for each row of ``docs``: doc_id, text, source; a null text has no ids."""
+def encoded(docs: DataFrame, path: str, beside: tuple[str, ...] = ("source",)) -> DataFrame:
+    """(doc_id, source, n_tokens, ids) for each row of ``docs``: doc_id, text, source; a null text has no ids.
+
+    ``beside``: the columns that stand between doc_id and n_tokens.
+    """
     key, shared = _shared(docs, path)
 
     def rows(batches):
@@ -303,10 +306,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                ids = [np.frombuffer(e.encode(t.as_py() or ""), "<u4").astype(np.int32) for t in part.column(2)]
+                ids = [np.frombuffer(e.encode(t.as_py() or ""), "<u4").astype(np.int32) for t in part.column(part.num_columns - 1)]
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32())
                 values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "source", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", *beside, "n_tokens", "ids"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(rows, "doc_id long, source string, n_tokens long, ids array<int>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *beside, F.col("text").cast("string").alias("text"))
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in beside)
+    return docs.mapInArrow(rows, f"doc_id long, {kinds}n_tokens long, ids array<int>")

@@ -232,13 +232,15 @@ def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def identified(docs: DataFrame, least_score: float = 0.0, sample: int = SAMPLE) -> DataFrame:
+def identified(docs: DataFrame, least_score: float = 0.0, sample: int = SAMPLE, relabel: bool = False) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with a posterior of ``least_score`` at least; all columns stay as they are.
 
-    A row goes if its text is null or has no letter.  Where nothing is labelled, rows with a letter stay.
+    A row goes if its text is null or has no letter.  Where nothing is labelled, rows with a letter stay.  With ``relabel`` the
+    column lang becomes the language that was recognised.
     """
     model = fitted(docs, sample)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     rows = with_prediction(docs, model, [F.struct(*[F.col(c) for c in docs.columns]).alias("row")])
-    return rows.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least_score)).select("row.*")
+    kept = rows.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least_score))
+    return kept.select(*(F.col("p.lang_pred" if relabel and c == "lang" else f"row.`{c}`").alias(c) for c in docs.columns))

@@ -97,3 +97,13 @@ def test_very_long_texts(spark):
         if name == "secrets":
             assert {x.doc_id: x.text for x in docs.collect()} == {1: " ".join(words) + " [SECRET]" + '"', 3: "the and that with"}
     assert kept[:3] == [{1, 2, 3}, {1, 3}, {1, 3}] and kept[4] == kept[3] <= {1, 3}
+
+
+def test_recognised_languages_reach_the_result(spark, tmp_path):
+    r = random.Random(3)
+    data = [(i, " ".join(r.choice(WORDS[lang]) + r.choice("abcdefgh") for _ in range(30)), lang) for i in range(200) for lang in [r.choice(list(WORDS))]]
+    rows = [(i, t, None if i % 5 == 0 else "fr" if i == 7 else lang, "a", len(t)) for i, t, lang in data]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.lang for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    truth = {i: lang for i, _, lang in data}
+    assert len(got) > 90 and sum(truth[i] == lang for i, lang in got.items()) >= 0.98 * len(got)

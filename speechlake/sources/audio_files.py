@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
+from speechlake.operators.blocks import blocks
+
 #: Zero crossings of the resampler's windowed sinc on each side, and output samples computed at once.
 CROSSINGS, BLOCK = 16, 1 << 15
 
@@ -205,7 +207,7 @@ def resample(audio: DataFrame, target: int = 16_000, on_error: str = "raise") ->
         return resampled(x.values.to_numpy(zero_copy_only=False), rate, target)
 
     def rows(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, whole.schema.get_field_index("samples"))):
             rates, errors = batch.column(batch.schema.get_field_index("sample_rate")).to_pylist(), [None] * batch.num_rows
             samples: list[np.ndarray | None] = []
             for i, x in enumerate(batch.column(batch.schema.get_field_index("samples"))):
